@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
-from .common import documents
+from . import bpe, packing, quality, secrets, simhash, toxicity
+from .common import documents, labels
 
 #: The vocabulary file; a name of the public tokenizers' package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,14 +23,26 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.query(secrets.scan(documents(spark, sf_dir)))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(simhash.classes(documents(spark, sf_dir)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(documents(spark, sf_dir), vocabulary()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op5_bpe_round_trip)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_simhash_near_dedup, op4_toxicity, op5_bpe_round_trip, op9_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secrets.oracle_sql()}
