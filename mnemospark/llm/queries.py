@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secrets, simhash, suffix, toxicity
+from . import bpe, lm, ordermin, packing, quality, secrets, simhash, suffix, toxicity
 from .common import documents, labels
 
 #: The vocabulary file; a name of the public tokenizers' package.
@@ -39,14 +39,35 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(documents(spark, sf_dir), vocabulary()))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.query(documents(spark, sf_dir))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.query(suffix.deduplicate(documents(spark, sf_dir)))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.query(ordermin.fingerprints(documents(spark, sf_dir)))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_simhash_near_dedup, op4_toxicity, op5_bpe_round_trip, op7_suffix_array_dedup, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_secret_scan,
+        op3_simhash_near_dedup,
+        op4_toxicity,
+        op5_bpe_round_trip,
+        op6_lm_scoring,
+        op7_suffix_array_dedup,
+        op8_document_fingerprints,
+        op9_quality_rules,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secrets.oracle_sql()}
