@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, ordermin, packing, quality, secrets, simhash, suffix, toxicity
+from . import bpe, licenses, lm, ordermin, packing, quality, secrets, simhash, suffix, toxicity
 from .common import documents, labels
 
 #: The vocabulary file; a name of the public tokenizers' package.
@@ -55,6 +55,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_suffix_array_dedup,
         op8_document_fingerprints,
         op9_quality_rules,
+        op10_license_scan,
     )
 }
 

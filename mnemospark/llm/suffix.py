@@ -285,7 +285,10 @@ def removed(data: bytes, runs_at: list[int], length: int) -> tuple[int, int, byt
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept are the bytes that stay.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_text) of every row.
+
+    kept are the bytes that stay, kept_text is their text without the parts of characters that
+    a cut left behind.
 
     Texts are ordered by doc_id, a null doc_id after all others; rows of one doc_id by text, so
     that of repeated rows one stays. A null text counts as empty. Texts shorter than length
@@ -304,16 +307,17 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
 
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = z.decompress(text)
-                for column, value in zip(out, (len(data), *removed(data, at or [], length)), strict=True):
+                n, spans, kept = removed(data, at or [], length)
+                for column, value in zip(out, (len(data), n, spans, kept, kept.decode("utf-8", "ignore")), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
     joined = packed(rows).join(by_text, "rid", "left").select("doc_id", "packed", "runs")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def query(found: DataFrame) -> DataFrame:
@@ -334,3 +338,4 @@ def brute_force(texts: dict[int, str], length: int = LENGTH) -> dict[int, tuple[
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out[doc] = (len(data), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(data, gone, strict=True) if not g)).hexdigest())
     return out
+
