@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text separators of the contracts: space and \x09-\x0D.
@@ -91,3 +92,31 @@ def arrow_rows(spark: SparkSession, rows: str) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, text): rid numbers rows in the order of doc_id, null last, then text.
+
+    Where doc_id is unique, it is rid. Otherwise rows of one doc_id are numbered by their text.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    same = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    most, highest, nulls = same.agg(F.max("n"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if (most or 1) == 1 and not nulls:
+        return rows.select(F.col("doc_id").alias("rid"), "doc_id", "text")
+    bits = int(most).bit_length()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
+    return rows.select((F.shiftleft(F.coalesce("doc_id", F.lit((highest or 0) + 1).cast("long")), bits) + nth).alias("rid"), "doc_id", "text")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(rid, doc_id, packed): texts compressed before they are shuffled."""
+
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary())], ["rid", "doc_id", "packed"])
+
+    return rows.mapInArrow(run, "rid long, doc_id long, packed binary")

@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -100,34 +100,6 @@ def stretches(n: int, length: int):
         yield s, min(n, s + STRETCH)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text): rid numbers rows in the order of doc_id, null last, then text.
-
-    Where doc_id is unique, it is rid. Otherwise rows of one doc_id are numbered by their text.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    same = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    most, highest, nulls = same.agg(F.max("n"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    if (most or 1) == 1 and not nulls:
-        return rows.select(F.col("doc_id").alias("rid"), "doc_id", "text")
-    bits = int(most).bit_length()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    return rows.select((F.shiftleft(F.coalesce("doc_id", F.lit((highest or 0) + 1).cast("long")), bits) + nth).alias("rid"), "doc_id", "text")
-
-
-def packed(rows: DataFrame) -> DataFrame:
-    """(rid, doc_id, packed): texts compressed before they are shuffled."""
-
-    def run(batches):
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary())], ["rid", "doc_id", "packed"])
-
-    return rows.mapInArrow(run, "rid long, doc_id long, packed binary")
-
-
 def seed_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
     """(seed, run, rid, at): a row for each run; at holds first window, windows, and 1 if the run
     is known to repeat an earlier one of the same batch."""
@@ -263,7 +235,7 @@ def repeated_windows(rows: DataFrame, length: int, seed: int) -> DataFrame:
         told = common.stored(sampled.mapInArrow(resolve, "rid long, at long, kind int"), "suffix-runs")
     known = told.filter("kind = 1").select("rid", "at")
     still = told.filter("kind = 2").groupBy("rid").agg(F.collect_list("at").alias("open"))
-    texts = packed(rows).join(still, "rid").select("rid", "packed", "open")
+    texts = common.packed(rows).join(still, "rid").select("rid", "packed", "open")
     deal = F.when(F.col("rank") < 0, F.xxhash64("rid", "start")).otherwise(F.col("rank"))
     sorted_windows = window_rows(texts, length).repartition(n, deal).sortWithinPartitions("rank", "rid", "start")
     found = sorted_windows.mapInArrow(repeats, "rid long, start long")
@@ -298,7 +270,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
         raise ValueError("8 <= seed < length <= seed + 254")
     spark = docs.sparkSession
     common.prepare(spark)
-    rows = numbered(docs)
+    rows = common.numbered(docs)
     found = common.stored(repeated_windows(rows, length, seed), "suffix-repeats")
     by_text = found.groupBy("rid").agg(F.collect_list("at").alias("runs"))
 
@@ -316,7 +288,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
-    joined = packed(rows).join(by_text, "rid", "left").select("doc_id", "packed", "runs")
+    joined = common.packed(rows).join(by_text, "rid", "left").select("doc_id", "packed", "runs")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
 
 
