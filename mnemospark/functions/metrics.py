@@ -30,30 +30,39 @@ def bins(predictions: DataFrame) -> DataFrame:
     return keyed.groupBy("user_id", "bin_delta_t", "bin_i", "bin_lapse").agg(F.count("*").alias("n"), F.avg("y").alias("mean_y"), F.avg("p").alias("mean_p"))
 
 
-def rmse_bins(predictions: DataFrame) -> DataFrame:
-    each = bins(predictions)
-    gap = F.col("mean_y") - F.col("mean_p")
-    return each.groupBy("user_id").agg(F.sqrt(F.sum(F.col("n") * gap * gap) / F.sum("n")).alias("rmse_bins"))
+def average_rank() -> Column:
+    """A prediction's rank among its learner's, ties sharing their mean."""
+    ties = F.count("*").over(Window.partitionBy("user_id", "p"))
+    return F.rank().over(Window.partitionBy("user_id").orderBy("p")) + (ties - 1) / F.lit(2.0)
+
+
+def area(y: Column, r: Column) -> Column:
+    """Mann-Whitney from average ranks; null for a single class."""
+    pos, n = F.sum(y).cast("double"), F.count("*").cast("double")
+    pairs = pos * (n - pos)
+    above = F.sum(F.when(y == 1, r).otherwise(0.0)) - pos * (pos + 1) / 2.0
+    return F.when(pairs > 0, above / F.nullif(pairs, F.lit(0.0)))
 
 
 def auc(predictions: DataFrame) -> DataFrame:
-    """Mann-Whitney with average ranks of ties; null for a single class."""
-    w = Window.partitionBy("user_id").orderBy("p")
-    ties = F.count("*").over(Window.partitionBy("user_id", "p"))
-    ranked = predictions.select("user_id", "y", (F.rank().over(w) + (ties - 1) / F.lit(2.0)).alias("r"))
-    sums = ranked.groupBy("user_id").agg(F.sum(F.when(F.col("y") == 1, F.col("r")).otherwise(0.0)).alias("ranks"), F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    pairs = F.col("pos") * (F.col("n") - F.col("pos"))
-    value = (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2.0) / F.nullif(pairs, F.lit(0.0))
-    return sums.select("user_id", F.when(pairs > 0, value).alias("auc"))
+    ranked = predictions.select("user_id", "y", average_rank().alias("r"))
+    return ranked.groupBy("user_id").agg(area(F.col("y"), F.col("r")).alias("auc"))
 
 
 def metrics(predictions: DataFrame) -> DataFrame:
-    """(user_id, size, NAMES) rounded to 6 digits."""
+    """(user_id, size, NAMES) rounded to 6 digits.
+
+    One pass: ranks and bins are windows within a learner, so the predictions, which may be
+    dear, are made once and shuffled once. A bin's squared gap counts once for each of its rows.
+    """
     y, p = F.col("y"), F.col("p")
+    placed = predictions.select("user_id", "y", "p", bin_delta_t(F.col("delta_t")).alias("b1"), bin_i(F.col("i")).alias("b2"), bin_lapse(F.col("rmse_bins_lapse")).alias("b3"))
+    same_bin = Window.partitionBy("user_id", "b1", "b2", "b3")
+    rows = placed.withColumn("r", average_rank()).withColumn("gap", F.avg("y").over(same_bin) - F.avg("p").over(same_bin))
     precision, recall = precision_recall(y, p)
-    plain = predictions.groupBy("user_id").agg(
+    found = rows.groupBy("user_id").agg(
         F.count("*").alias("size"), F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"), log_loss(y, p).alias("logloss"),
-        precision.alias("precision_90"), recall.alias("recall_90"), F.avg(p - y).alias("mbe"),
+        F.sqrt(F.avg(F.col("gap") * F.col("gap"))).alias("rmse_bins"), area(y, F.col("r")).alias("auc"), precision.alias("precision_90"),
+        recall.alias("recall_90"), F.avg(p - y).alias("mbe"),
     )
-    joined = plain.join(rmse_bins(predictions), "user_id").join(auc(predictions), "user_id")
-    return joined.select("user_id", "size", *[round6(F.col(n)).alias(n) for n in NAMES])
+    return found.select("user_id", "size", *[round6(F.col(n)).alias(n) for n in NAMES])

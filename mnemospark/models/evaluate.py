@@ -191,7 +191,10 @@ def predictions(features: DataFrame, s: Settings) -> DataFrame:
     if s.algo == "FSRS-rs":
         raise ValueError("FSRS-rs trains in an outside library that is not here; its item lists are in models.items")
     columns = [*NEEDED, *(("equal_fold", "equal_end") if "equal_fold" in features.columns else ())]
-    return features.select(*columns).groupBy("user_id").applyInPandas(lambda reviews: of_learner(reviews, s), PREDICTIONS)
+    # Few bytes, much work: a fixed number of partitions, which adaptive execution does not merge.
+    spark = features.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return features.select(*columns).repartition(n, "user_id").groupBy("user_id").applyInPandas(lambda reviews: of_learner(reviews, s), PREDICTIONS)
 
 
 def items(features: DataFrame) -> DataFrame:
