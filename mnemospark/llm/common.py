@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,18 +80,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: str) -> Iterator[None]:
-    """Other Arrow batches for the actions inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, text): rid numbers rows in the order of doc_id, null last, then text.
 

@@ -30,8 +30,10 @@ from . import common
 LENGTH, SEED = 100, 32
 #: Bytes that are ranked at once; longer texts go in overlapping stretches.
 STRETCH = 1 << 22
-#: Rows of an Arrow batch of sorted pairs.
-SORTED_ROWS = 20_000
+#: What becomes of a run: it repeats an earlier one, or its windows are compared one by one.
+AGAIN, OPEN = 1, 2
+#: Different runs of a seed in a batch that make it hot.
+HOT_RUNS = 32
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S1, _S2 = np.uint64(29), np.uint64(32)
@@ -101,8 +103,11 @@ def stretches(n: int, length: int):
 
 
 def seed_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(seed, run, rid, at): a row for each run; at holds first window, windows, and 1 if the run
-    is known to repeat an earlier one of the same batch."""
+    """(seed, run, rid, at): a row for each run; at holds first window, windows, and what a batch
+    knows: AGAIN if the run repeats an earlier one of the batch, OPEN if its seed has HOT_RUNS
+    different runs there. Such a seed has several runs, so its rows needn't meet to find that out;
+    two of them stay unmarked to tell the seed's rows from other batches.
+    """
     names = ["seed", "run", "rid", "at"]
 
     def emit(parts: list, ids: list[int], starts: list[int]) -> pa.RecordBatch:
@@ -110,9 +115,15 @@ def seed_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
         sizes = [len(p[0]) for p in parts]
         rid, start = np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(starts, np.int64), sizes) + first
         order = np.lexsort((start, rid, whole))
-        again = np.zeros(len(order), np.int64)
-        again[order[1:]] = whole[order[1:]] == whole[order[:-1]]
-        at = (start << 9) | (count << 1) | again
+        known = np.zeros(len(order), np.int64)
+        known[order[1:]] = np.where(whole[order[1:]] == whole[order[:-1]], AGAIN, 0)
+        once = np.flatnonzero(known == 0)
+        once = once[np.argsort(seeds[once], kind="stable")]
+        heads = np.flatnonzero(np.append(True, seeds[once[1:]] != seeds[once[:-1]]))
+        size = np.diff(np.append(heads, len(once)))
+        nth = np.arange(len(once)) - np.repeat(heads, size)
+        known[once[(np.repeat(size, size) >= HOT_RUNS) & (nth >= 2)]] = OPEN
+        at = (start << 10) | (count << 2) | known
         return pa.RecordBatch.from_arrays([pa.array(x) for x in ((seeds & _MASK).astype(np.int64), (whole & _MASK).astype(np.int64), rid, at)], names)
 
     def run(batches):
@@ -134,15 +145,24 @@ def seed_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(run, "seed long, run long, rid long, at long")
 
 
+def told_runs(rid: np.ndarray, at: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at >> 2), pa.array(kind.astype(np.int32))], ["rid", "at", "kind"])
+
+
 def resolve(batches):
     """Of pairs sorted by (seed, run, rid, at): repeats, and the runs that need the whole length.
 
     A seed with one run only: all but its first pair repeat. With several: all but the first of
     each run repeat, and those first ones go on. One row is held while its seed may continue.
+    Rows that a batch knew about are passed on as they are: their kind is what it knew.
     """
     held = None  # (seed, run, rid, at, whether it waits to be told, whether its seed has several runs)
     for b in batches:
         seed, run, rid, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        known = at & 3
+        if known.any():
+            yield told_runs(rid[known > 0], at[known > 0], known[known > 0])
+            seed, run, rid, at = (x[known == 0] for x in (seed, run, rid, at))
         if not len(seed):
             continue
         several, waits = False, False
@@ -157,7 +177,7 @@ def resolve(batches):
         lead = new_run.copy()
         if held and not waits:
             lead[0] = False
-        out = np.where(lead, np.where(kinds[group], 2, 0), 1)
+        out = np.where(lead, np.where(kinds[group], OPEN, 0), AGAIN)
         if held and not waits:
             out[0] = 0
         last = len(seed) - 1
@@ -171,7 +191,7 @@ def resolve(batches):
         if wait:
             out[keep] = 0
         told = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(rid[told]), pa.array(at[told] >> 1), pa.array(out[told].astype(np.int32))], ["rid", "at", "kind"])
+        yield told_runs(rid[told], at[told], out[told])
 
 
 def window_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -230,16 +250,17 @@ def repeated_windows(rows: DataFrame, length: int, seed: int) -> DataFrame:
     """(rid, at): runs of windows that also start earlier; at is first window << 8 | windows."""
     spark = rows.sparkSession
     n = common.partitions(spark)
-    with common.arrow_rows(spark, common.ARROW_ROWS):
-        sampled = seed_rows(rows, length, seed).repartition(n, "seed").sortWithinPartitions("seed", "run", "rid", "at")
-        told = common.stored(sampled.mapInArrow(resolve, "rid long, at long, kind int"), "suffix-runs")
-    known = told.filter("kind = 1").select("rid", "at")
-    still = told.filter("kind = 2").groupBy("rid").agg(F.collect_list("at").alias("open"))
+    known = F.col("at").bitwiseAND(F.lit(3)) != 0
+    deal_seed = F.when(known, F.xxhash64("rid", "at")).otherwise(F.col("seed"))
+    sampled = seed_rows(rows, length, seed).repartition(n, deal_seed).sortWithinPartitions("seed", "run", "rid", "at")
+    told = common.stored(sampled.mapInArrow(resolve, "rid long, at long, kind int"), "suffix-runs")
+    repeated = told.filter(F.col("kind") == AGAIN).select("rid", "at")
+    still = told.filter(F.col("kind") == OPEN).groupBy("rid").agg(F.collect_list("at").alias("open"))
     texts = common.packed(rows).join(still, "rid").select("rid", "packed", "open")
     deal = F.when(F.col("rank") < 0, F.xxhash64("rid", "start")).otherwise(F.col("rank"))
     sorted_windows = window_rows(texts, length).repartition(n, deal).sortWithinPartitions("rank", "rid", "start")
     found = sorted_windows.mapInArrow(repeats, "rid long, start long")
-    return known.union(found.select("rid", F.shiftleft("start", 8).bitwiseOR(F.lit(1)).alias("at")))
+    return repeated.union(found.select("rid", F.shiftleft("start", 8).bitwiseOR(F.lit(1)).alias("at")))
 
 
 def removed(data: bytes, runs_at: list[int], length: int) -> tuple[int, int, bytes]:
