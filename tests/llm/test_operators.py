@@ -201,7 +201,7 @@ def test_suffix_repeated_and_null_rows(spark):
 
 
 def test_stretches_hold_every_window_once(monkeypatch):
-    monkeypatch.setattr(suffix, "STRETCH", 150)
+    monkeypatch.setattr(suffix, "STRETCH", 150)  # plain Python: no worker sees it
     for n in (0, 99, 100, 149, 150, 151, 400):
         seen = [p for s, e in suffix.stretches(n, 100) for p in range(s, e - 99)]
         assert seen == list(range(max(0, n - 99)))
