@@ -153,7 +153,7 @@ def piece(word: str) -> str:
 
 
 def hot_table(rows: DataFrame, path: str, limit: int) -> pa.Table:
-    """(word, ids) of the most frequent words, at most limit rows, each encoded once.
+    """(word, n, ids) of the most frequent words, at most limit rows, each encoded once.
 
     A task counts the words that it saw more than once: others are not frequent in it. The cut
     comes from a histogram of the counts' logarithms, so the bound holds at any size.
@@ -185,30 +185,67 @@ def hot_table(rows: DataFrame, path: str, limit: int) -> pa.Table:
 
     def encoded(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode_words(path, b.column(0).to_pylist()), pa.binary())], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(encode_words(path, b.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
 
-    return common.stored(hot.select("word").mapInArrow(encoded, "word string, ids binary"), "hot-words").toArrow()
+    return common.stored(hot.select("word", "n").mapInArrow(encoded, "word string, n long, ids binary"), "hot-words").toArrow()
 
 
 class HotTable:
-    """The broadcast table, opened once in a worker: piece -> ids."""
+    """The broadcast table, opened once in a worker. Words are numbered from 1, frequent ones first."""
 
     def __init__(self, table: pa.Table):
         sink = pa.BufferOutputStream()
+        table = table.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        self.data, self._ids = sink.getvalue().to_pybytes(), None
+        self.data, self._number, self._ids = sink.getvalue().to_pybytes(), None, None
 
     def __getstate__(self):
-        return {"data": self.data, "_ids": None}
+        return {"data": self.data, "_number": None, "_ids": None}
 
-    def ids(self) -> dict[str, bytes]:
+    def number(self) -> dict[str, int]:
+        """A piece's number."""
+        if self._number is None:
+            words = pa.ipc.open_stream(self.data).read_all().column(0).to_pylist()
+            self._number = {piece(w): k for k, w in enumerate(words, 1)}
+        return self._number
+
+    def ids(self) -> list[bytes]:
+        """Ids by number; 0 has none."""
         if self._ids is None:
-            table = pa.ipc.open_stream(self.data).read_all()
-            self._ids = dict(zip(map(piece, table.column(0).to_pylist()), table.column(1).to_pylist(), strict=True))
+            self._ids = [b"", *pa.ipc.open_stream(self.data).read_all().column(1).to_pylist()]
         return self._ids
 
 
+def skeletons(rows: DataFrame, shared) -> DataFrame:
+    """(rid, doc_id, skeleton): each text as its words' numbers, 0 where the table has none.
+
+    Numbers go byte by byte of all words, compressed: half the size of the text.
+    """
+
+    def run(batches):
+        import numpy as np
+        import zstandard
+
+        number, z = shared.value.number(), zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            out = []
+            for t in b.column(2).to_pylist():
+                found = np.array([number.get(w, 0) for w in pieces_of(t)], "<u4")
+                out.append(z.compress(np.ascontiguousarray(found.view(np.uint8).reshape(-1, 4).T).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["rid", "doc_id", "skeleton"])
+
+    return rows.mapInArrow(run, "rid long, doc_id long, skeleton binary")
+
+
+def numbers(skeleton: bytes) -> list[int]:
+    import numpy as np
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(skeleton)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().tolist()
+
+
 def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row.
 
@@ -223,7 +260,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     n = common.partitions(spark)
 
     def find_rare(batches):
-        known = shared.value.ids()
+        known = shared.value.number()
         for b in batches:
             found = [(r, i, spelled(w)) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, w in enumerate(pieces_of(t)) if w not in known]
             kinds = (pa.int64(), pa.int32(), pa.string())
@@ -248,14 +285,12 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
 
     def assemble(batches):
         import numpy as np
-        import zstandard
 
-        z = zstandard.ZstdDecompressor()
-        known = shared.value.ids().get
+        known = shared.value.ids().__getitem__
         for b in batches:
             ids, sizes, texts = [], [], []
-            for packed_text, rare_ids in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts = list(map(known, pieces_of(z.decompress(packed_text).decode())))
+            for skeleton, rare_ids in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                parts = list(map(known, numbers(skeleton)))
                 for x in rare_ids or ():
                     parts[x["at"]] = x["ids"]
                 ids.append(b"".join(parts))
@@ -263,7 +298,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
                 texts.append(b"".join(map(by_id.__getitem__, np.frombuffer(ids[-1], "<u4").tolist())).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    joined = common.packed(rows).join(answers, "rid", "left").select("doc_id", "packed", "rare")
+    joined = skeletons(rows, shared).join(answers, "rid", "left").select("doc_id", "skeleton", "rare")
     return joined.mapInArrow(assemble, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
