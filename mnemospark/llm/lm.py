@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .eliasfano import EliasFano
 
-ORDER = 3
+ORDER = 2
 #: Least count of the n-grams that a level keeps, by order.
 LEAST = {1: 1, 2: 1, 3: 2}
 HELD_OUT, FOLDS = 2, 7
@@ -189,23 +189,28 @@ def grouped(keys: np.ndarray):
 
 
 class Reader:
-    """Turns texts into word ids, remembering the common words' ids."""
+    """Turns texts into word ids and counts, looking each remembered word up once."""
 
     def __init__(self, trie: Trie):
-        self.trie, self.known = trie, {}
+        self.trie = trie
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.table = np.zeros((0, 2), np.int64)
 
     def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         import xxhash
 
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        new = list({w for words in texts for w in words if w not in self.known})
-        ids, counts = self.trie.words(np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64))
-        self.known.update(zip(new, zip(ids.tolist(), counts.tolist(), strict=True), strict=True))
-        get = self.known.__getitem__
-        n = sum(map(len, texts))
-        both = np.fromiter((x for words in texts for pair in map(get, words) for x in pair), np.int64, 2 * n).reshape(-1, 2)
-        return both[:, 0].copy(), both[:, 1].copy()
+        if len(self.place) > _CACHE_WORDS:
+            self.forget()
+        new = list(set().union(*texts).difference(self.place))
+        found = self.trie.words(np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.table = np.concatenate([self.table, np.column_stack(found)])
+        get = self.place.__getitem__
+        at = np.fromiter((k for words in texts for k in map(get, words)), np.int64, sum(map(len, texts)))
+        return self.table[at, 0], self.table[at, 1]
 
 
 def in_batches(batches, column: int):
