@@ -20,7 +20,7 @@ from . import common
 WIDTH, ENTRIES, PICKS, DIGITS = 2, 64, 2, 8
 #: Bits of a sort key that hold a k-mer's position.
 POSITION = 24
-SEPARATOR = f"[{common.ASCII_SPACE}]+"
+SEPARATOR, SPACES = f"[{common.ASCII_SPACE}]+", " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, body) -> Column:
@@ -31,59 +31,53 @@ def let(value: Column, body) -> Column:
 def sketch(text: Column, width: int = WIDTH, entries: int = ENTRIES, picks: int = PICKS) -> Column:
     """array<long> of entries hashes. Texts without words have entries of 0; texts with fewer
     words than a k-mer have their whole sequence as the only one."""
-    words = F.filter(F.split(text, SEPARATOR), lambda w: w != "")
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) == 0, zeros(entries)).otherwise(entries_of(kmers(h, width), entries, picks)))
+    bare = F.btrim(text, F.lit(SPACES))
 
+    def of(words: Column) -> Column:
+        return let(F.sort_array(keyed(words, width)), lambda s: let(pairs(s), lambda p: picked(p, entries, picks)))
 
-def zeros(n: int) -> Column:
-    return F.array_repeat(F.lit(0).cast("long"), n)
+    return F.when(F.length(bare) == 0, zeros(entries)).otherwise(let(F.split(bare, SEPARATOR), of))
 
 
-def kmers(h: Column, width: int) -> Column:
-    """Hashes of the k-mers of word hashes, in text order."""
-    last = F.greatest(F.size(h) - width, F.lit(0))
-    return F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(h, i, F.lit(width))))
+def zeros(n: int) -> Column:
+    return F.array_repeat(F.lit(0).cast("long"), n)
 
 
-def entries_of(k: Column, entries: int, picks: int) -> Column:
-    low = (1 << POSITION) - 1
-    # Hash and position in one long: equal k-mers are neighbours after sorting, in text order.
-    keyed = F.sort_array(F.transform(k, lambda x, i: F.shiftleft(x, POSITION).bitwiseOR(i.cast("long"))))
-    return let(keyed, lambda s: let(pairs(s, low), lambda p: picked(p, entries, picks, low)))
+def keyed(words: Column, width: int) -> Column:
+    """Hash and position of each k-mer in one long: after sorting, equal k-mers are neighbours in
+    text order. A k-mer that starts before the last one's start is whole; those after it are
+    left out, unless there is no whole one."""
+    hashed = F.transform(words, lambda w, i: F.shiftleft(F.xxhash64(w, *[F.get(words, i + j) for j in range(1, width)]), POSITION).bitwiseOR(i.cast("long")))
+    return F.slice(hashed, F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
 
 
-def pairs(s: Column, low: int) -> Column:
+def pairs(s: Column) -> Column:
     """Sorted longs: the circle hash of each (k-mer, occurrence) above its position."""
     n = F.size(s)
-
-    def kmer(i: Column) -> Column:
-        return F.shiftright(F.get(s, i), POSITION)
-
-    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (kmer(i) != kmer(F.greatest(i - 1, F.lit(0)))))
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.shiftright(F.get(s, i).bitwiseXOR(F.get(s, i - 1)), POSITION) != 0))
     # Numbers within each run of equal k-mers: 0, 1, 2, ... up to the next run's start.
     number = let(first, lambda f: F.flatten(F.transform(f, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(f, j + 1), n) - a - 1))))
-    mixed = F.zip_with(s, number, lambda x, c: F.shiftleft(F.xxhash64(F.shiftright(x, POSITION), c), POSITION).bitwiseOR(x.bitwiseAND(F.lit(low).cast("long"))))
-    return F.sort_array(mixed)
+    place = F.lit((1 << POSITION) - 1).cast("long")
+    return F.sort_array(F.zip_with(s, number, lambda x, c: F.shiftleft(F.xxhash64(F.shiftright(x, POSITION), c), POSITION).bitwiseOR(x.bitwiseAND(place))))
 
 
-def picked(p: Column, entries: int, picks: int, low: int) -> Column:
+def picked(p: Column, entries: int, picks: int) -> Column:
     """The entries: arcs by the top of the circle hash, the first pairs from an arc's start on."""
     bits = entries.bit_length() - 1
-    n = F.size(p)
+    n, place = F.size(p), F.lit((1 << POSITION) - 1).cast("long")
     arcs = F.transform(p, lambda x: (F.shiftright(x, 64 - bits) + entries // 2).cast("int"))
 
     def starts(a: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), lambda j: F.array_position(a, j).cast("int"))
         # An empty arc starts where the next one does; past the last, at the circle's first pair.
-        back = F.aggregate(F.reverse(found), F.array().cast("array<int>"), lambda acc, x: F.concat(F.array(F.when(x > 0, x - 1).otherwise(F.coalesce(F.get(acc, F.lit(0)), F.lit(0)))), acc))
-        return back
+        found = F.transform(F.sequence(F.lit(entries - 1), F.lit(0), F.lit(-1)), lambda j: F.array_position(a, j).cast("int") - 1)
+        return F.aggregate(found, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(x >= 0, x).otherwise(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))))
 
     def entry(at: Column) -> Column:
-        chosen = F.array(*[F.get(p, (at + i) % n) for i in range(picks)])
-        ordered = F.array_sort(F.transform(F.array_distinct(chosen), lambda x: F.struct(x.bitwiseAND(F.lit(low).cast("long")).alias("place"), F.shiftright(x, POSITION).alias("hash"))))
-        return F.xxhash64(F.transform(ordered, lambda x: x["hash"]))
+        chosen = F.transform(F.array(*[F.get(p, (at + i) % n) for i in range(picks)]), lambda x: F.shiftleft(x.bitwiseAND(place), 64 - POSITION).bitwiseOR(F.shiftrightunsigned(x, POSITION)))
+        # Position first, so that sorting restores the text order; only the hashes are kept then.
+        return F.xxhash64(F.transform(F.sort_array(F.array_distinct(chosen)), lambda x: F.shiftleft(x, POSITION)))
 
-    return let(starts(arcs), lambda s: F.transform(s, entry))
+    return let(let(arcs, starts), lambda s: F.transform(s, entry))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,26 +89,29 @@ def shown(entries: Column, digits: int = DIGITS) -> Column:
     return F.array_join(F.transform(entries, lambda x: F.substring(F.lower(F.lpad(F.hex(x), 16, "0")), 1, digits)), "")
 
 
-def with_next(rows: DataFrame, value: list[str], ranges: int) -> DataFrame:
-    """rows with next_<value>: those of the row that follows by doc_id; the first follows the last.
+def with_next(rows: DataFrame, value: str, ranges: int, **derived: Column) -> DataFrame:
+    """rows (doc_id, value) with columns derived from the value, and next_<column> of each: those
+    of the row that follows by doc_id; the first follows the last.
 
     doc_id is cut into ranges of about equal rows; each range is ordered by itself and holds a
     copy of the first row of the range after it, so nothing is ordered in one task. Null ids come
-    first, rows of one doc_id in the order of their values.
+    first, rows of one doc_id in the order of their values. Derived columns are made once a row.
     """
     cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
     bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts or []))]).cast("array<bigint>")
     part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))))
     dealt = rows.withColumn("part", part)
-    order = F.struct(F.coalesce(F.col("doc_id").isNotNull(), F.lit(False)).alias("known"), "doc_id", *value)
-    firsts = dealt.groupBy("part").agg(F.min(order).alias("first"))
-    # One row a range: the window below sees as many rows as there are ranges.
-    every = Window.orderBy("part")
+    firsts = dealt.groupBy("part").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    every = Window.orderBy("part")  # one row a range: this window sees as many rows as there are ranges
     before = F.coalesce(F.lag("part").over(every), F.max("part").over(Window.partitionBy()))
-    copies = firsts.select(before.alias("part"), F.col("first.doc_id").alias("doc_id"), *[F.col(f"first.{c}").alias(c) for c in value], F.lit(1).alias("copy"))
-    both = dealt.withColumn("copy", F.lit(0)).unionByName(copies)
-    w = Window.partitionBy("part").orderBy("copy", F.col("doc_id").asc_nulls_first(), *value)
-    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in value]).filter("copy = 0").drop("part", "copy")
+    firsts = firsts.select("part", before.alias("before"), F.when(F.col("nulls") == 0, F.col("least")).alias("least"))
+    at = (dealt["part"] == firsts["part"]) & dealt["doc_id"].eqNullSafe(firsts["least"])
+    named = dealt.join(F.broadcast(firsts), at).select(firsts["before"].alias("part"), dealt["doc_id"], dealt[value])
+    one = named.groupBy("part").agg(F.min(value).alias(value), F.first("doc_id").alias("doc_id"))
+    copies = one.select("doc_id", value, "part", F.lit(1).alias("copy"))
+    both = dealt.withColumn("copy", F.lit(0)).unionByName(copies).withColumns(derived)
+    w = Window.partitionBy("part").orderBy("copy", F.col("doc_id").asc_nulls_first(), value)
+    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (value, *derived)]).filter("copy = 0").drop("part", "copy")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -130,8 +127,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     each other in the order of their texts, null ids come first; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    rows = rows.withColumn("entries", sketch(F.col("text")))
-    found = with_next(rows, ["text", "entries"], common.partitions(docs.sparkSession))
+    found = with_next(rows, "text", common.partitions(docs.sparkSession), entries=sketch(F.col("text")))
     found = found.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited"), "entries", "next_entries")
     found = found.withColumn("edited_entries", sketch(F.col("edited")))
     return found.select(
