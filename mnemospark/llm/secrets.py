@@ -15,19 +15,23 @@ from . import common, trigrams
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: its name; pattern: what a match is; group, least: the part whose length must reach least."""
+    """kind: its name; pattern: what a match is; group, least: the part whose length must reach least.
+
+    hint: an expression that every text with such a match matches, where it tells more than pattern.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    hint: str = ""
 
 
 #: The three kinds of the contract.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("hex", r"[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
 )
 #: Further kinds, by the published shapes of such tokens.
 MORE = (
@@ -81,7 +85,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     parts = []
     for k, (rule, q) in enumerate(zip(rules, queries, strict=True)):
         proposed = F.lit(True) if q is True else F.coalesce(F.col("rules").bitwiseAND(F.lit(1 << k)), F.lit(0)) != 0
-        parts.append(F.when(proposed & text.rlike(rule.pattern), spans_of(rule, k, text)).otherwise(F.array().cast(SPANS)))
+        parts.append(F.when(proposed & text.rlike(rule.hint or rule.pattern), spans_of(rule, k, text)).otherwise(F.array().cast(SPANS)))
     return joined.select("row.*", F.array_sort(F.concat(*parts)).alias("spans"))
 
 

@@ -125,9 +125,9 @@ def postings(rows: DataFrame, wanted: list[str], blocks: int) -> DataFrame:
 
     rows has row_key and text. Only the trigrams that some query names are indexed.
     """
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted]))
-    each = rows.select("row_key", F.explode(held).alias("trigram"))
+    low = rows.select("row_key", F.lower("text").alias("low"))  # a column of its own: made once for all trigrams
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]))
+    each = low.select("row_key", F.explode(held).alias("trigram"))
     block = F.pmod("row_key", F.lit(blocks)).alias("block")
     return each.groupBy(block, "trigram").agg(F.array_sort(F.collect_set("row_key")).alias("rows"))
 
