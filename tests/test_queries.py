@@ -64,8 +64,9 @@ def test_metrics_edge_cases(spark):
 def test_tree_run_resume_and_partitions(spark, tmp_path):
     reviews = q.reviews(spark, SF).filter("user_id < 4")
     tree = str(tmp_path / "data")
-    order = reviews.orderBy("user_id", "review_th").select("user_id", "card_id", "rating", "elapsed_days", "elapsed_seconds", F.lit(0).cast("long").alias("state"))
-    order.coalesce(1).write.partitionBy("user_id").parquet(f"{tree}/revlogs")
+    # The order of a learner's rows in the file is the order of the reviews.
+    order = reviews.withColumn("state", F.lit(0).cast("long")).repartition(1).sortWithinPartitions("user_id", "review_th")
+    order.write.partitionBy("user_id").parquet(f"{tree}/revlogs")
     cards, decks = revlog.event_decks(reviews)
     cards.coalesce(1).write.partitionBy("user_id").parquet(f"{tree}/cards")
     decks.coalesce(1).write.partitionBy("user_id").parquet(f"{tree}/decks")
