@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .eliasfano import EliasFano
 
-ORDER = 2
+ORDER = 3
 #: Least count of the n-grams that a level keeps, by order.
 LEAST = {1: 1, 2: 1, 3: 2}
 HELD_OUT, FOLDS = 2, 7

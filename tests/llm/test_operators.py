@@ -248,6 +248,38 @@ def test_language_model(spark, monkeypatch):
     assert lm.score(frame(spark, texts).limit(0), trie).count() == 0
 
 
+def test_language_model_query_has_trigram_contexts(spark):
+    texts = [(i, t) for i, t in fixture(9) if i is not None]
+    train = [lm.tokens(t or "") for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    grams = {k: collections.Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)}
+    n, v = sum(grams[1].values()), len(grams[1])
+    after, discount = {}, {}
+    for k in (2, 3):
+        one, two = (sum(c == x for c in grams[k].values()) for x in (1, 2))
+        discount[k] = min(0.95, max(0.1, one / (one + 2 * two)))
+        after[k] = collections.defaultdict(dict)
+        for g, c in grams[k].items():
+            after[k][g[:-1]][g[-1]] = c
+
+    def p(words):
+        k = len(words)
+        if k == 1:
+            return (grams[1][words] + 1) / (n + v + 1)
+        lower, follow = p(words[1:]), after[k].get(words[:-1])
+        if not follow:
+            return lower
+        kept = {w: c for w, c in follow.items() if c >= lm.LEAST[k]}
+        total = sum(follow.values())
+        back = 1 - sum(c - discount[k] for c in kept.values()) / total
+        return (kept[words[-1]] - discount[k]) / total + back * lower if words[-1] in kept else back * lower
+
+    by_id = dict(texts)
+    for r in lm.query(frame(spark, texts)).collect():
+        words = lm.tokens(by_id[r["doc_id"]] or "")
+        plain = sum(math.log10(p(tuple(words[max(0, i - 2) : i + 1]))) for i in range(len(words)))
+        assert r["score"] == pytest.approx(plain, abs=5e-4 * len(words))
+
+
 def test_language_model_without_training(spark):
     rows = lm.query(spark.createDataFrame([], "doc_id long, text string")).collect()
     assert rows == []
