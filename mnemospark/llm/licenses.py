@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier confirmed by template comparison.
 
-A paragraph is a line with a word. Its word pairs and triples are looked up in the weights of a
+A paragraph is a line with a word, or a group of up to GROUP consecutive words of lines that no
+blank one parts, for notices wrapped over lines. Its word pairs and triples are looked up in the weights of a
 sparse softmax regression over licence families and an unknown class, which is trained on
 disturbed copies of the notices below and on a bounded sample of the corpus's own lines. The
 probability at which a family is believed is calibrated on paragraphs kept out of training.
@@ -78,6 +79,8 @@ WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 COPIES, LINES, ALARMS = 40, 5_000, 0.001
 #: Share of a notice's word pairs that confirms a family.
 CONFIRM = 0.5
+#: Words of a group of lines; groups begin at every half, so a notice of half as many lies in one.
+GROUP = 80
 
 
 @dataclass(frozen=True)
@@ -170,30 +173,55 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.filter(F.length("line") > 0)
 
 
-def grams(line: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+def passages(docs: DataFrame) -> DataFrame:
+    """(row_key, start, gram, at, end, place): the n-grams of every run of lines without a blank one.
+
+    start, at and end are the lines where the run begins and where the n-gram begins and ends,
+    place is its first word's place in the run.
+    """
+    text = common.text_of(docs)
+
+    def runs(lines: Column) -> Column:
+        blank = lambda i: F.trim(F.translate(F.get(lines, i), "\t\r\f\v", "    ")) == ""
+        first = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~blank(i) & ((i == 0) | blank(i - 1)))
+        return F.transform(F.array(first), lambda f: F.transform(f, lambda i, k: F.struct(i.alias("start"), F.slice(lines, i + 1, F.coalesce(F.get(f, k + 1), F.size(lines)) - i).alias("lines"))))[0]
+
+    rows = docs.select(F.xxhash64("doc_id", text).alias("row_key"), F.split(text, "\n").alias("lines"))
+    rows = rows.select("row_key", F.explode(runs(F.col("lines"))).alias("run")).select("row_key", F.col("run.start").alias("start"), F.col("run.lines").alias("lines"))
+    found = F.flatten(F.transform("lines", lambda line, i: F.transform(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)), lambda w: F.struct(w.alias("w"), (F.col("start") + i).alias("at")))))
 
     def joined(w: Column, n: int) -> Column:
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+        each = lambda i: F.struct(F.concat_ws(" ", *[w[i + k]["w"] for k in range(n)]).alias("gram"), w[i]["at"].alias("at"), w[i + n - 1]["at"].alias("end"), i.alias("place"))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: i + n <= F.size(w)), each)
 
-    return F.transform(F.array(words), lambda w: F.array_distinct(F.concat(joined(w, 2), joined(w, 3))))[0]
+    x = F.explode(F.transform(F.array(found), lambda w: F.concat(joined(w, 2), joined(w, 3)))[0]).alias("x")
+    return rows.select("row_key", "start", x).select("row_key", "start", "x.*")
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(row_key, found): found is array<struct<at, family, probability, likeness, confirmed>>.
 
-    A row for every text with a believed paragraph; copies of a row have one row together.
+    A row for every text with a believed paragraph; copies of a row have one row together. Of
+    the groups of lines of a run, one is there for each family that is confirmed in them but on
+    no line of theirs, with the line where its n-grams begin.
     """
     spark = docs.sparkSession
     c = len(model.classes)
-    table = spark.createDataFrame(list(model.weights.items()), "gram string, weights array<double>")
-    lines = paragraphs(docs).select("row_key", "at", F.explode(grams(F.col("line"))).alias("gram"))
+    weights = list(model.weights.items())
+    table = spark.createDataFrame([(g, k, w) for k, (g, w) in enumerate(weights)], "gram string, id int, weights array<double>")
     # The weights are those of the notices' n-grams: a fixed number of rows.
-    hits = lines.join(F.broadcast(table), "gram").dropDuplicates(["row_key", "at", "gram"])
+    hits = passages(docs).join(F.broadcast(table.select("gram", "id")), "gram")
+    half = F.floor(F.col("place") / (GROUP // 2)).cast("int")
+    own = F.when(F.col("at") == F.col("end"), F.array(F.struct(F.col("at").alias("line"), F.lit(-1).alias("part")))).otherwise(F.array().cast("array<struct<line:int,part:int>>"))
+    keys = F.concat(own, F.array(*[F.struct(F.lit(-1).alias("line"), x.alias("part")) for x in (half, half + 1)]))
+    hits = hits.select("row_key", "start", "at", "end", "id", F.explode(keys).alias("key")).select("row_key", "start", "key.line", "key.part", "id", "at", "end")
+    where = ["row_key", "start", "line", "part"]
+    hits = hits.groupBy(*where, "id").agg(F.min("at").alias("at"), F.max("end").alias("end")).join(F.broadcast(table), "id")
     sums = [F.sum(F.col("weights")[k]).alias(f"z{k}") for k in range(c)]
-    each = hits.groupBy("row_key", "at").agg(*sums, F.collect_set("gram").alias("grams"))
+    each = hits.groupBy(*where).agg(*sums, F.collect_set("gram").alias("grams"), F.min("at").alias("at"), F.max("end").alias("end"))
+    each = each.filter("line >= 0 OR at < end")
     z = F.array(*[F.col(f"z{k}") + F.lit(model.bias[k]) for k in range(c)])
-    best = each.select("row_key", "at", "grams", z.alias("z")).withColumn("top", F.array_max("z"))
+    best = each.select(*where, "at", "grams", z.alias("z")).withColumn("top", F.array_max("z"))
     best = best.withColumn("class", F.array_position("z", F.col("top")).cast("int") - 1).filter("class > 0")
     spread = F.aggregate("z", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top")))
     best = best.withColumn("probability", 1 / spread).filter(F.col("probability") >= model.threshold)
@@ -202,8 +230,14 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     compared = best.join(F.broadcast(notices), F.col("class") == F.col("k"))
     like = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, F.col("grams"))) / F.size(n)))
     names = F.array(*[F.lit(x) for x in model.classes])
-    found = compared.withColumn("likeness", like).select("row_key", F.struct("at", names[F.col("class")].alias("family"), "probability", "likeness", (F.col("likeness") >= CONFIRM).alias("confirmed")).alias("x"))
-    return found.groupBy("row_key").agg(F.array_sort(F.collect_list("x")).alias("found"))
+    x = F.struct("at", names[F.col("class")].alias("family"), "probability", "likeness", (F.col("likeness") >= CONFIRM).alias("confirmed"))
+    found = compared.withColumn("likeness", like).filter((F.col("line") >= 0) | (F.col("likeness") >= CONFIRM)).withColumn("x", x)
+    # The likeliest group of a run for each family, unless a line of the run has it already.
+    group = F.max(F.when(F.col("line") < 0, F.struct("likeness", "x")))["x"]
+    of_run = found.groupBy("row_key", "start", "class").agg(F.collect_list(F.when(F.col("line") >= 0, F.col("x"))).alias("lines"), group.alias("group"))
+    add = F.col("group").isNotNull() & ~F.exists("lines", lambda v: v["confirmed"])
+    of_run = of_run.select("row_key", F.when(add, F.concat("lines", F.array("group"))).otherwise(F.col("lines")).alias("xs"))
+    return of_run.groupBy("row_key").agg(F.array_sort(F.flatten(F.collect_list("xs"))).alias("found"))
 
 
 def licences(docs: DataFrame) -> DataFrame:

@@ -395,6 +395,15 @@ def test_licences(spark):
     assert got == collections.Counter([(1, "mit", 1), (1, "mit", 1), (2, "reserved", 1), (3, "", 0), (4, "", 0), (5, "", 0), (None, "cc-by-nc", 1), (6, "apache-2.0", 30)])
 
 
+def test_wrapped_licences(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A. Writer\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n"
+    parted = "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software\n\nand associated documentation files"
+    docs = frame(spark, [(1, mit), (2, gpl), (3, parted), (4, "w " * 500 + gpl)] + [(1000 + i, t) for i, t in fixture() if t and i is not None])
+    got = {r["doc_id"]: (r["families"], r["n_confirmed"]) for r in licenses.licences(docs).collect() if r["doc_id"] < 1000 or r["families"]}
+    assert got == {1: ("mit", 1), 2: ("gpl", 1), 3: ("", 0), 4: ("gpl", 1)}
+
+
 def test_registry():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert json.dumps(sorted(queries.ORACLE_SQL)) == '["op2_secret_scan"]'
