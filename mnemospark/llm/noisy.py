@@ -21,7 +21,7 @@ LEET = {
 }
 #: Costs in nats: a sign read as a letter, a wildcard as one of its letters, a separator dropped, a run shortened.
 SIGN, WILD, DROP, SHORT = 1.0, 2.5, 0.5, 0.5
-#: Longest stretch that is decoded as one word; longer ones are no words.
+#: Longest stretch that is decoded as one word, in runs of one character; longer ones are decoded in parts.
 LONGEST = 40
 
 _table = np.full(65536, EDGE, np.int64)
@@ -32,6 +32,10 @@ for _c in range(65536):
 apart = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
 token = re.compile(r"\S+")
 run = re.compile(r"(.)\1{2,}")
+long_run = re.compile(r"(.)\1{3,}", re.S)
+single = re.compile(r"(.)\1*", re.S)
+#: Cuts a long stretch; none of these stands for a letter.
+between = re.compile(r"[^\w@$!|+(<#€*%]+|_+")
 outer = "\"'.,;:!?()[]{}<>*#$%&|-_~`^=/\\"
 
 
@@ -81,7 +85,7 @@ def lattice(word: str) -> list[list[tuple[float, tuple[int, ...]]]]:
 def restore(word: str, cost: np.ndarray) -> str:
     """The most likely plain word of a disguised one; other letters come back as '?'."""
     best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for choices in lattice(word[:LONGEST]):
+    for choices in lattice(word):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (so_far, text) in best.items():
             for extra, put in choices:
@@ -97,6 +101,18 @@ def restore(word: str, cost: np.ndarray) -> str:
     return min(ends)[1]
 
 
+def parts(disguise: str) -> list[str]:
+    """A stretch with its runs shortened; a long one cut at separators, then into overlapping windows."""
+    short = long_run.sub(r"\1\1\1", disguise)  # the lattice tells no longer runs apart
+    if len(short) <= LONGEST:
+        return [short]
+    out = []
+    for piece in [short] if sum(1 for _ in single.finditer(short)) <= LONGEST else between.split(short):
+        runs = [m[0] for m in single.finditer(piece)]
+        out += ["".join(runs[k : k + LONGEST]) for k in range(0, max(1, len(runs) - LONGEST // 2), LONGEST // 2)]
+    return [x for x in out if x]
+
+
 class Restorer:
     """Restored words of texts, each distinct disguise decoded once while it is remembered."""
 
@@ -107,9 +123,21 @@ class Restorer:
         if disguise not in self.known:
             if len(self.known) > self.size:
                 self.known.clear()
-            self.known[disguise] = restore(disguise, self.cost) if len(disguise) <= LONGEST else ""
+            self.known[disguise] = restore(disguise, self.cost)
         return self.known[disguise]
 
+    def all(self, disguise: str) -> set[str]:
+        """What a stretch of any length stands for; of a window, also what follows its first letters."""
+        cut = parts(disguise)
+        out = {self.word(x) for x in cut}
+        if len(cut) > 1:
+            for x in cut:
+                runs = sum(1 for _ in single.finditer(x))
+                if runs > LONGEST // 2:
+                    plain = self.word(x)
+                    out.update(plain[k:] for k in range(1, len(plain) - 3))
+        return out
+
     def words(self, low: str) -> set[str]:
         """Distinct words of a text in lower case, and what its disguised ones stand for."""
         out = set()
@@ -118,12 +146,12 @@ class Restorer:
             if w.isalpha():
                 out.add(w)
                 if run.search(w):
-                    out.add(self.word(w))
+                    out.update(self.all(w))
             elif w:
                 out.update(re.findall(r"[^\W\d_]+", w))
-                out.add(self.word(w))
+                out.update(self.all(w))
             if t != w and t[:1] in LEET:
-                out.add(self.word(t.rstrip(outer)))
+                out.update(self.all(t.rstrip(outer)))
         for m in apart.finditer(low):
             drawn = re.sub(r"[ .\-_*]+", "", m[0])
             out.update(self.word(drawn[k : k + LONGEST]) for k in range(len(drawn) - 3))

@@ -334,6 +334,14 @@ def test_restored_words(spark):
     assert noisy.Restorer(cost).words("") == set()
 
 
+def test_long_stretches_are_restored(spark):
+    words = noisy.Restorer(toxicity.character_costs(common.documents(spark, "/root/testdata/sf0.01"))).words
+    assert "idiot" in words("idi" + "o" * 60 + "t") and "idiot" in words("1d1" + "0" * 60 + "t")
+    assert "idiot" in words("/".join(["1d10t"] * 20))
+    assert {"idiot", "moron", "loser"} <= words(",".join(["1d10t", "m0r0n", "l0ser"] * 8))
+    assert any(w.startswith("idiot") for w in words("q7" * 30 + "1d10t" + "k9" * 30))
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = common.documents(spark, "/root/testdata/sf0.1")
     marked = common.labels(spark, "/root/testdata/sf0.1")
