@@ -255,7 +255,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    rows = common.numbered(docs)
+    rows = common.numbered(docs).select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(HotTable(hot_table(rows, path, hot_words)))
     n = common.partitions(spark)
 

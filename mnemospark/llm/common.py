@@ -1,30 +1,39 @@
-"""Shared helpers: shared-folder tables, null handling, hot-key detection."""
+"""Shared helpers: shared-folder tables, row numbers, null handling, bounded Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text separators of the contracts: space and \x09-\x0D.
 ASCII_SPACE = r"\x20\x09-\x0D"
 
-#: Rows of an Arrow batch sent to Python: bounds what a worker holds at once.
-ARROW_ROWS = "1000"
+#: Rows and bytes of an Arrow batch sent to Python: bounds what a worker holds at once.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Spark's own values of these settings, in place where the user has set none.
+ARROW_UNSET = ("10000", "67108864b")
+#: Removes an execution's shuffle files as it ends, instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (as in tests on one machine) a temporary folder is used.
+    Only where it is unset and master is this machine (as in tests) a temporary folder is used.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "mnemospark-shared")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,19 +44,48 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session; called by every operator that uses Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Bound this session's Arrow batches where the user has not; called by operators that use Python."""
+    for key, value in ARROW.items():
+        if spark.conf.get(key) in ARROW_UNSET:
+            spark.conf.set(key, value)
+
+
+def release() -> None:
+    """Give a worker's freed memory back to the system: workers are used again by other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function after whose last batch freed memory is given back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only its own running tasks. Schema is passed on,
-    so that an empty table reads back too.
+    so that an empty table reads back too. The shuffle files behind df go as soon as it is
+    written. Tables lie in the shared folder until its owner clears it, as a returned
+    DataFrame may read them at any time.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,28 +119,39 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text): rid numbers rows in the order of doc_id, null last, then text.
+    """(rid, row, text): row holds all columns but text, rid numbers rows in the order of doc_id.
 
-    Where doc_id is unique, it is rid. Otherwise rows of one doc_id are numbered by their text.
+    Null ids come last, rows of one doc_id in no fixed order. Where doc_id is unique, it is rid.
+    Otherwise rows are dealt into ranges of (doc_id, hash of the text, place in the input), so
+    that neither null ids nor copies meet in one task, and numbered by range and place: 2 ** 31
+    ranges of 2 ** 33 rows, whatever the ids are.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    same = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    most, highest, nulls = same.agg(F.max("n"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    doc_id = docs["doc_id"].cast("long")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
+    same = docs.groupBy(doc_id.alias("doc_id")).agg(F.count("*").alias("n"))
+    most, nulls = same.agg(F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
     if (most or 1) == 1 and not nulls:
-        return rows.select(F.col("doc_id").alias("rid"), "doc_id", "text")
-    bits = int(most).bit_length()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    return rows.select((F.shiftleft(F.coalesce("doc_id", F.lit((highest or 0) + 1).cast("long")), bits) + nth).alias("rid"), "doc_id", "text")
+        return docs.select(doc_id.alias("rid"), row, text_of(docs).alias("text"))
+    rows = docs.select(doc_id.alias("id"), row, text_of(docs).alias("text"), F.monotonically_increasing_id().alias("place"))
+    order = (F.col("id").asc_nulls_last(), F.xxhash64("text"), F.col("place"))
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return stored(dealt.select(F.monotonically_increasing_id().alias("rid"), "row", "text"), "numbered")
+
+
+def in_order(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of a row and its text as they were before numbered."""
+    return rows.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(rid, doc_id, packed): texts compressed before they are shuffled."""
+    """(rid, row, packed) of numbered rows: texts compressed before they are shuffled."""
 
     def run(batches):
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary())], ["rid", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary())], ["rid", "row", "packed"])
 
-    return rows.mapInArrow(run, "rid long, doc_id long, packed binary")
+    schema = rows.drop("text").schema.add("packed", "binary")
+    return rows.select("rid", "row", "text").mapInArrow(frugal(run), schema)

@@ -44,7 +44,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.query(suffix.deduplicate(documents(spark, sf_dir)))
+    return suffix.query(suffix.deduplicate(documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

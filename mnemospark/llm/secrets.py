@@ -43,6 +43,8 @@ MORE = (
 )
 RULES = BASE + MORE
 MASK = "[SECRET]"
+#: Matches of a rule in a text from which on they are placed in blocks.
+BLOCKS = 64
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -61,23 +63,38 @@ def spans_of(rule: Rule, rank: int, text: Column) -> Column:
         F.transform(part, F.length).alias("part"),
     )
 
+    zero = F.lit(0).cast("long")
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
         kept = F.when(x["part"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct((start + x["size"]).alias("at"), kept.alias("out"))
 
-    return F.aggregate(sizes, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    def fold(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+
+    def folded(x: Column) -> Column:
+        # In blocks of the root of the matches, as an array is copied whenever it grows.
+        n = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(x, k * n + 1, n))
+        size = lambda block: F.aggregate(block, zero, lambda acc, y: acc + y["gap"] + y["size"])
+        starts = F.aggregate(F.transform(blocks, size), F.array(zero), lambda acc, y: F.concat(acc, F.array(F.element_at(acc, -1) + y)))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), F.slice(starts, 1, n).alias("at")), lambda b: fold(b["block"], b["at"])))
+
+    return F.transform(F.array(sizes), lambda x: F.when(F.size(x) == 0, F.array().cast(SPANS)).when(F.size(x) < BLOCKS, fold(x, zero)).otherwise(folded(x)))[0]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a column spans: array<struct<start, rank, end, kind>>, by start, then rule.
+    """(row, text, spans) of every row of docs: row is a struct of all columns but text, so no
+    name clashes; spans: array<struct<start, rank, end, kind>>, by start, then rule.
 
-    Every row gets one row; all columns of docs are kept (a column named spans is replaced). A
-    null text counts as empty and has no span. Repeated rows are scanned each.
+    A null text counts as empty, has no span and stays null. Repeated rows are scanned each,
+    texts of any length whole. Spans of different rules may overlap; ties in start are in the
+    order of the rules. An empty table gives an empty table.
     """
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "spans"]).alias("row"))
-    text = F.coalesce(F.col("row.text"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row"), "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
     rows = rows.withColumn("row_key", F.xxhash64("row.doc_id", text))
     queries = [trigrams.query(r.pattern) for r in rules]
     found = trigrams.candidates(rows.select("row_key", text.alias("text")), queries).withColumnRenamed("row_key", "found_key")
@@ -86,7 +103,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for k, (rule, q) in enumerate(zip(rules, queries, strict=True)):
         proposed = F.lit(True) if q is True else F.coalesce(F.col("rules").bitwiseAND(F.lit(1 << k)), F.lit(0)) != 0
         parts.append(F.when(proposed & text.rlike(rule.hint or rule.pattern), spans_of(rule, k, text)).otherwise(F.array().cast(SPANS)))
-    return joined.select("row.*", F.array_sort(F.concat(*parts)).alias("spans"))
+    return joined.select("row", "text", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def shown(spans: Column) -> Column:
@@ -101,7 +118,7 @@ def query(scanned: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k, r.kind) for k, r in enumerate(BASE)]
-    return scanned.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(F.encode(shown(base), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return scanned.select(F.col("row.doc_id").cast("long").alias("doc_id"), *counts, F.sha2(F.encode(shown(base), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -118,7 +135,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
 
     masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, last)).otherwise(F.col("text"))
-    return scan(docs, rules).withColumn("text", masked).select(*docs.columns)
+    return common.in_order(scan(docs, rules), docs.columns, masked)
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

@@ -24,7 +24,6 @@ BITS = 64
 HOT_SHARE = 1000
 #: Near copies: bits that may differ, blocks of the fingerprint, blocks taken together, sets of blocks shuffled at once.
 REACH, BLOCKS, TOGETHER, AT_ONCE = 12, 6, 3, 5
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -116,50 +115,57 @@ def far_links(fps: DataFrame) -> DataFrame:
     Every half emits its variants of one flipped bit; those that share one are linked to the
     smallest of them, so links grow with the rows, whatever a group's size. fps has distinct fp.
     """
-    spark, out, before = fps.sparkSession, [], fps.sparkSession.conf.get(_CLEANUP, None)
-    halves = block_masks()
-    spark.conf.set(_CLEANUP, "true")  # the files of one shuffle go before the next
-    try:
-        for k in range(0, len(halves), AT_ONCE):
-            flips = [(signed(h), signed(1 << b if b < BITS else 0)) for h in halves[k : k + AT_ONCE] for b in (*(b for b in range(BITS) if h >> b & 1), BITS)]
-            each = F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("half"), F.lit(m).cast("long").alias("flip")) for h, m in flips])).alias("x")
-            emitted = fps.select("fp", each).select("fp", F.col("fp").bitwiseAND(F.col("x.half")).bitwiseXOR(F.col("x.flip")).alias("variant"))
-            met = emitted.groupBy("variant").agg(F.collect_list("fp").alias("ball")).filter(F.size("ball") > 1)
-            star = met.select(F.array_min("ball").alias("a"), F.explode("ball").alias("b")).filter("a <> b")
-            out.append(common.stored(star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH).distinct(), "far-links"))
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out, halves = [], block_masks()
+    for k in range(0, len(halves), AT_ONCE):  # the files of one shuffle go before the next
+        flips = [(signed(h), signed(1 << b if b < BITS else 0)) for h in halves[k : k + AT_ONCE] for b in (*(b for b in range(BITS) if h >> b & 1), BITS)]
+        each = F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("half"), F.lit(m).cast("long").alias("flip")) for h, m in flips])).alias("x")
+        emitted = fps.select("fp", each).select("fp", F.col("fp").bitwiseAND(F.col("x.half")).bitwiseXOR(F.col("x.flip")).alias("variant"))
+        met = emitted.groupBy("variant").agg(F.collect_list("fp").alias("ball")).filter(F.size("ball") > 1)
+        star = met.select(F.array_min("ball").alias("a"), F.explode("ball").alias("b")).filter("a <> b")
+        out.append(common.stored(star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH).distinct(), "far-links"))
     return functools.reduce(DataFrame.unionByName, out).distinct()
 
 
-def shingles(text: str, words: int) -> set[bytes]:
+def shingles(text: str, words: int):
+    """Sorted distinct hashes of a text's word shingles; a shorter text has one, of all its words."""
+    import numpy as np
+    import xxhash
+
     w = text.encode().lower().split()
-    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))), np.uint64))
+
 
+def similarity(x, y) -> float:
+    """Jaccard similarity of two results of shingles."""
+    import numpy as np
+
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id): the smallest doc_id of each group of texts linked by a Jaccard similarity of least.
+
+def near_copies(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(rid) of numbered rows: the smallest of each group of texts linked by a Jaccard similarity of least.
 
     Candidates are texts whose fingerprints far_links finds, verified on their sets of word
-    shingles. A null text counts as empty; rows with a null doc_id are left out.
+    shingles, one pair at a time. Repeated rows and equal texts are one group, as are all texts
+    without words; an empty table gives an empty table.
     """
-    common.prepare(docs.sparkSession)
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).withColumn("key", F.xxhash64("text"))
+    common.prepare(rows.sparkSession)
+    rows = rows.select("rid", "text").withColumn("key", F.xxhash64("text"))
 
     def prints(batches):
         for b in batches:
             found = [signed(fingerprint(t.encode())) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["key", "doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["key", "rid", "fp"])
 
     def alike(batches):
         for b in batches:
-            pairs = zip(*(b.column(k).to_pylist() for k in (2, 3)), strict=True)
-            sets = [(shingles(x, words), shingles(y, words)) for x, y in pairs]
-            keep = pa.array([len(x & y) >= least * len(x | y) for x, y in sets], pa.bool_())
+            pairs = zip(*(b.column(k) for k in (2, 3)), strict=True)
+            keep = pa.array([similarity(shingles(x.as_py(), words), shingles(y.as_py(), words)) >= least for x, y in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
 
-    found = rows.select("key", "doc_id", "text").mapInArrow(prints, "key long, doc_id long, fp long")
-    texts = common.stored(found.groupBy("key", "fp").agg(F.min("doc_id").alias("least")), "texts")
+    found = rows.select("key", "rid", "text").mapInArrow(common.frugal(prints), "key long, rid long, fp long")
+    texts = common.stored(found.groupBy("key", "fp").agg(F.min("rid").alias("least")), "texts")
     # Texts of one fingerprint meet the smallest of them and those of the fingerprints linked to theirs.
     first = common.stored(texts.groupBy("fp").agg(F.min("key").alias("key")), "fingerprint-texts")
     met = far_links(first.select("fp"))
@@ -169,9 +175,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     wanted = pairs.select(F.col("ka").alias("key")).union(pairs.select("kb")).distinct()
     wanted = common.stored(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "candidate-texts")
     joined = pairs.join(wanted.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka").join(wanted.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb")
-    linked = joined.select("ka", "kb", "ta", "tb").mapInArrow(alike, "a long, b long")
+    linked = joined.select("ka", "kb", "ta", "tb").mapInArrow(common.frugal(alike), "a long, b long")
     rooted = texts.join(components(linked).withColumnRenamed("node", "key"), "key", "left")
-    return rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
+    return rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("rid")).select("rid")
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

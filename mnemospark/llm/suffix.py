@@ -1,16 +1,22 @@
 """Suffix-array deduplication by distributed prefix doubling.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier. Suffixes
-are compared on prefixes that grow by doubling: within a text, the rank of 2n bytes is the rank
-pair of two n-byte prefixes (64-bit names stand for ranks, so equal names are equal ranks and
-no rank has to be fetched from elsewhere). Spark sorts (rank, position) pairs at two lengths:
-
-* at ``SEED`` bytes, sampled: of the suffixes that start in a window, only the one of least
-  rank is sorted, with the run of windows that it stands for. Equal windows choose equal seeds,
-  so a seed that is unique makes all its windows unique: they are done. If all runs of a seed
-  are equal, all but the first are repeats: done as well.
-* at the threshold: only the windows of the remaining runs are ranked by their whole length
-  and sorted; all but the first of equal rank are repeats.
+are compared on prefixes that grow by doubling; the rank of 2n bytes is the rank pair of two
+n-byte prefixes. Spark sorts (rank, position) pairs at each of ``SEEDS`` bytes and at the
+threshold, each time only of what is still open:
+
+* at a seed length, of the suffixes that start in a window (``length`` bytes) only the one of
+  least rank is sorted, with the run of windows that it stands for. Equal windows choose equal
+  seeds, so a seed that is unique makes all its windows unique: they are done. If all runs of
+  a seed are equal, all but the first are repeats: done as well. All but the first of equal
+  runs are repeats; the first ones stay open.
+* at the threshold the windows that are still open are sorted one by one; all but the first of
+  equal rank are repeats.
+
+Ranks are 64-bit names, so that a text's own prefixes double without a shuffle. Seeds of equal
+name only cost work. What is removed is equal in two independent names of 64 bits each, the
+rank and a polynomial over the bytes, besides its seed's: two different strings of n have both
+in common with a probability of about n ** 2 / 2 ** 129, that is 1e-11 for 1e14 windows.
 
 Sorted partitions are read as a stream with one open run, so a rank that a third of all texts
 share needs no memory; repeats inside a batch are resolved before the shuffle.
@@ -18,26 +24,29 @@ share needs no memory; repeats inside a batch are resolved before the shuffle.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
-LENGTH, SEED = 100, 32
+LENGTH, SEEDS = 100, (32, 64)
 #: Bytes that are ranked at once; longer texts go in overlapping stretches.
-STRETCH = 1 << 22
-#: What becomes of a run: it repeats an earlier one, or its windows are compared one by one.
+STRETCH = 1 << 20
+#: Bytes, runs or windows gathered before they are sent; bytes of texts returned at once.
+GATHER, WINDOWS, RETURNED = 1 << 22, 400_000, 1 << 22
+#: What becomes of a run: it repeats an earlier one, or its windows are compared further.
 AGAIN, OPEN = 1, 2
 #: Different runs of a seed in a batch that make it hot.
 HOT_RUNS = 32
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S1, _S2 = np.uint64(29), np.uint64(32)
-_MASK = np.uint64((1 << 48) - 1)
+_BASE = 0xD6E8FEB86659FD93
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,6 +80,26 @@ def ranks(data: bytes, lengths: tuple[int, ...]) -> list[np.ndarray]:
     return [out[x] for x in lengths]
 
 
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte; the powers of the polynomial's base and their inverses modulo 2 ** 64."""
+    value = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _A)
+    out = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        factors = np.full(STRETCH + 1, x, np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors))
+    return value, *out
+
+
+def checks(data: bytes, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """A second name of each data[first : first + size], independent of its rank."""
+    value, up, down = _powers()
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value[np.frombuffer(data, np.uint8)] * up[: len(data)], out=total[1:])
+    return (total[first + size] - total[first]) * down[first]
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -81,10 +110,10 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: bytes, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """(rank of the seed, rank of the run, first window, windows) of the runs of one stretch."""
+    """(rank of the seed, rank of the run, its second name, first window, windows) of one stretch's runs."""
     whole, part = ranks(data, (length, seed))
     if not len(whole):
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64))
     low = np.uint64(24)
     keyed = ((part >> low) << low) | np.arange(len(part), dtype=np.uint64)  # ties: the leftmost
     at = sliding_least(keyed, length - seed + 1) & np.uint64((1 << 24) - 1)
@@ -92,7 +121,7 @@ def runs(data: bytes, length: int, seed: int) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(at)) - 1
     count = last - first + 1
     run = pair(pair(whole[first], whole[last]), count.astype(np.uint64))
-    return part[at[first].astype(np.int64)], run, first, count
+    return part[at[first].astype(np.int64)], run, checks(data, first, count + length - 1), first, count
 
 
 def stretches(n: int, length: int):
@@ -102,21 +131,47 @@ def stretches(n: int, length: int):
         yield s, min(n, s + STRETCH)
 
 
-def seed_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(seed, run, rid, at): a row for each run; at holds first window, windows, and what a batch
-    knows: AGAIN if the run repeats an earlier one of the batch, OPEN if its seed has HOT_RUNS
-    different runs there. Such a seed has several runs, so its rows needn't meet to find that out;
-    two of them stay unmarked to tell the seed's rows from other batches.
+def regions(at: list[int] | None, n: int, length: int):
+    """(start, end) of the bytes of each stretch of open windows; without open runs, of the whole text."""
+    if at is None:
+        yield from stretches(n, length)
+        return
+    runs_at = np.sort(np.array(at, np.int64))
+    first, after = runs_at >> 8, (runs_at >> 8) + (runs_at & 255)
+    cut = np.flatnonzero(first[1:] != after[:-1]) + 1  # runs of one text don't overlap
+    for start, end in zip(first[np.append(0, cut)].tolist(), after[np.append(cut - 1, len(first) - 1)].tolist(), strict=True):
+        for s, e in stretches(end + length - 1 - start, length):
+            yield start + s, start + e
+
+
+def texts_of(batches):
+    """(rid, bytes, open runs or None) of batches of (rid, packed, open)."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        for rid, text, at in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            yield rid, z.decompress(text), at
+
+
+def seed_rows(texts: DataFrame, length: int, seed: int, bits: int) -> DataFrame:
+    """(seed, run, check, rid, at) of (rid, packed, open): a row for each run; at holds first
+    window, windows, and what a batch knows: AGAIN if the run repeats an earlier one of the
+    batch, OPEN if its seed has HOT_RUNS different runs there. Such a seed has several runs, so
+    its rows needn't meet to find that out; two of them stay unmarked to tell the seed's rows
+    from other batches.
     """
-    names = ["seed", "run", "rid", "at"]
+    names = ["seed", "run", "check", "rid", "at"]
+    mask, seed_mask = np.uint64((1 << bits) - 1), np.uint64((1 << min(bits, 48)) - 1)
 
     def emit(parts: list, ids: list[int], starts: list[int]) -> pa.RecordBatch:
-        seeds, whole, first, count = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        seeds, whole, check, first, count = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        seeds, whole = seeds & seed_mask, whole & mask
         sizes = [len(p[0]) for p in parts]
         rid, start = np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(starts, np.int64), sizes) + first
-        order = np.lexsort((start, rid, whole))
+        order = np.lexsort((start, rid, check, whole))
         known = np.zeros(len(order), np.int64)
-        known[order[1:]] = np.where(whole[order[1:]] == whole[order[:-1]], AGAIN, 0)
+        known[order[1:]] = np.where((whole[order[1:]] == whole[order[:-1]]) & (check[order[1:]] == check[order[:-1]]), AGAIN, 0)
         once = np.flatnonzero(known == 0)
         once = once[np.argsort(seeds[once], kind="stable")]
         heads = np.flatnonzero(np.append(True, seeds[once[1:]] != seeds[once[:-1]]))
@@ -124,25 +179,23 @@ def seed_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
         nth = np.arange(len(once)) - np.repeat(heads, size)
         known[once[(np.repeat(size, size) >= HOT_RUNS) & (nth >= 2)]] = OPEN
         at = (start << 10) | (count << 2) | known
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in ((seeds & _MASK).astype(np.int64), (whole & _MASK).astype(np.int64), rid, at)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (seeds.view(np.int64), whole.view(np.int64), check.view(np.int64), rid, at)], names)
 
     def run(batches):
         parts, ids, starts, size = [], [], [], 0
-        for b in batches:
-            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = text.encode()
-                for s, e in stretches(len(data), length):
-                    parts.append(runs(data[s:e], length, seed))
-                    ids.append(rid)
-                    starts.append(s)
-                    size += e - s
-                    if size > STRETCH * 4:
-                        yield emit(parts, ids, starts)
-                        parts, ids, starts, size = [], [], [], 0
+        for rid, data, at in texts_of(batches):
+            for s, e in regions(at, len(data), length):
+                parts.append(runs(data[s:e], length, seed))
+                ids.append(rid)
+                starts.append(s)
+                size += e - s
+                if size > GATHER:
+                    yield emit(parts, ids, starts)
+                    parts, ids, starts, size = [], [], [], 0
         if parts:
             yield emit(parts, ids, starts)
 
-    return rows.select("rid", "text").mapInArrow(run, "seed long, run long, rid long, at long")
+    return texts.mapInArrow(common.frugal(run), "seed long, run long, check long, rid long, at long")
 
 
 def told_runs(rid: np.ndarray, at: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
@@ -150,27 +203,27 @@ def told_runs(rid: np.ndarray, at: np.ndarray, kind: np.ndarray) -> pa.RecordBat
 
 
 def resolve(batches):
-    """Of pairs sorted by (seed, run, rid, at): repeats, and the runs that need the whole length.
+    """Of rows sorted by (seed, run, check, rid, at): repeats, and the runs that are still open.
 
     A seed with one run only: all but its first pair repeat. With several: all but the first of
     each run repeat, and those first ones go on. One row is held while its seed may continue.
     Rows that a batch knew about are passed on as they are: their kind is what it knew.
     """
-    held = None  # (seed, run, rid, at, whether it waits to be told, whether its seed has several runs)
+    held = None  # (seed, run, check, rid, at, whether it waits to be told, whether its seed has several runs)
     for b in batches:
-        seed, run, rid, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        seed, run, check, rid, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         known = at & 3
         if known.any():
             yield told_runs(rid[known > 0], at[known > 0], known[known > 0])
-            seed, run, rid, at = (x[known == 0] for x in (seed, run, rid, at))
+            seed, run, check, rid, at = (x[known == 0] for x in (seed, run, check, rid, at))
         if not len(seed):
             continue
         several, waits = False, False
         if held:
-            seed, run, rid, at = (np.append(h, x) for h, x in zip(held[:4], (seed, run, rid, at), strict=True))
-            waits, several = held[4:]
+            seed, run, check, rid, at = (np.append(h, x) for h, x in zip(held[:5], (seed, run, check, rid, at), strict=True))
+            waits, several = held[5:]
         new_seed = np.append(True, seed[1:] != seed[:-1])
-        new_run = new_seed | np.append(True, run[1:] != run[:-1])
+        new_run = new_seed | np.append(True, (run[1:] != run[:-1]) | (check[1:] != check[:-1]))
         group = np.cumsum(new_seed) - 1
         kinds = np.bincount(group, new_run) > 1
         kinds[0] |= several
@@ -187,80 +240,76 @@ def resolve(batches):
             keep, wait = first_of_last, True
         else:
             keep, wait = last, False
-        held = (seed[keep], run[last], rid[keep], at[keep], wait, bool(kinds[-1]))
+        held = (seed[keep], run[last], check[last], rid[keep], at[keep], wait, bool(kinds[-1]))
         if wait:
             out[keep] = 0
         told = np.flatnonzero(out)
         yield told_runs(rid[told], at[told], out[told])
 
 
-def window_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(rank, rid, start) of the windows of the runs in a column open of (rid, packed, open).
-
-    Windows that repeat an earlier one of the batch come with a rank of -1: they are known.
+def window_rows(texts: DataFrame, length: int, bits: int) -> DataFrame:
+    """(rank, check, rid, at) of the open windows of (rid, packed, open); at is start << 1, plus 1
+    for a window that repeats an earlier one of the batch: it is known.
     """
+    mask = np.uint64((1 << min(bits, 48)) - 1)
 
-    def emit(rank, rid, start):
-        rank, rid, start = np.concatenate(rank), np.concatenate(rid), np.concatenate(start)
-        order = np.lexsort((start, rid, rank))
-        again = np.zeros(len(order), bool)
-        again[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-        told = (rank >> np.uint64(1)).astype(np.int64)
-        told[again] = -1
-        return pa.RecordBatch.from_arrays([pa.array(told), pa.array(rid), pa.array(start)], ["rank", "rid", "start"])
+    def emit(rank, check, rid, start):
+        rank, check, rid, start = (np.concatenate(x) for x in (rank, check, rid, start))
+        rank &= mask
+        order = np.lexsort((start, rid, check, rank))
+        again = np.zeros(len(order), np.int64)
+        again[order[1:]] = (rank[order[1:]] == rank[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rank.view(np.int64), check.view(np.int64), rid, (start << 1) | again)], ["rank", "check", "rid", "at"])
 
     def run(batches):
-        import zstandard
-
-        z = zstandard.ZstdDecompressor()
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         size = 0
-        for b in batches:
-            for rid, text, open_runs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                data = z.decompress(text)
-                for at in open_runs:
-                    first, count = at >> 8, at & 255
-                    out[0].append(ranks(data[first : first + count + length - 1], (length,))[0])
-                    out[1].append(np.full(count, rid, np.int64))
-                    out[2].append(np.arange(first, first + count))
-                    size += count
-                if size > 1_000_000:
+        for rid, data, at in texts_of(batches):
+            for s, e in regions(at, len(data), length):
+                n = e - s - length + 1
+                part = data[s:e]
+                for column, value in zip(out, (ranks(part, (length,))[0], checks(part, np.arange(n), length), np.full(n, rid, np.int64), np.arange(s, s + n)), strict=True):
+                    column.append(value)
+                size += n
+                if size > WINDOWS:
                     yield emit(*out)
-                    out, size = ([], [], []), 0
+                    out, size = ([], [], [], []), 0
         if size:
             yield emit(*out)
 
-    return texts.mapInArrow(run, "rank long, rid long, start long")
+    return texts.mapInArrow(common.frugal(run), "rank long, check long, rid long, at long")
 
 
 def repeats(batches):
-    """Of (rank, rid, start) sorted so: all but the first of each rank."""
+    """Of (rank, check, rid, at) sorted so: all but the first of each rank and check."""
     last = None
     for b in batches:
-        rank = b.column(0).to_numpy(zero_copy_only=False)
+        rank, check, at = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
         if not len(rank):
             continue
-        again = np.append(rank[0] == last if last is not None else False, rank[1:] == rank[:-1]) | (rank < 0)
-        last = rank[-1]
+        # Known ones repeat a window that comes before them here or lies in another partition.
+        again = np.append((rank[0], check[0]) == last, (rank[1:] == rank[:-1]) & (check[1:] == check[:-1])) | (at & 1 == 1)
+        last = (rank[-1], check[-1])
         keep = pa.array(again)
-        yield pa.RecordBatch.from_arrays([b.column(1).filter(keep), b.column(2).filter(keep)], ["rid", "start"])
+        yield pa.RecordBatch.from_arrays([b.column(2).filter(keep), pa.array(((at >> 1) << 8) | 1).filter(keep)], ["rid", "at"])
 
 
-def repeated_windows(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(rid, at): runs of windows that also start earlier; at is first window << 8 | windows."""
-    spark = rows.sparkSession
-    n = common.partitions(spark)
+def repeated_windows(texts: DataFrame, length: int, seeds: tuple[int, ...], bits: int) -> list[DataFrame]:
+    """Tables (rid, at) of runs of windows that also start earlier; at is first window << 8 | windows."""
+    n = common.partitions(texts.sparkSession)
     known = F.col("at").bitwiseAND(F.lit(3)) != 0
     deal_seed = F.when(known, F.xxhash64("rid", "at")).otherwise(F.col("seed"))
-    sampled = seed_rows(rows, length, seed).repartition(n, deal_seed).sortWithinPartitions("seed", "run", "rid", "at")
-    told = common.stored(sampled.mapInArrow(resolve, "rid long, at long, kind int"), "suffix-runs")
-    repeated = told.filter(F.col("kind") == AGAIN).select("rid", "at")
-    still = told.filter(F.col("kind") == OPEN).groupBy("rid").agg(F.collect_list("at").alias("open"))
-    texts = common.packed(rows).join(still, "rid").select("rid", "packed", "open")
-    deal = F.when(F.col("rank") < 0, F.xxhash64("rid", "start")).otherwise(F.col("rank"))
-    sorted_windows = window_rows(texts, length).repartition(n, deal).sortWithinPartitions("rank", "rid", "start")
-    found = sorted_windows.mapInArrow(repeats, "rid long, start long")
-    return repeated.union(found.select("rid", F.shiftleft("start", 8).bitwiseOR(F.lit(1)).alias("at")))
+    found, now = [], texts.select("rid", "packed", F.lit(None).cast("array<bigint>").alias("open"))
+    for seed in seeds:
+        sampled = seed_rows(now, length, seed, bits).repartition(n, deal_seed).sortWithinPartitions("seed", "run", "check", "rid", "at")
+        told = common.stored(sampled.mapInArrow(common.frugal(resolve), "rid long, at long, kind int"), f"suffix-runs-{seed}")
+        found.append(told.filter(F.col("kind") == AGAIN).select("rid", "at"))
+        still = told.filter(F.col("kind") == OPEN).groupBy("rid").agg(F.collect_list("at").alias("open"))
+        now = texts.select("rid", "packed").join(still, "rid").select("rid", "packed", "open")
+    repeated = F.col("at").bitwiseAND(F.lit(1)) != 0
+    deal = F.when(repeated, F.xxhash64("rid", "at")).otherwise(F.col("rank"))
+    windows = window_rows(now, length, bits).repartition(n, deal).sortWithinPartitions("rank", "check", "rid", "at")
+    return [*found, common.stored(windows.mapInArrow(common.frugal(repeats), "rid long, at long"), "suffix-windows")]
 
 
 def removed(data: bytes, runs_at: list[int], length: int) -> tuple[int, int, bytes]:
@@ -277,58 +326,48 @@ def removed(data: bytes, runs_at: list[int], length: int) -> tuple[int, int, byt
     return int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_text) of every row.
+def deduplicate(docs: DataFrame, length: int = LENGTH, seeds: tuple[int, ...] = SEEDS, as_text: bool = False, bits: int = 64) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept) of every row of docs.
 
-    kept are the bytes that stay, kept_text is their text without the parts of characters that
-    a cut left behind.
+    row is a struct of all columns but text, so no name clashes. kept are the bytes that stay;
+    as_text, they are a text without the parts of characters that a cut left behind. bits are
+    those of a rank (fewer for tests).
 
-    Texts are ordered by doc_id, a null doc_id after all others; rows of one doc_id by text, so
-    that of repeated rows one stays. A null text counts as empty. Texts shorter than length
-    stay whole. Other columns are ignored.
+    Texts are ordered by doc_id, a null doc_id after all others; rows of one doc_id in no fixed
+    order, and of repeated rows one keeps its text. A null text counts as empty. Texts shorter
+    than length stay whole unless empty; very long ones are ranked in overlapping stretches and
+    lose nothing. Of equal strings the earliest stays, so ties are none. An empty table gives an
+    empty table.
     """
-    if not 8 <= seed < length <= seed + 254:
+    if not all(8 <= seed < length <= seed + 254 for seed in seeds):
         raise ValueError("8 <= seed < length <= seed + 254")
-    spark = docs.sparkSession
-    common.prepare(spark)
-    rows = common.numbered(docs)
-    found = common.stored(repeated_windows(rows, length, seed), "suffix-repeats")
+    common.prepare(docs.sparkSession)
+    texts = common.stored(common.packed(common.numbered(docs)), "suffix-texts")
+    found = functools.reduce(DataFrame.unionByName, repeated_windows(texts, length, seeds, bits))
     by_text = found.groupBy("rid").agg(F.collect_list("at").alias("runs"))
+    names = ["row", "n_bytes", "n_removed", "n_spans", "kept"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
 
     def cut(batches):
         import zstandard
 
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            start, out, size = 0, ([], [], [], []), 0
+            for i, (text, at) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), 1):
                 data = z.decompress(text)
                 n, spans, kept = removed(data, at or [], length)
-                for column, value in zip(out, (len(data), n, spans, kept, kept.decode("utf-8", "ignore")), strict=True):
+                for column, value in zip(out, (len(data), n, spans, kept.decode("utf-8", "ignore") if as_text else kept), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
+                size += len(kept)
+                if size > RETURNED or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i - start), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
+                    start, out, size = i, ([], [], [], []), 0
 
-    joined = common.packed(rows).join(by_text, "rid", "left").select("doc_id", "packed", "runs")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    joined = texts.join(by_text, "rid", "left").select("row", "packed", "runs")
+    schema = T.StructType([texts.schema["row"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
+    return joined.mapInArrow(common.frugal(cut), schema)
 
 
 def query(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: dict[int, str], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
-    """The query's rows for a few texts, the plain way; for tests."""
-    seen, out = set(), {}
-    for doc in sorted(texts):
-        data = texts[doc].encode()
-        gone = bytearray(len(data))
-        for p in range(len(data) - length + 1):
-            s = data[p : p + length]
-            if s in seen:
-                gone[p : p + length] = b"\1" * length
-            seen.add(s)
-        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
-        out[doc] = (len(data), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(data, gone, strict=True) if not g)).hexdigest())
-    return out
-
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, noisy
 
@@ -52,7 +53,7 @@ def character_costs(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "n"])
 
-    rows = docs.select(common.text_of(docs).alias("text")).mapInArrow(run, "code long, n long")
+    rows = docs.select(common.text_of(docs).alias("text")).mapInArrow(common.frugal(run), "code long, n long")
     counts = np.zeros(noisy.SIZE**3, np.int64)
     for r in rows.groupBy("code").agg(F.sum("n").alias("n")).collect():  # SIZE ** 3 rows at most
         counts[r["code"]] = r["n"]
@@ -62,11 +63,13 @@ def character_costs(docs: DataFrame) -> np.ndarray:
 def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """(doc_id, text, y) of at most size labelled rows out of the training folds.
 
-    The ids are at most size many, so they are broadcast; texts are not shuffled.
+    The ids are at most size many, so they are broadcast; only texts with such an id are shuffled.
+    Of repeated rows of an id one counts, so an id with many rows doesn't fill the driver.
     """
     chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (common.fold_of(F.col("doc_id"), FOLDS) != 0))
     chosen = chosen.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("labelled"), "labelled").limit(size)
-    return docs.select("doc_id", common.text_of(docs).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "y")
+    rows = docs.select("doc_id", common.text_of(docs).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
 
 
 def fit_weights(rows: list[tuple[list[int], int]], n: int, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -93,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """
     common.prepare(docs.sparkSession)
     cost = character_costs(docs)
-    rows = common.stored(sample(docs, labels, size).repartition(common.partitions(docs.sparkSession)), "toxicity-sample")
+    rows = common.stored(sample(docs, labels, size), "toxicity-sample").repartition(common.partitions(docs.sparkSession))
 
     def count(batches):
         restorer, seen = noisy.Restorer(cost), {}
@@ -112,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
-    counts = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(common.frugal(count), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # Features of toxic texts by the surplus of their share over that among clean ones.
     surplus = F.col("toxic") / F.lit(float(toxic or 1)) - 3 * F.col("clean") / F.lit(float(clean or 1))
     chosen = [r["feature"] for r in counts.filter("toxic >= 3").withColumn("surplus", surplus).filter("surplus > 0").orderBy(F.desc("surplus"), "feature").limit(FEATURES).collect()]
@@ -124,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
             found = [sorted(place[f] for f in features(restorer.words(t.lower())) & place.keys()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(2).cast(pa.int32())], ["x", "y"])
 
-    data = [(r["x"], r["y"]) for r in rows.mapInArrow(vectors, "x array<int>, y int").collect()]
+    data = [(r["x"], r["y"]) for r in rows.mapInArrow(common.frugal(vectors), "x array<int>, y int").collect()]
     if not clean or not toxic:
         return Model(cost, {}, float(np.log((toxic + 0.5) / (clean + 0.5))) if data else -1.0)
     w, b = fit_weights(data, len(chosen))
@@ -132,10 +135,12 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, score): every row of docs as a struct with its score from 0 to 1.
+    """(row, text, score) of every row of docs: row is a struct of all columns but text, so no
+    name clashes; the score is from 0 to 1.
 
-    A null text counts as empty; empty texts get the score of a text without any feature.
-    Repeated rows are scored each.
+    A null text counts as empty and stays null; empty texts get the score of a text without any
+    feature. Texts of any length are scored whole. Repeated rows are scored each, an empty table
+    gives an empty table.
     """
     common.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -144,14 +149,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         restorer = noisy.Restorer(m.cost)
         for b in batches:
-            found = [m.score(restorer.words((t or "").lower())) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "toxicity_score"])
+            found = [m.score(restorer.words((t or "").lower())) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], ["row", "text", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, toxicity_score double")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row"), "text")
+    return rows.mapInArrow(common.frugal(run), T.StructType(list(rows.schema)).add("score", "double"))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = score(rows, train(docs, labels)).withColumnRenamed("toxicity_score", "score")
+    found = score(rows, train(docs, labels)).select("row.doc_id", "score")
     return found.select("doc_id", (common.fold_of(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
