@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 #: Text separators of the contracts: space and \x09-\x0D.
 ASCII_SPACE = r"\x20\x09-\x0D"
 
-#: Rows and bytes of an Arrow batch sent to Python: bounds what a worker holds at once.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
-#: Spark's own values of these settings, in place where the user has set none.
-ARROW_UNSET = ("10000", "67108864b")
+#: Bytes of an Arrow batch sent to Python: bounds what a worker holds at once. Spark's own bound, in place where the user has set none.
+ARROW_BYTES, ARROW_UNSET = "4m", "67108864b"
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Removes an execution's shuffle files as it ends, instead of when the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -44,10 +43,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound this session's Arrow batches where the user has not; called by operators that use Python."""
-    for key, value in ARROW.items():
-        if spark.conf.get(key) in ARROW_UNSET:
-            spark.conf.set(key, value)
+    """Bound this session's Arrow batches where the user has not; called by operators that use Python.
+
+    Batches are made when a returned DataFrame runs, so the setting has to stay.
+    """
+    if spark.conf.get(_ARROW) == ARROW_UNSET:
+        spark.conf.set(_ARROW, ARROW_BYTES)
 
 
 def release() -> None:

@@ -109,20 +109,38 @@ def block_masks() -> list[int]:
     return [sum(c) for c in itertools.combinations(blocks, TOGETHER)]
 
 
+def stars(batches):
+    """Of (variant, fp) sorted so: each fp with the smallest of its variant, if within REACH; once a batch."""
+    import numpy as np
+
+    variant, least = None, 0
+    for b in batches:
+        v, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not len(v):
+            continue
+        new = np.append(variant is None or v[0] != variant, v[1:] != v[:-1])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(v)), -1))
+        a = np.where(lead >= 0, fp[lead], least)
+        variant, least = v[-1], a[-1]
+        near = (a != fp) & (np.bitwise_count((a ^ fp).view(np.uint64)) <= REACH)
+        found = np.unique(np.stack([a[near], fp[near]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+
 def far_links(fps: DataFrame) -> DataFrame:
     """(a, b): fingerprints of at most REACH differing bits, at most two of them in some half.
 
     Every half emits its variants of one flipped bit; those that share one are linked to the
-    smallest of them, so links grow with the rows, whatever a group's size. fps has distinct fp.
+    smallest of them, so links grow with the rows, whatever a group's size. Sorted variants are
+    read as a stream, so no group is gathered. fps has distinct fp.
     """
-    out, halves = [], block_masks()
+    out, halves, n = [], block_masks(), common.partitions(fps.sparkSession)
     for k in range(0, len(halves), AT_ONCE):  # the files of one shuffle go before the next
         flips = [(signed(h), signed(1 << b if b < BITS else 0)) for h in halves[k : k + AT_ONCE] for b in (*(b for b in range(BITS) if h >> b & 1), BITS)]
         each = F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("half"), F.lit(m).cast("long").alias("flip")) for h, m in flips])).alias("x")
-        emitted = fps.select("fp", each).select("fp", F.col("fp").bitwiseAND(F.col("x.half")).bitwiseXOR(F.col("x.flip")).alias("variant"))
-        met = emitted.groupBy("variant").agg(F.collect_list("fp").alias("ball")).filter(F.size("ball") > 1)
-        star = met.select(F.array_min("ball").alias("a"), F.explode("ball").alias("b")).filter("a <> b")
-        out.append(common.stored(star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH).distinct(), "far-links"))
+        emitted = fps.repartition(n, "fp").select("fp", each).select(F.col("fp").bitwiseAND(F.col("x.half")).bitwiseXOR(F.col("x.flip")).alias("variant"), "fp")
+        met = emitted.repartition(n, "variant").sortWithinPartitions("variant", "fp").mapInArrow(common.frugal(stars), "a long, b long")
+        out.append(common.stored(met.distinct(), "far-links"))
     return functools.reduce(DataFrame.unionByName, out).distinct()
 
 
@@ -166,11 +184,15 @@ def near_copies(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
 
     found = rows.select("key", "rid", "text").mapInArrow(common.frugal(prints), "key long, rid long, fp long")
     texts = common.stored(found.groupBy("key", "fp").agg(F.min("rid").alias("least")), "texts")
-    # Texts of one fingerprint meet the smallest of them and those of the fingerprints linked to theirs.
+    # The first texts of linked fingerprints meet; so does every text with its fingerprint's first
+    # one and with that of the smallest fingerprint linked to its own: pairs grow with the texts.
     first = common.stored(texts.groupBy("fp").agg(F.min("key").alias("key")), "fingerprint-texts")
-    met = far_links(first.select("fp"))
-    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(first.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    pairs = both.join(first.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(texts.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b")
+    met = common.stored(far_links(first.select("fp")), "fingerprint-links")
+    ka, kb = (first.select(F.col("fp").alias(x), F.col("key").alias(f"k{x}")) for x in "ab")
+    own = texts.select(F.col("fp").alias("b"), F.col("key").alias("kb"))
+    nearest = met.groupBy("b").agg(F.min("a").alias("a"))
+    pairs = met.join(ka, "a").join(kb, "b").select("ka", "kb")
+    pairs = pairs.unionByName(own.withColumnRenamed("b", "a").join(ka, "a").select("ka", "kb")).unionByName(own.join(nearest.join(ka, "a").select("b", "ka"), "b").select("ka", "kb"))
     pairs = common.stored(pairs.filter("ka <> kb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct(), "candidates")
     wanted = pairs.select(F.col("ka").alias("key")).union(pairs.select("kb")).distinct()
     wanted = common.stored(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "candidate-texts")
