@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +14,8 @@ FLAGS = (
     "secs", "short", "two_buttons", "default", "recency", "train_equals_test", "equalize_test_with_non_secs", "no_test_same_day", "no_train_same_day",
     "sched_penalties", "duration", "dev",
 )
+#: Options of other drivers of these models that a command line may hold.
+NO_EFFECT = {"--processes": 8, "--batch_size": 512, "--torch_num_threads": 1, "--gpus": None, "--raw": False, "--file": False, "--plot": False, "--weights": False}
 
 
 def settings(argv: list[str] | None = None) -> tuple[argparse.Namespace, Settings]:
@@ -27,7 +30,12 @@ def settings(argv: list[str] | None = None) -> tuple[argparse.Namespace, Setting
     parser.add_argument("--S0", dest="only_s0", action="store_true")
     for flag in FLAGS:
         parser.add_argument(f"--{flag}", action="store_true")
+    for flag, default in NO_EFFECT.items():
+        parser.add_argument(flag, **({"action": "store_true"} if default is False else {"type": type(default or ""), "default": default}), help="accepted, without effect here")
     args = parser.parse_args(argv)
+    for flag, default in NO_EFFECT.items():
+        if getattr(args, flag.strip("-")) != default:
+            print(f"{flag} has no effect here", file=sys.stderr)
     names = Settings.__dataclass_fields__
     return args, Settings(**{k: v for k, v in vars(args).items() if k in names})
 

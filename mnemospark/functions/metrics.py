@@ -49,20 +49,20 @@ def auc(predictions: DataFrame) -> DataFrame:
     return ranked.groupBy("user_id").agg(area(F.col("y"), F.col("r")).alias("auc"))
 
 
-def metrics(predictions: DataFrame) -> DataFrame:
-    """(user_id, size, NAMES) rounded to 6 digits.
+def metrics(predictions: DataFrame, kept: tuple[str, ...] = (), **more: Column) -> DataFrame:
+    """(user_id, size, NAMES) rounded to 6 digits, and more aggregates, of columns kept.
 
     One pass: ranks and bins are windows within a learner, so the predictions, which may be
     dear, are made once and shuffled once. A bin's squared gap counts once for each of its rows.
     """
     y, p = F.col("y"), F.col("p")
-    placed = predictions.select("user_id", "y", "p", bin_delta_t(F.col("delta_t")).alias("b1"), bin_i(F.col("i")).alias("b2"), bin_lapse(F.col("rmse_bins_lapse")).alias("b3"))
+    placed = predictions.select("user_id", "y", "p", bin_delta_t(F.col("delta_t")).alias("b1"), bin_i(F.col("i")).alias("b2"), bin_lapse(F.col("rmse_bins_lapse")).alias("b3"), *kept)
     same_bin = Window.partitionBy("user_id", "b1", "b2", "b3")
     rows = placed.withColumn("r", average_rank()).withColumn("gap", F.avg("y").over(same_bin) - F.avg("p").over(same_bin))
     precision, recall = precision_recall(y, p)
     found = rows.groupBy("user_id").agg(
         F.count("*").alias("size"), F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"), log_loss(y, p).alias("logloss"),
         F.sqrt(F.avg(F.col("gap") * F.col("gap"))).alias("rmse_bins"), area(y, F.col("r")).alias("auc"), precision.alias("precision_90"),
-        recall.alias("recall_90"), F.avg(p - y).alias("mbe"),
+        recall.alias("recall_90"), F.avg(p - y).alias("mbe"), *[c.alias(n) for n, c in more.items()],
     )
-    return found.select("user_id", "size", *[round6(F.col(n)).alias(n) for n in NAMES])
+    return found.select("user_id", "size", *[round6(F.col(n)).alias(n) for n in NAMES], *more)

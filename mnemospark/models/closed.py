@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bin_delta_t, bin_i, bin_lapse, exploit_bins, half_even, sigmoid  # noqa: F401
+from ..functions.folds import outputs
+from ..functions.scalar import exploit_bins, half_even, sigmoid
 from ..operators.splits import folds
 
 KEPT = ("user_id", "card_id", "review_th", "y", "delta_t", "i", "rmse_bins_lapse", "fold", "p")
@@ -29,13 +30,11 @@ def _log(rows: DataFrame, *columns: str) -> DataFrame:
 def moving_average(rows: DataFrame, n_splits: int = 5, start: float = 1.2, rate: float = 0.3) -> DataFrame:
     """sigma(x) before each review; x moves by rate times the error. Runs from the first review on."""
     placed = folds(rows, n_splits)
-    empty = F.array().cast("array<double>")
 
-    def step(acc: Column, r: Column) -> Column:
-        p = sigmoid(acc["x"])
-        return F.struct((acc["x"] + rate * (r["y"].cast("double") - p)).alias("x"), F.concat(acc["p"], F.array(p)).alias("p"))
+    def step(x: Column, r: Column) -> tuple[Column, Column]:
+        return x + rate * (r["y"].cast("double") - sigmoid(x)), sigmoid(x)
 
-    told = F.aggregate("log", F.struct(F.lit(start).alias("x"), empty.alias("p")), step, lambda acc: acc["p"])
+    told = outputs(F.col("log"), F.lit(start), "double", step)
     each = _log(placed, "y").select("user_id", F.posexplode(told).alias("rn", "p"))
     return placed.filter("fold IS NOT NULL").join(each, ["user_id", "rn"]).select(*KEPT)
 
@@ -53,14 +52,15 @@ def bins_exploit(rows: DataFrame, n_splits: int = 5) -> DataFrame:
     bins = ("user_id", "b1", "b2", "b3")
     logs = tested.groupBy(*bins).agg(F.array_sort(F.collect_list(F.struct("rn", "y", "mean"))).alias("log"))
 
-    def step(acc: Column, r: Column) -> Column:
-        held = F.greatest(F.least(acc["truth"] + r["mean"] - acc["told"], F.lit(1.0)), F.lit(0.0))
+    def step(state: Column, r: Column) -> tuple[Column, Column]:
+        held = F.greatest(F.least(state["truth"] + r["mean"] - state["told"], F.lit(1.0)), F.lit(0.0))
         p = F.when(r["mean"].isNull(), F.lit(0.5)).otherwise(held)
-        told = acc["told"] + F.when(r["mean"].isNull(), F.lit(0.0)).otherwise(held)
-        return F.struct((acc["truth"] + r["y"]).alias("truth"), told.alias("told"), F.concat(acc["p"], F.array(F.struct(r["rn"].alias("rn"), p.alias("p")))).alias("p"))
+        told = state["told"] + F.when(r["mean"].isNull(), F.lit(0.0)).otherwise(held)
+        return F.struct((state["truth"] + r["y"]).alias("truth"), told.alias("told")), F.struct(r["rn"].alias("rn"), p.alias("p"))
 
-    start = F.struct(F.lit(0.0).alias("truth"), F.lit(0.0).alias("told"), F.array().cast("array<struct<rn:bigint,p:double>>").alias("p"))
-    each = logs.select("user_id", F.explode(F.aggregate("log", start, step, lambda acc: acc["p"])).alias("x")).select("user_id", F.col("x.rn").alias("rn"), F.col("x.p").alias("p"))
+    start = F.struct(F.lit(0.0).alias("truth"), F.lit(0.0).alias("told"))
+    told = outputs(F.col("log"), start, "struct<rn:bigint,p:double>", step)
+    each = logs.select("user_id", F.explode(told).alias("x")).select("user_id", F.col("x.rn").alias("rn"), F.col("x.p").alias("p"))
     return tested.join(each, ["user_id", "rn"]).select(*KEPT)
 
 

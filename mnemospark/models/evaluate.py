@@ -7,6 +7,7 @@ group is a learner's log, never more.
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from . import counts, ebisu, onestep, recurrent, regression, training
 from . import numeric as nm
 from .learner import NEEDED, Learner, folds
 
-PREDICTIONS = "user_id long, card_id long, review_th long, y long, delta_t double, i long, rmse_bins_lapse long, fold int, p double, parameters string"
+PREDICTIONS = "user_id long, card_id long, review_th long, y long, delta_t double, i long, rmse_bins_lapse long, fold int, p double, parameters string, time_ms double"
 #: Least reviews of a learner.
 LEAST = 6
 
@@ -160,18 +161,31 @@ def fold_predictions(x: Learner, s: Settings, end: int, test: np.ndarray) -> tup
         w = regression.MEAN if s.default else regression.train(f[:end], x.column("y")[:end].astype(float))
         return test, regression.probability(f[test], w), w.tolist()
     if s.algo == "Ebisu-v2":
-        p = []
-        for card, pos, dt in zip(x.card[test], x.column("pos")[test], t, strict=True):
-            history = list(zip(x.delta[card, :pos].tolist(), x.ratings[card, :pos].tolist(), strict=True))
-            p.append(ebisu.recall(ebisu.after(history), max(dt, 0.001)))
+        p, known = [], {}
+        for card, pos, dt in zip(x.card[test].tolist(), x.column("pos")[test].tolist(), t.tolist(), strict=True):
+            states = known.setdefault(card, [ebisu.PRIOR])  # after each review, one pass a card
+            while len(states) <= pos:
+                k = len(states) - 1
+                states.append(ebisu.after([(x.delta[card, k], x.ratings[card, k])], states[-1]))
+            p.append(ebisu.recall(states[pos], max(dt, 0.001)))
         return test, np.array(p), None
     if s.algo == "FSRS-rs":
         raise ValueError("FSRS-rs trains in an outside library that is not here; its item lists are in models.items")
     raise ValueError(f"unknown model {s.algo}")
 
 
+def rounded(parameters: dict | list) -> dict | list:
+    if isinstance(parameters, dict):
+        return {k: rounded(w) for k, w in parameters.items()}
+    return [round(float(x), 6) for x in parameters]
+
+
 def of_learner(reviews: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """PREDICTIONS of one learner; none with fewer than LEAST reviews."""
+    """PREDICTIONS of one learner; none with fewer than LEAST reviews.
+
+    parameters are JSON text with 6 decimals; time_ms is what the folds up to the row's took.
+    """
+    began = time.perf_counter()
     x = Learner.of(reviews)
     out = []
     if len(x) >= LEAST:
@@ -181,7 +195,7 @@ def of_learner(reviews: pd.DataFrame, s: Settings) -> pd.DataFrame:
                     continue
                 rows, p, parameters = fold_predictions(x, s, end, test)
                 told = x.rows.iloc[rows][["user_id", "card_id", "review_th", "y", "delta_t", "i", "rmse_bins_lapse"]].copy()
-                out.append(told.assign(fold=f, p=np.asarray(p, float), parameters=None if parameters is None else json.dumps(parameters)))
+                out.append(told.assign(fold=f, p=np.asarray(p, float), parameters=None if parameters is None else json.dumps(rounded(parameters)), time_ms=(time.perf_counter() - began) * 1000))
     names = [c.split()[0] for c in PREDICTIONS.split(", ")]
     return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame({c: pd.Series(dtype=float) for c in names})
 

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 
+from . import numeric as nm
 from .learner import Learner
 from .recurrent import MODELS
 
@@ -15,17 +16,24 @@ UNBOUND = (17, 18, 19)
 _BOUNDS = [(FLOOR, 100.0)] * 4 + [b for b in MODELS["FSRS-6"].bounds[4:]]
 
 
-def factor(decay: float) -> float:
-    return 0.9 ** (1 / decay) - 1
+def curve(t: float, s, w):
+    """Recall at t; like the functions below, of numbers or of Duals."""
+    return nm.power((nm.power(0.9, -1.0 / w[20]) - 1.0) * (t / s) + 1.0, -w[20])
 
 
-def curve(t: float, s: float, w) -> float:
-    return (1 + factor(-w[20]) * t / s) ** -w[20]
+def difficulty(d: float, r: int, w):
+    """The difficulty after a review, not yet held between 1 and 10."""
+    aim = w[4] - nm.exp(w[5] * 3.0) + 1.0
+    return w[7] * aim + (1.0 - w[7]) * (d - w[6] * ((r - 3) * (10 - d) / 9))
 
 
-def difficulty(d: float, r: int, w) -> float:
-    aim = w[4] - math.exp(3 * w[5]) + 1
-    return min(max(w[7] * aim + (1 - w[7]) * (d - w[6] * (r - 3) * (10 - d) / 9), 1.0), 10.0)
+def lapse(s: float, d, forgot: float, w):
+    return w[11] * nm.power(d, -w[12]) * (nm.power(s + 1.0, w[13]) - 1.0) * nm.exp(w[14] * forgot)
+
+
+def growth(s: float, d, forgot: float, r: int, w):
+    factor = w[15] if r == 2 else w[16] if r == 4 else 1.0
+    return s * (nm.exp(w[8]) * (11.0 - d) * nm.power(s, -w[9]) * (nm.exp(w[10] * forgot) - 1.0) * factor + 1.0)
 
 
 def advance(state: tuple[float, float] | None, dt: float, r: int, w) -> tuple[float, float]:
@@ -34,55 +42,38 @@ def advance(state: tuple[float, float] | None, dt: float, r: int, w) -> tuple[fl
     if state is None:
         return max(FLOOR, w[r - 1]), min(max(w[4] - math.exp(w[5] * (r - 1)) + 1, 1.0), 10.0)
     s, d = state
-    new_d = difficulty(d, r, w)
+    new_d = min(max(difficulty(d, r, w), 1.0), 10.0)
     if dt < 1:
         if s <= 0:
             return FLOOR, new_d
         q = math.exp(w[17] * (r - 3 + w[18])) * s ** -w[19]
         return max(FLOOR, s * (max(q, 1.0) if r >= 3 else q)), new_d
-    p = curve(dt, s, w)
-    if r == 1:
-        return max(FLOOR, w[11] * new_d ** -w[12] * ((s + 1) ** w[13] - 1) * math.exp((1 - p) * w[14])), new_d
-    hard, easy = w[15] if r == 2 else 1.0, w[16] if r == 4 else 1.0
-    return max(FLOOR, s * (1 + math.exp(w[8]) * (11 - new_d) * s ** -w[9] * (math.exp((1 - p) * w[10]) - 1) * hard * easy)), new_d
-
-
-def slopes(t: float, y: float, s: float, d: float, before: tuple[float, float] | None, dt: float, r: int, w) -> dict[int, float]:
-    """Derivatives of one review's cross-entropy by the weights that the last step used."""
-    p = min(max(curve(t, s, w), 1e-9), 1 - 1e-9)
-    by_p = (p - y) / (p * (1 - p))
-    decay = -w[20]
-    f = factor(decay)
-    by_s = by_p * decay * (1 + f * t / s) ** (decay - 1) * (-f * t / (s * s))
-    out: dict[int, float] = {}
+    forgot = 1 - curve(dt, s, w)
+    return max(FLOOR, lapse(s, new_d, forgot, w) if r == 1 else growth(s, new_d, forgot, r, w)), new_d
+
+
+def slopes(t: float, y: float, s: float, d: float, before: tuple[float, float] | None, dt: float, r: int, w) -> np.ndarray:
+    """Derivatives of one review's cross-entropy by the weights, back through the last step only.
+
+    Where that differs from a plain gradient: a first stability moves 100 times faster; the
+    recall at the last step is a constant, and bounds have no slope of zero; a last step on the
+    same day is taken as one between days, where a lapse's slopes, but for the one by weight 13,
+    are in proportion to the stability that it really left.
+    """
+    v = nm.Dual.parameters(np.asarray(w, float))
+    unit = np.eye(len(w))
     if before is None:
-        out[r - 1] = 100 * by_s
+        after = nm.Dual(s, 100.0 * unit[r - 1])
     else:
         s0, d0 = before
         forgot = 1 - curve(dt, s0, w)
-        if r == 1:
-            out |= {
-                11: by_s * s / w[11], 12: -by_s * s * math.log(d), 14: by_s * s * forgot,
-                13: by_s * w[11] * d ** -w[12] * (s0 + 1) ** w[13] * math.log(s0 + 1) * math.exp(forgot * w[14]),
-            }
-            by_d = -s * w[12] / d
-        else:
-            hard, easy = w[15] if r == 2 else 1.0, w[16] if r == 4 else 1.0
-            lift = s0 * math.exp(w[8]) * s0 ** -w[9]
-            grown = math.exp(forgot * w[10])
-            gain = lift * (11 - d) * (grown - 1)
-            out |= {8: by_s * gain * hard * easy, 9: -by_s * gain * math.log(s0) * hard * easy, 10: by_s * lift * (11 - d) * grown * forgot * hard * easy}
-            if r == 2:
-                out[15] = by_s * gain * easy
-            if r == 4:
-                out[16] = by_s * gain * hard
-            by_d = -lift * (grown - 1) * hard * easy
-        pull = (r - 3) * (10 - d0) / 9
-        e = math.exp(3 * w[5])
-        out |= {4: by_s * by_d * w[7], 5: -3 * by_s * by_d * w[7] * e, 6: -by_s * by_d * (1 - w[7]) * pull, 7: by_s * by_d * (w[4] - e + 1 - (d0 - w[6] * pull))}
-    by_factor = 0.9 ** (1 / decay) * math.log(0.9) * (-1 / (decay * decay))
-    out[20] = -by_p * p * (math.log(1 + f * t / s) + decay * (t / s) * by_factor / (1 + f * t / s))
-    return out
+        new_d = nm.Dual(d, difficulty(d0, r, v).g)
+        after = lapse(s0, new_d, forgot, v) if r == 1 else growth(s0, new_d, forgot, r, v)
+        g = after.g * np.where(np.arange(len(w)) == 13, 1.0, s / after.v) if r == 1 else after.g
+        after = nm.Dual(s, g)
+    told = curve(t, after, v)
+    p = min(max(told.v, 1e-9), 1 - 1e-9)
+    return (p - y) / (p * (1 - p)) * told.g
 
 
 def train(x: Learner, n: int, start: np.ndarray) -> np.ndarray:
@@ -97,7 +88,6 @@ def train(x: Learner, n: int, start: np.ndarray) -> np.ndarray:
             before, state = state, advance(state, dt, r, w)
         if state[0] <= FLOOR:
             continue
-        for k, g in slopes(t, y, *state, before, delta[-1], ratings[-1], w).items():
-            w[k] -= RATE * g
+        w = (np.array(w) - RATE * slopes(t, y, *state, before, delta[-1], ratings[-1], w)).tolist()
         w = [v if k in UNBOUND else min(max(v, _BOUNDS[k][0]), _BOUNDS[k][1]) for k, v in enumerate(w)]
     return np.array(w)

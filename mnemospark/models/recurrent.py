@@ -222,7 +222,7 @@ def _sm2_step(state, dt, r, w, s_min):
 def _anki_grown(x):
     """An interval grows by a day at least, softly below."""
     y = x - 1.0
-    return nm.maximum(nm.where(nm.value(y) > 0, y, y * 0.01) + 1.0, x)
+    return nm.maximum(nm.where(nm.value(y) >= 0, y, y * 0.01) + 1.0, x)  # at 0, where training starts, the slope is 1
 
 
 def _anki_begin(r, w, s_min):
@@ -244,8 +244,6 @@ def _anki_step(state, dt, r, w, s_min):
 
 # Default weights, bounds and spreads of the models.
 S0_BOUND = (S_FLOOR, S0_MAX)
-V4_TAIL = ((0.0, 0.5), (0.0, 3.0), (0.1, 0.8), (0.01, 2.5), (0.5, 5.0), (0.01, 0.2), (0.01, 0.9), (0.01, 2.0), (0.0, 1.0), (1.0, 4.0))
-V45_TAIL = ((0.0, 0.8), (0.0, 6.0), (0.0, 0.8), (0.01, 5.0), (0.2, 6.0), (0.01, 0.4), (0.01, 0.9), (0.01, 4.0), (0.0, 1.0), (1.0, 10.0))
 V5_BOUNDS = (
     S0_BOUND, S0_BOUND, S0_BOUND, S0_BOUND, (1.0, 10.0), (0.001, 4.0), (0.001, 4.0), (0.001, 0.75), (0.0, 4.5), (0.0, 0.8), (0.001, 3.5),
     (0.001, 5.0), (0.001, 0.25), (0.001, 0.9), (0.0, 4.0), (0.0, 1.0), (1.0, 6.0), (0.0, 2.0), (0.0, 2.0),
@@ -273,12 +271,18 @@ MODELS = {
         ),
         Recurrence(
             "FSRSv4", (0.4, 0.9, 2.3, 10.9, 4.93, 0.94, 0.86, 0.01, 1.49, 0.14, 0.94, 2.18, 0.05, 0.34, 1.26, 0.29, 2.61),
-            (FREE, FREE, FREE, FREE, (1.0, 10.0), (0.1, 5.0), (0.1, 5.0), *V4_TAIL), _v4_begin, _v4_step, hyperbolic,
+            (
+                FREE, FREE, FREE, FREE, (1.0, 10.0), (0.1, 5.0), (0.1, 5.0), (0.0, 0.5), (0.0, 3.0), (0.1, 0.8), (0.01, 2.5), (0.5, 5.0), (0.01, 0.2),
+                (0.01, 0.9), (0.01, 2.0), (0.0, 1.0), (1.0, 4.0),
+            ), _v4_begin, _v4_step, hyperbolic,
             fits_s0=True, frozen_s0=True, later_rows_only=True,
         ),
         Recurrence(
             "FSRS-4.5", (0.4872, 1.4003, 3.7145, 13.8206, 5.1618, 1.2298, 0.8975, 0.031, 1.6474, 0.1367, 1.0461, 2.1072, 0.0793, 0.3246, 1.587, 0.2272, 2.8755),
-            (FREE, FREE, FREE, FREE, (0.0, 10.0), (0.01, 5.0), (0.01, 5.0), *V45_TAIL), _v4_begin, _v45_step, power_half,
+            (
+                FREE, FREE, FREE, FREE, (0.0, 10.0), (0.01, 5.0), (0.01, 5.0), (0.0, 0.8), (0.0, 6.0), (0.0, 0.8), (0.01, 5.0), (0.2, 6.0), (0.01, 0.4),
+                (0.01, 0.9), (0.01, 4.0), (0.0, 1.0), (1.0, 10.0),
+            ), _v4_begin, _v45_step, power_half,
             fits_s0=True, frozen_s0=True, later_rows_only=True,
             secs_start=(0.0012, 0.0826, 0.8382, 26.2146, 4.8622, 1.0311, 0.8295, 0.0379, 2.0884, 0.4704, 1.2009, 1.7196, 0.1874, 0.1593, 1.5636, 0.2358, 3.3175),
         ),

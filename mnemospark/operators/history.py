@@ -86,9 +86,3 @@ def logreg_features(features: DataFrame) -> DataFrame:
 def s0_statistics(features: DataFrame) -> DataFrame:
     """(user_id, first_rating, delta_t, hits, n) of cards' second reviews."""
     return features.filter("evaluable AND i = 2").groupBy("user_id", "first_rating", "delta_t").agg(F.sum("y").alias("hits"), F.count("*").alias("n"))
-
-
-def distinct_partitions(rows: DataFrame) -> DataFrame:
-    return rows.select("user_id", "partition").distinct().orderBy("user_id", "partition")
-
-

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,16 +52,19 @@ def predictions(reviews: DataFrame, s: Settings, partition_map: DataFrame | None
 def records(reviews: DataFrame, s: Settings, partition_map: DataFrame | None = None) -> DataFrame:
     """One record for each learner: metrics, user, size, parameters (JSON text), time_ms.
 
-    Parameters are those of the last fold. time_ms is the time since this call by the clock of
-    the plan's start, shared by all learners of a run, as learners run side by side.
+    Parameters are those of the last fold. time_ms is a learner's own time where a model is
+    trained or told in its group; models that are plans have learners side by side, so theirs is
+    the time since this call by the clock of the plan's start. Predictions are made once.
     """
     began = time.time()
     told = predictions(reviews, s, partition_map)
-    each = metrics(told)
-    last = told.groupBy("user_id").agg(F.max_by("parameters", "fold").alias("parameters")) if "parameters" in told.columns else each.select("user_id", F.lit(None).cast("string").alias("parameters"))
-    took = (F.unix_millis(F.current_timestamp()) - F.lit(int(began * 1000))).cast("double")
+    if "parameters" in told.columns:
+        each = metrics(told, ("parameters", "fold", "time_ms"), parameters=F.max_by("parameters", "fold"), time_ms=F.max("time_ms"))
+    else:
+        took = F.greatest((F.unix_millis(F.current_timestamp()) - F.lit(int(began * 1000))).cast("double"), F.lit(0.0))
+        each = metrics(told).select("*", F.lit(None).cast("string").alias("parameters"), took.alias("time_ms"))
     fields = F.struct(*[F.col(c).alias(n) for n, c in FIELDS.items()])
-    return each.join(last, "user_id", "left").select(fields.alias("metrics"), F.col("user_id").alias("user"), "size", "parameters", F.greatest(took, F.lit(0.0)).alias("time_ms"))
+    return each.select(fields.alias("metrics"), F.col("user_id").alias("user"), "size", "parameters", F.round("time_ms", 3).alias("time_ms"))
 
 
 def run(spark: SparkSession, data: str, out: str, s: Settings) -> DataFrame:
@@ -75,10 +77,11 @@ def run(spark: SparkSession, data: str, out: str, s: Settings) -> DataFrame:
     old = results.read(spark, path) if store.exists(paths[0]) else None
     new = records(results.not_done(reviews, old) if old is not None else reviews, s, partition_map)
     results.write(results.merged(old, new) if old is not None else new, f"{path}.new")
-    store.delete(paths[0], True)  # only now, as the old records were read for the new file
+    # The old records are there under one name or another until the new ones have theirs.
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    store.delete(aside, True)
+    if old is not None:
+        store.rename(paths[0], aside)
     store.rename(paths[1], paths[0])
+    store.delete(aside, True)
     return results.read(spark, path)
-
-
-def parameters_of(record_parameters: str | None) -> dict | list | None:
-    return None if record_parameters is None else json.loads(record_parameters)

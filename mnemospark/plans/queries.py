@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.metrics import auc, bins, metrics, precision_recall
 from ..functions.scalar import round6
-from ..models import counts, recurrent, regression
+from ..models import counts, evaluate, recurrent, regression
 from ..operators import history, splits
 from ..operators.features import evaluable, features, histories, outlier_cells, valid_reviews
 from ..sources import revlog
@@ -403,8 +403,30 @@ for _name, _algo in FSRS.items():
 query("sm2_trainable_default", _sm2_trainable_sql())(_model("sm2_trainable", _default("SM2-trainable")))
 query("anki_default", _anki_sql())(_model("anki", _default("Anki")))
 query("ebisu_metrics")(_metrics(Settings(algo="Ebisu-v2", **SECS)))
-for _name, _algo in {"actr": "ACT-R", "dash_actr": "DASH[ACT-R]"}.items():
-    query(f"{_name}_default")(_model(_name, _default(_algo)))
+
+
+def _dash_actr_sql() -> str:
+    """Strengths of earlier reviews, at least a tenth of a day ago, that fade as a power of their age."""
+    w = _sql(counts.MODELS["DASH[ACT-R]"].start)
+    return f"""tt AS (SELECT *, sum(delta_t) OVER (PARTITION BY user_id, card_id ORDER BY review_th) AS t FROM h),
+    da AS (SELECT a.user_id, a.card_id, a.review_th, coalesce(sum(pow(a.t - e.t, -{w[1]}) * CASE WHEN e.rating > 1 THEN {w[3]} ELSE {w[2]} END) FILTER (a.t - e.t > 0.1e0), 0e0) AS total
+      FROM tt a LEFT JOIN tt e ON a.user_id = e.user_id AND a.card_id = e.card_id AND e.pos < a.pos WHERE a.delta_t > 0 GROUP BY ALL)"""
+
+
+def _actr_sql() -> str:
+    """Activation before a review from all earlier ones; each has an exponent of its own, kept in a list."""
+    w = _sql(counts.MODELS["ACT-R"].start)
+    total = f"list_sum(list_transform(range(1, len(o.ts) + 1), lambda j: pow(greatest({w[4]} * ((c.t - o.ts[j]) * 86400e0), 1e0), o.es[j])))"
+    return f"""{oracle.base(True, recursive=True)}, tt AS (SELECT *, sum(delta_t) OVER (PARTITION BY user_id, card_id ORDER BY review_th) AS t FROM h),
+    st AS (SELECT user_id, card_id, pos, [t] AS ts, [-{w[0]}] AS es, CAST(NULL AS DOUBLE) AS total FROM tt WHERE pos = 0
+      UNION ALL SELECT user_id, card_id, pos, list_append(ts, t), list_append(es, -({w[1]} * total + {w[0]})), total
+      FROM (SELECT c.user_id, c.card_id, c.pos, c.t, o.ts, o.es, {total} AS total FROM st o JOIN tt c ON c.user_id = o.user_id AND c.card_id = o.card_id AND c.pos = o.pos + 1)),
+    pred AS (SELECT f.*, 1e0 / (1e0 + exp(({w[3]} - coalesce(ln(s.total), 0e0)) / {w[2]})) AS p FROM folds f JOIN st s USING (user_id, card_id, pos) WHERE fold IS NOT NULL) {TOLD}"""
+
+
+_w = _sql(counts.MODELS["DASH[ACT-R]"].start)
+query("dash_actr_default", _of(_dash_actr_sql(), f"1e0 / (1e0 + exp(-({_w[0]} * ln(1e0 + greatest(t.total, 0e0)) + {_w[4]})))", "da"))(_model("dash_actr", _default("DASH[ACT-R]")))
+query("actr_default", _actr_sql())(_model("actr", _default("ACT-R")))
 
 # --- trained models: no SQL ----------------------------------------------------------------------
 
@@ -427,11 +449,15 @@ def logreg_equalized(spark, sf_dir):
     return metrics(evaluation.predictions(reviews(spark, sf_dir, True), Settings(algo="LogisticRegression", equalize_test_with_non_secs=True, recency=True, **SECS)))
 
 
-@query("fsrs_rs_items")
+@query(
+    "fsrs_rs_items",
+    f"""{oracle.base(True)} SELECT a.user_id, a.review_th, string_agg(CAST(e.rating AS VARCHAR), ',' ORDER BY e.pos) AS ratings, string_agg(CAST(CAST(floor(e.delta_t) AS BIGINT) AS VARCHAR), ',' ORDER BY e.pos) AS intervals
+    FROM rows_ a JOIN h e ON a.user_id = e.user_id AND a.card_id = e.card_id AND e.pos <= a.pos WHERE a.pos > 0 GROUP BY ALL""",
+)
 def fsrs_rs_items(spark, sf_dir):
-    from ..models.evaluate import items
-
-    return items(secs_features(spark, sf_dir))
+    """Each item's lists as comma-joined text."""
+    found = evaluate.items(secs_features(spark, sf_dir))
+    return found.select("user_id", "review_th", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("ratings", "intervals")])
 
 
 @query("result_lines")

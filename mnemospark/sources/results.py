@@ -35,8 +35,11 @@ def lines(results: DataFrame) -> DataFrame:
 
 
 def write(results: DataFrame, path: str) -> None:
-    """One file of lines ordered by user, those without one last."""
-    lines(results).coalesce(1).sortWithinPartitions(F.col("user").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
+    """One file of lines ordered by user, those without one last.
+
+    Only the finished lines, one a learner, go to the task that writes the file.
+    """
+    lines(results).repartition(1).sortWithinPartitions(F.col("user").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

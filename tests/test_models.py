@@ -34,6 +34,7 @@ def learner(n_cards: int = 6, n: int = 12, seed: int = 1) -> Learner:
 
 
 def test_permutations_known_vectors():
+    # Permutations of 8 that the seed has to give.
     draws = training.Permutations()
     assert [draws.draw(8).tolist() for _ in range(3)] == [[7, 3, 2, 0, 5, 1, 4, 6], [4, 7, 6, 0, 3, 1, 5, 2], [7, 3, 0, 6, 2, 4, 1, 5]]
 
@@ -43,13 +44,42 @@ def test_folds_known_sizes():
     assert parts[0] == (12744 - 5 * 2124, 12744 - 4 * 2124) and parts[-1][1] == 12744
 
 
-def test_ebisu_known_sequences():
-    a = ebisu.after(list(zip([0.001, 2.5, 0.4, 13.2, 40, 0.001, 99], [1, 3, 1, 3, 4, 2, 3], strict=True)))
-    assert a == pytest.approx((2.8880614826, 2.8880614826, 70.4904327465), rel=1e-8)
-    assert [ebisu.recall(a, t) for t in (1, 30, 365)] == pytest.approx([0.9889183188, 0.7288776259, 0.0804401372], abs=1e-9)
-    b = ebisu.after([(0.5, 3)] * 40)
-    assert (b[0], b[2], ebisu.recall(b, 1)) == pytest.approx((0.1867883061, 745.6366002245, 0.9961457527), rel=1e-8)
+def beta_mean(model, power):
+    """The mean of p ** power under the model's Beta density, by a sum over logits."""
+    a, b, _ = model
+    u = np.linspace(-400, 400, 800_001)
+    log_p, log_q = -np.logaddexp(0, -u), -np.logaddexp(0, u)
+    weight = a * log_p + b * log_q
+    weight = np.exp(weight - weight.max())
+    return float((weight * np.exp(power * log_p)).sum() / weight.sum())
+
+
+@pytest.mark.parametrize(("model", "t"), [(ebisu.PRIOR, 3.0), (ebisu.PRIOR, 700.0), ((2.5, 1.7, 20.0), 6.0), ((4.0, 4.0, 5.0), 30.0)])
+def test_ebisu_by_numerical_integration(model, t):
+    """A review at t multiplies the density by p ** (t / t0), or by what that leaves to 1; the new
+    model has that posterior's first two moments of recall at its own time, where the mean is 0.5."""
+    assert ebisu.recall(model, t) == pytest.approx(beta_mean(model, t / model[2]), rel=1e-5)
+    step = t / model[2]
+    for passed in (True, False):
+        a, b, after = ebisu.update(model, passed, t)
+
+        def moment(x, passed=passed):
+            if passed:
+                return beta_mean(model, step + x) / beta_mean(model, step)
+            return (beta_mean(model, x) - beta_mean(model, step + x)) / (1 - beta_mean(model, step))
+
+        first, second = moment(after / model[2]), moment(2 * after / model[2])
+        assert first == pytest.approx(0.5, abs=1e-4) and a / (a + b) == pytest.approx(first, abs=1e-4)
+        assert a * (a + 1) / ((a + b) * (a + b + 1)) == pytest.approx(second, rel=1e-3)
+
+
+def test_ebisu_prior_and_order():
     assert ebisu.recall(ebisu.PRIOR, 512) == pytest.approx(0.5)
+    history = [(1.0, 3), (4.0, 1), (2.0, 4)]
+    model = ebisu.PRIOR
+    for t, r in history:
+        model = ebisu.update(model, r > 1, t)
+    assert ebisu.after(history) == model
 
 
 def difference(f, w, h=1e-6):
@@ -135,6 +165,41 @@ def test_regression_features_by_hand():
     assert f[0, 10] == 1.0 and f[0, 0] == pytest.approx(regression.tr(x.column("delta_t")[0]))
 
 
+def test_anki_slope_at_the_start_weights():
+    """The first interval starts on the bound of 1, where the slope from above counts."""
+    m = recurrent.MODELS["Anki"]
+    w = m.weights(False)
+    args = (np.array([[3]]), np.array([[0.0]]), np.array([1]), np.array([7.0]))
+    got = recurrent.predict(m, *args, nm.Dual.parameters(w), 0.0001).g[0, 0]
+    up = w.copy()
+    up[0] += 1e-6
+    above = (recurrent.predict(m, *args, up, 0.0001)[0] - recurrent.predict(m, *args, w, 0.0001)[0]) / 1e-6
+    assert got == pytest.approx(above, rel=1e-3) and got > 0
+
+
+@pytest.mark.parametrize(("before", "dt", "r"), [((4.0, 5.5), 6.0, 1), ((4.0, 5.5), 6.0, 2), ((4.0, 5.5), 6.0, 3), ((9.0, 7.0), 2.5, 4)])
+def test_one_step_slopes_by_differences(before, dt, r):
+    w, t, y = recurrent.MODELS["FSRS-6"].weights(False), 8.0, 1.0
+    forgot = 1 - onestep.curve(dt, before[0], w)
+
+    def cost(v):
+        d = onestep.difficulty(before[1], r, v)
+        s = onestep.lapse(before[0], d, forgot, v) if r == 1 else onestep.growth(before[0], d, forgot, r, v)
+        p = onestep.curve(t, s, v)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    state = onestep.advance(before, dt, r, w)
+    np.testing.assert_allclose(onestep.slopes(t, y, *state, before, dt, r, w), difference(cost, w), rtol=1e-4, atol=1e-7)
+
+
+def test_one_step_first_stability_moves_faster():
+    w = recurrent.MODELS["FSRS-6"].weights(False)
+    state = onestep.advance(None, 0.0, 3, w)
+    got = onestep.slopes(5.0, 0.0, *state, None, 0.0, 3, w)
+    plain = difference(lambda v: -np.log(1 - onestep.curve(5.0, v[2], v)), w)
+    assert got[2] == pytest.approx(100 * plain[2], rel=1e-4) and got[20] == pytest.approx(plain[20], rel=1e-4) and np.count_nonzero(got) == 2
+
+
 def test_one_step_moves_weights_a_little():
     x = learner(8, 14)
     start = recurrent.MODELS["FSRS-6"].weights(False)
@@ -145,7 +210,10 @@ def test_one_step_moves_weights_a_little():
 def test_golden_and_local_minimum():
     assert training.golden(lambda v: (v - 3) ** 2, 0, 10) == pytest.approx(3, abs=1e-5)
     assert training.local_minimum(lambda v: math.cos(v), 0, 10, 2) == pytest.approx(math.pi, abs=1e-4)
-    assert training.local_minimum(lambda v: v, 1, 10, 4) == 1
+    assert training.local_minimum(lambda v: v, 1, 10, 4) == 1 and training.local_minimum(lambda v: -v, 1, 10, 4) == 10
+    two = lambda v: min((v - 2) ** 2, (v - 8) ** 2 - 1)
+    assert training.local_minimum(two, 0.001, 100, 1) == pytest.approx(2, abs=1e-4) and training.local_minimum(two, 0.001, 100, 30) == pytest.approx(8, abs=1e-4)
+    assert training.local_minimum(lambda v: abs(v - 3), 0.001, 100, 3) == pytest.approx(3, abs=1e-6)
 
 
 def test_names():

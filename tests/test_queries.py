@@ -1,11 +1,13 @@
 """Registered queries against their SQL, and sources, sinks and edge cases on small tables."""
 
 import json
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from mnemospark.__main__ import settings
 from mnemospark.config import Settings
 from mnemospark.functions.metrics import metrics
 from mnemospark.operators.features import features, outlier_cells
@@ -35,7 +37,7 @@ def test_query_matches_sql(spark, name):
     assert all(same(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
 
 
-@pytest.mark.parametrize("name", ["hlr_trained", "fsrs3_trained", "logreg_equalized", "ebisu_metrics", "fsrs_rs_items"])
+@pytest.mark.parametrize("name", ["hlr_trained", "fsrs3_trained", "logreg_equalized", "ebisu_metrics", "result_lines"])
 def test_other_queries_give_rows(spark, name):
     assert q.QUERIES[name](spark, SF).count() > 0
 
@@ -119,3 +121,40 @@ def test_unknown_and_outside_models(spark):
         evaluation.predictions(q.reviews(spark, SF), Settings(algo="nothing"))
     with pytest.raises(ValueError, match="outside"):
         evaluation.predictions(q.reviews(spark, SF), Settings(algo="FSRS-rs", secs=True))
+
+
+def test_records_train_once_and_round_parameters(spark, capsys):
+    s = Settings(algo="FSRS-6", default=True, short=True, secs=True)
+    found = evaluation.records(q.reviews(spark, SF), s)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FlatMapGroupsInPandas") == 1
+    for r in found.collect():
+        weights = json.loads(r["parameters"])["0"]
+        assert len(weights) == 21 and all(w == round(w, 6) for w in weights) and r["time_ms"] > 0
+
+
+def test_sink_sorts_below_an_exchange(spark, tmp_path):
+    seen = []
+    original = results.lines
+    results.lines = lambda df: seen.append(original(df)) or seen[0]
+    try:
+        rows = spark.createDataFrame([((0.5,) * 7, u, 3, None, 1.0) for u in (3, 1, 2)], results.SCHEMA)
+        results.write(rows, str(tmp_path / "r.jsonl"))
+    finally:
+        results.lines = original
+    assert [json.loads(r["value"])["user"] for r in spark.read.text(str(tmp_path / "r.jsonl")).collect()] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("algo", ["MOVING-AVG", "RMSE-BINS-EXPLOIT"])
+def test_long_log_of_one_learner(spark, algo):
+    """80,000 reviews of one learner, in seconds; a fold that copied its outputs took over a minute."""
+    rows = spark.range(80_000).select(F.lit(1).cast("long").alias("user_id"), (F.col("id") % 700).alias("card_id"), F.col("id").alias("review_th"), (F.col("id") * 37 % 4 + 1).alias("rating"), F.lit(1).cast("long").alias("elapsed_days"), F.lit(86400).cast("long").alias("elapsed_seconds"))
+    began = time.perf_counter()
+    assert evaluation.predictions(rows, Settings(algo=algo, short=True, secs=True)).agg(F.sum("p")).first()[0] > 0
+    assert time.perf_counter() - began < 25
+
+
+def test_command_line_accepts_flags_without_effect(capsys):
+    args, s = settings(["--data", "x", "--processes", "4", "--algo", "FSRS-6", "--short", "--plot"])
+    assert s.algo == "FSRS-6" and s.short and "--processes has no effect" in capsys.readouterr().err
