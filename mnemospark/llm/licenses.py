@@ -4,7 +4,7 @@ A paragraph is a line with a word, or a group of up to GROUP consecutive words o
 blank one parts, for notices wrapped over lines. Its word pairs and triples are looked up in the weights of a
 sparse softmax regression over licence families and an unknown class, which is trained on
 disturbed copies of the notices below and on a bounded sample of the corpus's own lines. The
-probability at which a family is believed is calibrated on paragraphs kept out of training.
+probability at which a family is believed is calibrated on all lines that no notice confirms.
 What is believed is compared with the family's notices, and confirmed where enough of one is
 there. Corpus passes use DataFrame functions only; the weights are fitted on the driver.
 """
@@ -75,8 +75,10 @@ NOTICES: dict[str, tuple[str, ...]] = {
 }
 UNKNOWN = "unknown"
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Disturbed copies of a notice, lines sampled from the corpus, share of false alarms allowed.
-COPIES, LINES, ALARMS = 40, 5_000, 0.001
+#: Disturbed copies of a notice, lines sampled from the corpus and characters of each, share of false alarms allowed.
+COPIES, LINES, LINE_CHARS, ALARMS = 40, 5_000, 2_000, 0.001
+#: Bounds of the probability that is believed.
+BELIEF = (0.5, 0.95)
 #: Share of a notice's word pairs that confirms a family.
 CONFIRM = 0.5
 #: Words of a group of lines; groups begin at every half, so a notice of half as many lies in one.
@@ -85,12 +87,11 @@ GROUP = 80
 
 @dataclass(frozen=True)
 class Model:
-    """weights: n-gram -> a weight for each class; bias; threshold: probability that is believed."""
+    """weights: n-gram -> a weight for each class; bias of each class."""
 
     classes: tuple[str, ...]
     weights: dict[str, list[float]]
     bias: list[float]
-    threshold: float
 
 
 def ngrams(words: list[str]) -> set[str]:
@@ -112,12 +113,12 @@ def disturbed(words: list[str], rng: random.Random, filler: list[str]) -> list[s
 
 
 def train(docs: DataFrame, seed: int = 0) -> Model:
-    """Fits on disturbed notices and on LINES lines of the corpus (a bound), chosen by hash.
+    """Fits on disturbed notices and on at most LINES distinct lines of the corpus (a bound).
 
-    The lines are taken as unknown, but for those that hold most of a notice.
+    The lines, of which LINE_CHARS characters count, are taken as unknown, but for those that
+    hold most of a notice.
     """
-    lines = paragraphs(docs).select("line").orderBy(F.xxhash64("line"), "line").limit(LINES).collect()
-    corpus = [words_of(r["line"]) for r in lines]
+    corpus = [words_of(x) for x in sample(docs)]
     known = [ngrams(words_of(t)) for texts in NOTICES.values() for t in texts]
     corpus = [w for w in corpus if not any(len(g & ngrams(w)) > 0.5 * len(g) for g in known)]
     filler = sorted({w for line in corpus for w in line}) or ["lorem", "ipsum"]
@@ -133,18 +134,23 @@ def train(docs: DataFrame, seed: int = 0) -> Model:
                 foreign = ngrams(rng.sample(words, len(words)) + [rng.choice(filler)]), ngrams([*words[:2], *rng.choices(filler, k=6)])
                 rows += [(x, 0) for x in foreign if not any(len(g & x) > 0.4 * len(g) for g in known)]
     rng.shuffle(rows)
-    held, rows = rows[: len(rows) // 4], rows[len(rows) // 4 :]
     place = {g: i for i, g in enumerate(sorted(set().union(*known)))}
     w, b = fit([(sorted(place[g] for g in x if g in place), y) for x, y in rows], len(place), len(classes))
+    return Model(classes, {g: [float(v) for v in w[i]] for g, i in place.items()}, [float(v) for v in b])
 
-    def probability(x: set[str]) -> np.ndarray:
-        z = b + w[[place[g] for g in x if g in place]].sum(0)
-        e = np.exp(z - z.max())
-        return e / e.sum()
 
-    alarms = sorted(float(probability(x)[1:].max()) for x, y in held if y == 0)
-    threshold = max(0.5, alarms[min(len(alarms) - 1, int(np.ceil((1 - ALARMS) * len(alarms))))] if alarms else 0.5)
-    return Model(classes, {g: [float(v) for v in w[i]] for g, i in place.items()}, [float(v) for v in b], min(threshold, 0.95))
+def sample(docs: DataFrame) -> list[str]:
+    """The beginnings of the LINES distinct lines of least hash.
+
+    Lines are first cut by a hash threshold for a few times as many, from the number of all
+    lines, and copies are merged, so tasks and the driver hold about as many at any size.
+    """
+    text = common.text_of(docs)
+    total = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+    share = min(1.0, 8 * LINES / max(total, 1))
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).filter("line <> ''").select(F.left("line", F.lit(LINE_CHARS)).alias("line")).withColumn("hash", F.xxhash64("line"))
+    lines = lines.filter(F.col("hash") <= F.lit(int(-(2**63) + share * (2**64 - 1) // 1)).cast("long")) if share < 1 else lines
+    return [r["line"] for r in lines.distinct().orderBy("hash", "line").limit(LINES).collect()]
 
 
 def fit(rows: list[tuple[list[int], int]], n: int, classes: int, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -167,27 +173,20 @@ def fit(rows: list[tuple[list[int], int]], n: int, classes: int, steps: int = 30
     return p[:n], p[n]
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(row_key, at, line): the lines of every text with their place."""
-    rows = docs.select(F.xxhash64("doc_id", common.text_of(docs)).alias("row_key"), F.posexplode(F.split(common.text_of(docs), "\n")).alias("at", "line"))
-    return rows.filter(F.length("line") > 0)
-
-
-def passages(docs: DataFrame) -> DataFrame:
-    """(row_key, start, gram, at, end, place): the n-grams of every run of lines without a blank one.
+def passages(rows: DataFrame) -> DataFrame:
+    """(rid, start, gram, at, end, place) of rows (rid, text): the n-grams of every run of lines without a blank one.
 
     start, at and end are the lines where the run begins and where the n-gram begins and ends,
     place is its first word's place in the run.
     """
-    text = common.text_of(docs)
 
     def runs(lines: Column) -> Column:
         blank = lambda i: F.trim(F.translate(F.get(lines, i), "\t\r\f\v", "    ")) == ""
         first = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~blank(i) & ((i == 0) | blank(i - 1)))
         return F.transform(F.array(first), lambda f: F.transform(f, lambda i, k: F.struct(i.alias("start"), F.slice(lines, i + 1, F.coalesce(F.get(f, k + 1), F.size(lines)) - i).alias("lines"))))[0]
 
-    rows = docs.select(F.xxhash64("doc_id", text).alias("row_key"), F.split(text, "\n").alias("lines"))
-    rows = rows.select("row_key", F.explode(runs(F.col("lines"))).alias("run")).select("row_key", F.col("run.start").alias("start"), F.col("run.lines").alias("lines"))
+    rows = rows.select("rid", F.split("text", "\n").alias("lines"))
+    rows = rows.select("rid", F.explode(runs(F.col("lines"))).alias("run")).select("rid", F.col("run.start").alias("start"), F.col("run.lines").alias("lines"))
     found = F.flatten(F.transform("lines", lambda line, i: F.transform(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)), lambda w: F.struct(w.alias("w"), (F.col("start") + i).alias("at")))))
 
     def joined(w: Column, n: int) -> Column:
@@ -195,27 +194,28 @@ def passages(docs: DataFrame) -> DataFrame:
         return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: i + n <= F.size(w)), each)
 
     x = F.explode(F.transform(F.array(found), lambda w: F.concat(joined(w, 2), joined(w, 3)))[0]).alias("x")
-    return rows.select("row_key", "start", x).select("row_key", "start", "x.*")
+    return rows.select("rid", "start", x).select("rid", "start", "x.*")
 
 
-def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """(row_key, found): found is array<struct<at, family, probability, likeness, confirmed>>.
+def scan(rows: DataFrame, model: Model) -> DataFrame:
+    """(rid, found) of rows (rid, text): found is array<struct<at, family, probability, likeness, confirmed>>.
 
-    A row for every text with a believed paragraph; copies of a row have one row together. Of
-    the groups of lines of a run, one is there for each family that is confirmed in them but on
-    no line of theirs, with the line where its n-grams begin.
+    A row for every text with a believed paragraph. Of the groups of lines of a run, one is there
+    for each family that is confirmed in them but on no line of theirs, with the line where its
+    n-grams begin. The probability that is believed is calibrated on all lines: so that of those
+    that no notice confirms, ALARMS of all lines at most are believed, within BELIEF.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     c = len(model.classes)
     weights = list(model.weights.items())
     table = spark.createDataFrame([(g, k, w) for k, (g, w) in enumerate(weights)], "gram string, id int, weights array<double>")
     # The weights are those of the notices' n-grams: a fixed number of rows.
-    hits = passages(docs).join(F.broadcast(table.select("gram", "id")), "gram")
+    hits = passages(rows).join(F.broadcast(table.select("gram", "id")), "gram")
     half = F.floor(F.col("place") / (GROUP // 2)).cast("int")
     own = F.when(F.col("at") == F.col("end"), F.array(F.struct(F.col("at").alias("line"), F.lit(-1).alias("part")))).otherwise(F.array().cast("array<struct<line:int,part:int>>"))
     keys = F.concat(own, F.array(*[F.struct(F.lit(-1).alias("line"), x.alias("part")) for x in (half, half + 1)]))
-    hits = hits.select("row_key", "start", "at", "end", "id", F.explode(keys).alias("key")).select("row_key", "start", "key.line", "key.part", "id", "at", "end")
-    where = ["row_key", "start", "line", "part"]
+    hits = hits.select("rid", "start", "at", "end", "id", F.explode(keys).alias("key")).select("rid", "start", "key.line", "key.part", "id", "at", "end")
+    where = ["rid", "start", "line", "part"]
     hits = hits.groupBy(*where, "id").agg(F.min("at").alias("at"), F.max("end").alias("end")).join(F.broadcast(table), "id")
     sums = [F.sum(F.col("weights")[k]).alias(f"z{k}") for k in range(c)]
     each = hits.groupBy(*where).agg(*sums, F.collect_set("gram").alias("grams"), F.min("at").alias("at"), F.max("end").alias("end"))
@@ -224,32 +224,46 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     best = each.select(*where, "at", "grams", z.alias("z")).withColumn("top", F.array_max("z"))
     best = best.withColumn("class", F.array_position("z", F.col("top")).cast("int") - 1).filter("class > 0")
     spread = F.aggregate("z", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top")))
-    best = best.withColumn("probability", 1 / spread).filter(F.col("probability") >= model.threshold)
+    best = best.withColumn("probability", 1 / spread).filter(F.col("probability") >= BELIEF[0])
     notices = spark.createDataFrame([(k, sorted(x for x in ngrams(words_of(t)) if x.count(" ") == 1)) for k, texts in enumerate(NOTICES.values(), 1) for t in texts], "k int, pairs array<string>")
     notices = notices.groupBy("k").agg(F.collect_list("pairs").alias("notices"))
     compared = best.join(F.broadcast(notices), F.col("class") == F.col("k"))
     like = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, F.col("grams"))) / F.size(n)))
+    compared = common.stored(compared.withColumn("likeness", like).select(*where, "at", "class", "probability", "likeness"), "licence-paragraphs")
     names = F.array(*[F.lit(x) for x in model.classes])
     x = F.struct("at", names[F.col("class")].alias("family"), "probability", "likeness", (F.col("likeness") >= CONFIRM).alias("confirmed"))
-    found = compared.withColumn("likeness", like).filter((F.col("line") >= 0) | (F.col("likeness") >= CONFIRM)).withColumn("x", x)
+    believed = compared.filter(F.col("probability") >= belief(rows, compared))
+    found = believed.filter((F.col("line") >= 0) | (F.col("likeness") >= CONFIRM)).withColumn("x", x)
     # The likeliest group of a run for each family, unless a line of the run has it already.
     group = F.max(F.when(F.col("line") < 0, F.struct("likeness", "x")))["x"]
-    of_run = found.groupBy("row_key", "start", "class").agg(F.collect_list(F.when(F.col("line") >= 0, F.col("x"))).alias("lines"), group.alias("group"))
+    of_run = found.groupBy("rid", "start", "class").agg(F.collect_list(F.when(F.col("line") >= 0, F.col("x"))).alias("lines"), group.alias("group"))
     add = F.col("group").isNotNull() & ~F.exists("lines", lambda v: v["confirmed"])
-    of_run = of_run.select("row_key", F.when(add, F.concat("lines", F.array("group"))).otherwise(F.col("lines")).alias("xs"))
-    return of_run.groupBy("row_key").agg(F.array_sort(F.flatten(F.collect_list("xs"))).alias("found"))
+    of_run = of_run.select("rid", F.when(add, F.concat("lines", F.array("group"))).otherwise(F.col("lines")).alias("xs"))
+    return of_run.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("xs"))).alias("found"))
+
+
+def belief(rows: DataFrame, compared: DataFrame) -> float:
+    """The least probability that is believed, calibrated on all lines of rows."""
+    total = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    foreign = compared.filter((F.col("line") >= 0) & (F.col("likeness") < CONFIRM))
+    n = foreign.count()
+    if n <= ALARMS * total:
+        return BELIEF[0]
+    cut = foreign.agg(F.percentile_approx("probability", 1 - ALARMS * total / n, 10_000)).first()[0]
+    return min(max(float(cut), BELIEF[0]), BELIEF[1])
 
 
 def licences(docs: DataFrame) -> DataFrame:
     """(doc_id, n_believed, n_confirmed, families, paragraphs) of every row.
 
     families: confirmed ones, sorted, comma-joined; paragraphs: at:family of the believed ones,
-    in text order. A null text counts as empty and has none; repeated rows give repeated rows;
-    other columns are ignored.
+    in text order. A null text counts as empty and has none; very long texts are taken whole;
+    repeated rows give repeated rows; other columns are ignored. Of families of equal score the
+    first of the list counts. An empty table gives an empty table.
     """
-    found = scan(docs, train(docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", common.text_of(docs)).alias("row_key"))
-    out = rows.join(found, "row_key", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+    rows = common.numbered(docs).select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), "text")
+    found = scan(rows.select("rid", "text"), train(docs))
+    out = rows.select("rid", "doc_id").join(found, "rid", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
     sure = F.filter("found", lambda x: x["confirmed"])
     return out.select(
         "doc_id",

@@ -351,6 +351,60 @@ def test_order_minhash(spark):
     assert ordermin.fingerprints(df.limit(0)).count() == 0
 
 
+def plain_sketch(text, position=24):
+    """The sketch by sorted lists; hashes chain as Spark's do."""
+    import struct
+
+    import xxhash
+
+    def long_hash(x, seed=42):
+        return xxhash.xxh64_intdigest(struct.pack("<Q", x % 2**64), seed)
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return [0] * 64
+    keep, bits = len(words), position if len(words) <= 1 << (position - 1) else 32
+    hashes = []
+    for i in range(max(1, keep - 1)):
+        h = xxhash.xxh64_intdigest(words[i].encode(), 42)
+        hashes.append(xxhash.xxh64_intdigest(words[i + 1].encode(), h) if i + 1 < keep else h)
+    short = [h % 2 ** (64 - bits) for h in hashes]
+    seen, circle = collections.Counter(), []
+    for i, h in enumerate(short):
+        signed = h - 2 ** (64 - bits) if h >> (63 - bits) else h
+        c = xxhash.xxh64_intdigest(struct.pack("<i", seen[h]), long_hash(signed)) % 2 ** (64 - bits)
+        seen[h] += 1
+        top = c - 2 ** (64 - bits) if c >> (63 - bits) else c
+        circle.append((top, i, c))
+    circle.sort()
+    out = []
+    for arc in range(31, -33, -1):
+        start = next((k for k, (top, _, _) in enumerate(circle) if top >> (58 - bits) >= arc), 0)
+        picked = sorted({(i, c) for top, i, c in (circle[(start + k) % len(circle)] for k in range(2))})
+        h = 42
+        for _, c in picked:
+            h = long_hash(c << bits, h)
+        out.append(h - 2**64 if h >> 63 else h)
+    return out
+
+
+@pytest.mark.parametrize("position", [24, 5])
+def test_order_minhash_by_lists(spark, position):
+    """Also with texts of more words than their places have bits for."""
+    texts = [t or "" for _, t in fixture(6, 30)] + ["a", "a b", "a a a a a", "x y x y x y"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", ordermin.sketch(F.col("t"), position=position).alias("s")).collect()
+    for r in rows:
+        if len(texts[r["k"]]) < 10_000:
+            assert r["s"] == plain_sketch(texts[r["k"]], position)
+
+
+def test_ranges_of_cuts(spark):
+    for n in (0, 1, 2, 7, 50):
+        cuts = [3 * k for k in range(n)]
+        got = spark.range(0, 160).select("id", ordermin.range_of(F.col("id"), cuts).alias("r")).collect()
+        assert all(r["r"] == sum(c < r["id"] for c in cuts) for r in got)
+
+
 def test_order_matters_beyond_sets(spark):
     a = " ".join(f"w{k}" for k in range(200))
     halves = a.split()
