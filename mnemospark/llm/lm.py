@@ -19,6 +19,7 @@ that every context's probabilities add up to one.
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import tempfile
 import urllib.parse
@@ -147,6 +148,16 @@ class Trie:
                 counts[at[hit]] = count[i[hit]]
         return ids, counts
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """The counts of words by id, 0 for unknown ones."""
+        out = np.zeros(len(ids), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        bases = np.array(self.levels[0].bases)
+        for s, at in grouped(np.searchsorted(bases, ids[known], "right") - 1):
+            _, (count,) = self.shard(1, s)
+            out[known[at]] = count[ids[known[at]] - bases[s]]
+        return out
+
     def step(self, level: int, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(node, its log10 or nan, the parent's back-off log10) of the words after parent nodes."""
         meta = self.levels[level - 1]
@@ -189,7 +200,7 @@ def grouped(keys: np.ndarray):
 
 
 class Reader:
-    """Turns texts into word ids and counts, looking each remembered word up once."""
+    """Turns texts into word ids, looking each remembered word up once."""
 
     def __init__(self, trie: Trie):
         self.trie = trie
@@ -197,9 +208,9 @@ class Reader:
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.table = np.zeros((0, 2), np.int64)
+        self.table = np.zeros(0, np.int64)
 
-    def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: list[list[bytes]]) -> np.ndarray:
         import xxhash
 
         if len(self.place) > _CACHE_WORDS:
@@ -207,10 +218,10 @@ class Reader:
         new = list(set().union(*texts).difference(self.place))
         found = self.trie.words(np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64))
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, np.column_stack(found)])
+        self.table = np.concatenate([self.table, found[0]])
         get = self.place.__getitem__
-        at = np.fromiter((k for words in texts for k in map(get, words)), np.int64, sum(map(len, texts)))
-        return self.table[at, 0], self.table[at, 1]
+        at = np.fromiter(itertools.chain.from_iterable(map(get, words) for words in texts), np.int64, sum(map(len, texts)))
+        return self.table[at]
 
 
 def in_batches(batches, column: int):
@@ -232,6 +243,23 @@ def starts(texts: list[list[bytes]]) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def id_batches(batches, column: int):
+    """(arrow rows, their word ids, the first of each row) of at most about BATCH_TOKENS tokens."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        start, held, size = 0, [], 0
+        for i, raw in enumerate(b.column(column).to_pylist(), 1):
+            planes = np.frombuffer(z.decompress(raw), np.uint8).reshape(8, -1)
+            held.append(np.ascontiguousarray(planes.T).view("<i8").ravel())
+            size += len(held[-1])
+            if size >= BATCH_TOKENS or i == b.num_rows:
+                sizes = np.array([len(x) for x in held])
+                yield b.slice(start, i - start), np.concatenate(held), np.cumsum(sizes) - sizes
+                start, held, size = i, [], 0
+
+
 # --- training --------------------------------------------------------------------------------
 
 
@@ -254,7 +282,7 @@ def count_words(rows: DataFrame) -> DataFrame:
                 seen = Counter()
         yield send(seen)
 
-    return rows.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(common.frugal(run), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def build_words(counts: DataFrame, folder: str) -> Trie:
@@ -276,7 +304,7 @@ def build_words(counts: DataFrame, folder: str) -> Trie:
 
 
 def send_ngrams(rows: DataFrame, trie: Trie, k: int, step: int) -> DataFrame:
-    """(shard, blob): the distinct k-grams of a task with counts and lower log-probability."""
+    """(shard, blob) of rows (ids): the distinct k-grams of a task with counts and lower log-probability."""
     shared = rows.sparkSession.sparkContext.broadcast(trie)
 
     def send(keys: list, lower: list):
@@ -300,12 +328,9 @@ def send_ngrams(rows: DataFrame, trie: Trie, k: int, step: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     def run(batches):
-        reader = Reader(shared.value)
         keys, lower, size = [], [], 0
-        for _, texts in in_batches(batches, 0):
-            ids, counts = reader.ids(texts)
-            first = starts(texts)
-            node, log = shared.value.walk(ids, counts, first, k - 1)
+        for _, ids, first in id_batches(batches, 0):
+            node, log = shared.value.walk(ids, shared.value.counts(ids), first, k - 1)
             parent = np.append(-1, node[:-1])
             parent[first] = -1
             at = np.flatnonzero(parent >= 0)
@@ -318,7 +343,28 @@ def send_ngrams(rows: DataFrame, trie: Trie, k: int, step: int) -> DataFrame:
         if size:
             yield send(keys, lower)
 
-    return rows.select("text").mapInArrow(run, "shard long, blob binary")
+    return rows.select("ids").mapInArrow(common.frugal(run), "shard long, blob binary")
+
+
+def word_ids(rows: DataFrame, trie: Trie) -> DataFrame:
+    """(doc_id, held_out, ids) of rows (doc_id, text, held_out): texts are split and looked up once.
+
+    ids are those of the tokens, -1 for unknown ones, as 64-bit integers, byte by byte of all
+    tokens and compressed.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(trie)
+
+    def run(batches):
+        import zstandard
+
+        reader, z = Reader(shared.value), zstandard.ZstdCompressor(level=1)
+        for b, texts in in_batches(batches, 1):
+            ids = reader.ids(texts)
+            parts = np.split(ids, starts(texts)[1:])
+            packed = [z.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()) for x in parts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["doc_id", "held_out", "ids"])
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(common.frugal(run), "doc_id long, held_out boolean, ids binary")
 
 
 def build_level(rows: DataFrame, trie: Trie, k: int, least: int) -> Level:
@@ -370,43 +416,60 @@ def with_fold(docs: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", common.fold_of(F.col("doc_id"), FOLDS) == HELD_OUT)
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Trie:
-    """Learns from the rows that are not held out; without any, every word is unknown."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    rows = with_fold(docs).filter(~F.col("held_out"))
-    folder = common.new_path(spark, "trie")
-    trie = build_words(common.stored(count_words(rows), "word-counts"), folder)
+def words(rows: DataFrame) -> Trie:
+    """The first level, of training rows (text)."""
+    return build_words(common.stored(count_words(rows), "word-counts"), common.new_path(rows.sparkSession, "trie"))
+
+
+def add_levels(ids: DataFrame, trie: Trie, order: int) -> Trie:
+    """Adds the levels up to order to trie, from training rows (ids)."""
     for k in range(2, order + 1):
-        trie.levels.append(build_level(rows, trie, k, LEAST.get(k, 2)))
+        trie.levels.append(build_level(ids, trie, k, LEAST.get(k, 2)))
     return trie
 
 
-def score(docs: DataFrame, trie: Trie) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
-
-    A null text counts as empty (its one token is the end); a null doc_id stays null and counts
-    as the empty text for its fold; repeated rows give repeated rows; other columns are ignored.
-    """
+def train(docs: DataFrame, order: int = ORDER) -> Trie:
+    """Learns from the rows that are not held out; without any, every word is unknown."""
     common.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
+    rows = with_fold(docs).filter(~F.col("held_out"))
+    trie = words(rows)
+    return add_levels(common.stored(word_ids(rows, trie), "word-ids"), trie, order)
+
+
+def score_ids(ids: DataFrame, trie: Trie) -> DataFrame:
+    """The scores of rows (doc_id, held_out, ids)."""
+    shared = ids.sparkSession.sparkContext.broadcast(trie)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches):
         t = shared.value
-        reader = Reader(t)
-        for b, texts in in_batches(batches, 1):
-            ids, counts = reader.ids(texts)
-            first = starts(texts)
+        for b, ids, first in id_batches(batches, 2):
+            counts = t.counts(ids)
             base = np.log10((counts + 1) / (t.n + t.v + 1))
             _, log = t.walk(ids, counts, first, len(t.levels))
             sizes = np.diff(np.append(first, len(ids)))
             sums = [np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64), base, log)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, (sizes, sums[0], np.full(len(sizes), t.n), sums[1], sums[2]))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (sizes, sums[0], np.full(len(sizes), t.n), sums[1], sums[2]))], names)
+
+    return ids.select("doc_id", "held_out", "ids").mapInArrow(common.frugal(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, trie: Trie) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    rows = with_fold(docs).select("doc_id", "text", "held_out")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    A null text counts as empty (its one token is the end); a null doc_id stays null and counts
+    as the empty text for its fold; repeated rows give repeated rows; very long texts are scored
+    whole, a batch of tokens at a time; other columns are ignored. An empty table gives an empty
+    table.
+    """
+    common.prepare(docs.sparkSession)
+    return score_ids(word_ids(with_fold(docs), trie), trie)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return score(docs, train(docs))
+    """Trains on docs and scores them, with one look-up of their words for both."""
+    common.prepare(docs.sparkSession)
+    rows = with_fold(docs)
+    trie = words(rows.filter(~F.col("held_out")))
+    ids = common.stored(word_ids(rows, trie), "word-ids")
+    return score_ids(ids, add_levels(ids.filter(~F.col("held_out")), trie, ORDER))
