@@ -6,15 +6,16 @@ non-space and a white-space character, so encoding words one by one gives the id
 text (added tokens hold no white space).
 
 Plan: Spark splits the texts and counts distinct words; the frequent ones (at most
-``HOT_WORDS``, cut by a histogram of counts, so the bound holds at any size) are encoded once
-and broadcast; every other occurrence goes as (row, position, word) to the task that owns the
-word, which encodes each distinct word once, and comes back to its text by position. No word
-beyond the table can be hot, as its count is below the cut.
+``HOT_WORDS`` and ``HOT_BYTES``, cut by a histogram of counts, so the bounds hold at any size)
+are encoded once and broadcast; every other occurrence goes as (row, position, word) to the task
+that owns the word, which encodes each distinct word once, and comes back to its text by
+position. No word beyond the table can be hot, as its count is below the cut. Decoding joins the
+ids of both kinds of words with the table of the vocabulary's pieces.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import os
 import re
 import struct
@@ -22,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,7 +34,7 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 WORD = f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+"
-HOT_WORDS = 1 << 20
+HOT_WORDS, HOT_BYTES = 1 << 20, 1 << 26
 #: Words that a worker of ``LocalEncoder`` remembers.
 CACHE_WORDS = 1 << 20
 
@@ -152,11 +153,26 @@ def piece(word: str) -> str:
     return word[1:] if word[:1] == " " and word[1:2] not in ("\n", _BARE) else _BARE + word
 
 
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of the vocabulary: its size bounds what is broadcast."""
+    found = pieces(path)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(found)), pa.int32()), "piece": pa.array(found, pa.binary())}))
+
+
+def id_lists(raw: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    import numpy as np
+
+    ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 def hot_table(rows: DataFrame, path: str, limit: int) -> pa.Table:
-    """(word, n, ids) of the most frequent words, at most limit rows, each encoded once.
+    """(word, n, ids, decoded) of the most frequent words, at most limit rows and about HOT_BYTES,
+    each encoded once; decoded is null where it is the word again.
 
     A task counts the words that it saw more than once: others are not frequent in it. The cut
-    comes from a histogram of the counts' logarithms, so the bound holds at any size.
+    comes from a histogram of the counts' logarithms, so the bounds hold at any size.
     """
 
     def count(batches):
@@ -173,21 +189,27 @@ def hot_table(rows: DataFrame, path: str, limit: int) -> pa.Table:
         often = {spelled(w): n for w, n in seen.items() if n > 1}
         return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], ["word", "n"])
 
-    counts = common.stored(rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = common.stored(rows.select("text").mapInArrow(common.frugal(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    total, cut = 0, None
-    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        total += row["count"]
-        if total > limit:
+    total, size, cut = 0, 0, None
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("count"), F.sum(F.octet_length("word") + 16).alias("bytes")).orderBy(F.desc("level")).collect():
+        total, size = total + row["count"], size + row["bytes"]
+        if total > limit or size > HOT_BYTES:
             break
         cut = row["level"]
     hot = counts.filter(level >= cut) if cut is not None else counts.limit(0)
 
     def encoded(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(encode_words(path, b.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), id_lists(encode_words(path, b.column(0).to_pylist()))], ["word", "n", "ids"])
 
-    return common.stored(hot.select("word", "n").mapInArrow(encoded, "word string, n long, ids binary"), "hot-words").toArrow()
+    ids = hot.select("word", "n").mapInArrow(common.frugal(encoded), "word string, n long, ids array<int>")
+    each = ids.select("word", "n", F.posexplode("ids").alias("k", "id")).join(F.broadcast(piece_table(rows.sparkSession, path)), "id")
+    found = each.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("k", "id", "piece"))).alias("x"))
+    decoded = F.aggregate("x", F.lit(b""), lambda acc, x: F.concat(acc, x["piece"]))
+    found = found.select("word", "n", F.transform("x", lambda x: x["id"]).alias("ids"), decoded.alias("decoded"))
+    again = F.col("decoded") == F.encode("word", "UTF-8")
+    return common.stored(found.select("word", "n", "ids", F.when(~again, F.col("decoded")).alias("decoded")), "hot-words").toArrow()
 
 
 class HotTable:
@@ -195,7 +217,7 @@ class HotTable:
 
     def __init__(self, table: pa.Table):
         sink = pa.BufferOutputStream()
-        table = table.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
+        table = table.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids", "decoded"])
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
         self.data, self._number, self._ids = sink.getvalue().to_pybytes(), None, None
@@ -210,10 +232,17 @@ class HotTable:
             self._number = {piece(w): k for k, w in enumerate(words, 1)}
         return self._number
 
-    def ids(self) -> list[bytes]:
-        """Ids by number; 0 has none."""
+    def ids(self) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded bytes by number; 0 has none."""
         if self._ids is None:
-            self._ids = [b"", *pa.ipc.open_stream(self.data).read_all().column(1).to_pylist()]
+            table = pa.ipc.open_stream(self.data).read_all()
+            ids, decoded = [b""], [b""]
+            for batch in table.to_batches():
+                lists = batch.column(1)
+                raw, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                ids += [raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                decoded += [w.encode() if d is None else d for w, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            self._ids = ids, decoded
         return self._ids
 
 
@@ -231,11 +260,12 @@ def skeletons(rows: DataFrame, shared) -> DataFrame:
         for b in batches:
             out = []
             for t in b.column(2).to_pylist():
-                found = np.array([number.get(w, 0) for w in pieces_of(t)], "<u4")
+                words = pieces_of(t)
+                found = np.fromiter(map(number.get, words, itertools.repeat(0)), "<u4", len(words))
                 out.append(z.compress(np.ascontiguousarray(found.view(np.uint8).reshape(-1, 4).T).tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["rid", "doc_id", "skeleton"])
 
-    return rows.mapInArrow(run, "rid long, doc_id long, skeleton binary")
+    return rows.mapInArrow(common.frugal(run), "rid long, doc_id long, skeleton binary")
 
 
 def numbers(skeleton: bytes) -> list[int]:
@@ -250,8 +280,9 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row.
 
     ids: little-endian unsigned 32-bit; decoded: the text that decoding the ids gives. A null
-    text counts as empty, a null doc_id stays null, repeated rows give repeated rows; other
-    columns are ignored.
+    text counts as empty, a null doc_id stays null, repeated rows give repeated rows, very long
+    texts are encoded whole; other columns are ignored. Words of equal counts are in the table
+    together or not at all. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -262,9 +293,14 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     def find_rare(batches):
         known = shared.value.number()
         for b in batches:
-            found = [(r, i, spelled(w)) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, w in enumerate(pieces_of(t)) if w not in known]
-            kinds = (pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["rid", "at", "word"])
+            rids, places, words = [], [], []
+            for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                split = pieces_of(t)
+                found = [i for i, x in enumerate(map(known.get, split)) if x is None]
+                rids += [rid] * len(found)
+                places += found
+                words += [spelled(split[i]) for i in found]
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], ["rid", "at", "word"])
 
     def encode_sorted(batches):
         last, last_ids = None, b""
@@ -276,41 +312,51 @@ def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
                 ids[last] = last_ids
             if found:
                 last, last_ids = found[-1], ids[found[-1]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ids[w] for w in found], pa.binary())], ["rid", "at", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), id_lists([ids[w] for w in found])], ["rid", "at", "ids"])
 
-    rare = rows.select("rid", "text").mapInArrow(find_rare, "rid long, at int, word string")
-    answered = rare.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encode_sorted, "rid long, at int, ids binary")
-    answers = answered.repartition(n, "rid").groupBy("rid").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
-    by_id = pieces(path)
+    rare = rows.select("rid", "text").mapInArrow(common.frugal(find_rare), "rid long, at int, word string")
+    answered = rare.repartition(n, "word").sortWithinPartitions("word").mapInArrow(common.frugal(encode_sorted), "rid long, at int, ids array<int>")
+    each = answered.repartition(n, "rid").select("rid", "at", F.posexplode("ids").alias("k", "id")).join(F.broadcast(piece_table(spark, path)), "id")
+    answers = each.groupBy("rid").agg(F.collect_list(F.struct("at", "k", "id", "piece")).alias("rare"))
 
     def assemble(batches):
-        import numpy as np
-
-        known = shared.value.ids().__getitem__
+        known, decoded = (x.__getitem__ for x in shared.value.ids())
         for b in batches:
             ids, sizes, texts = [], [], []
-            for skeleton, rare_ids in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts = list(map(known, numbers(skeleton)))
-                for x in rare_ids or ():
-                    parts[x["at"]] = x["ids"]
+            for skeleton, (at, rare_ids, rare_pieces) in zip(b.column(1).to_pylist(), rare_words(b.column(2)), strict=True):
+                words = numbers(skeleton)
+                parts, plain = list(map(known, words)), list(map(decoded, words))
+                for i, x, y in zip(at, rare_ids, rare_pieces, strict=True):
+                    parts[i], plain[i] = x, y
                 ids.append(b"".join(parts))
                 sizes.append(len(ids[-1]) // 4)
-                texts.append(b"".join(map(by_id.__getitem__, np.frombuffer(ids[-1], "<u4").tolist())).decode("utf-8", "replace"))
+                texts.append(b"".join(plain).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     joined = skeletons(rows, shared).join(answers, "rid", "left").select("doc_id", "skeleton", "rare")
-    return joined.mapInArrow(assemble, "doc_id long, n_tokens long, ids binary, decoded string")
+    return joined.mapInArrow(common.frugal(assemble), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """The digests of the query."""
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
-
+def rare_words(lists: pa.ListArray) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
+    """For each row: places, ids and pieces of its rare words, from list<struct<at, k, id, piece>>."""
+    import numpy as np
 
-def text_ids(path: str, text: str) -> list[int]:
-    """The ids of one text, the plain way; for tests."""
-    return tokenizer(path).encode(text, add_special_tokens=False).ids
+    size = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+    flat = lists.flatten()
+    at, k, ids = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((k, at, row))
+    at, raw, row = at[order], ids[order].astype("<u4").tobytes(), row[order]
+    piece = flat.field(3).take(pa.array(order)).to_pylist()
+    heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1]))) if len(at) else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], len(at)).tolist()
+    cuts = np.searchsorted(row[heads], np.arange(len(size) + 1)).tolist()
+    places, heads = at[heads].tolist(), heads.tolist()
+    for a, b in itertools.pairwise(cuts):
+        spans = list(zip(heads[a:b], ends[a:b], strict=True))
+        yield places[a:b], [raw[4 * x : 4 * y] for x, y in spans], [piece[x] if y == x + 1 else b"".join(piece[x:y]) for x, y in spans]
 
 
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def digest(encoded: DataFrame) -> DataFrame:
+    """The digests of the query."""
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

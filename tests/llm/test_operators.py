@@ -32,6 +32,14 @@ def fixture(seed=0, n=60):
     return out + [out[3], (None, "lost and found"), (None, None)]
 
 
+def text_ids(path, text):
+    return bpe.tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
 # --- BPE and packing ---------------------------------------------------------------------------
 
 
@@ -41,7 +49,7 @@ def test_splits_keep_the_ids():
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3000)]
     path = queries.vocabulary()
     for t, quick in zip(texts, bpe.LocalEncoder(path)(texts), strict=True):
-        ids = bpe.text_ids(path, t)
+        ids = text_ids(path, t)
         assert np.frombuffer(quick, "<u4").tolist() == ids
         assert np.frombuffer(b"".join(bpe.encode_words(path, bpe._find(t))), "<u4").tolist() == ids
 
@@ -52,9 +60,9 @@ def test_encode_and_decode(spark):
     got = collections.Counter(tuple(r) for r in bpe.digest(bpe.encode(frame(spark, texts), path, hot_words=20)).collect())
     expected = collections.Counter()
     for i, t in texts:
-        ids = bpe.text_ids(path, t or "")
+        ids = text_ids(path, t or "")
         decoded = bpe.tokenizer(path).decode(ids, skip_special_tokens=False)
-        expected[i, len(ids), bpe.sha(np.array(ids, "<u4").tobytes()), bpe.sha(decoded.encode())] += 1
+        expected[i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(decoded.encode())] += 1
     assert got == expected
     assert bpe.encode(frame(spark, texts).limit(0), path).count() == 0
 
@@ -77,7 +85,7 @@ def test_packing(spark):
             assert at == end
             end += n
         assert end <= 256
-    ids = {i: [*bpe.text_ids(queries.vocabulary(), t or ""), 0] for i, t in texts}
+    ids = {i: [*text_ids(queries.vocabulary(), t or ""), 0] for i, t in texts}
     assert len([r for r in rows if r["piece"] == 0]) == len(texts)
     for r in rows:
         part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4") if r["doc_id"] is not None else None
