@@ -18,6 +18,7 @@ that every context's probabilities add up to one.
 
 from __future__ import annotations
 
+import functools
 import io
 import itertools
 import os
@@ -97,7 +98,7 @@ def read_file(uri: str) -> list[np.ndarray]:
         shape, _, kind = np.lib.format.read_array_header_1_0(head)
         at += head.tell()
         size = shape[0] * kind.itemsize
-        out.append(raw[at : at + size].view(kind))
+        out.append(np.asarray(raw[at : at + size].view(kind)))
         at += size
         at += -at % 64
     return out
@@ -106,6 +107,24 @@ def read_file(uri: str) -> list[np.ndarray]:
 # --- the trie --------------------------------------------------------------------------------
 
 
+#: Files that a worker's task has open; closed at its end, as a worker keeps broadcast tries for later tasks.
+_open: dict[str, tuple[EliasFano, list[np.ndarray]]] = {}
+
+
+def closing(run):
+    """A batch function that leaves no file open and gives freed memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _open.clear()
+            common.release()
+
+    return wrapped
+
+
 @dataclass
 class Level:
     """One level's shards: bases[s] is the first node's number of shard s, step the parents in one."""
@@ -123,15 +142,17 @@ class Trie:
     v: int  # distinct words
     levels: list[Level] = field(default_factory=list)
 
-    def __getstate__(self):
-        return {k: x for k, x in self.__dict__.items() if k != "_open"}
+    @property
+    def width(self) -> int:
+        """Bytes of a stored word id."""
+        return 4 if self.v < 1 << 31 else 8
 
     def shard(self, level: int, s: int) -> tuple[EliasFano, list[np.ndarray]]:
-        held = self.__dict__.setdefault("_open", {})
-        if (level, s) not in held:
-            meta, low, high, zeros, *rest = read_file(f"{self.folder}/{level}-{s}.ef")
-            held[level, s] = EliasFano(int(meta[0]), int(meta[1]), low, high, zeros), rest
-        return held[level, s]
+        path = f"{self.folder}/{level}-{s}.ef"
+        if path not in _open:
+            meta, low, high, zeros, *rest = read_file(path)
+            _open[path] = EliasFano(int(meta[0]), int(meta[1]), low, high, zeros), rest
+        return _open[path]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of words by hash; -1 and 0 for unknown ones."""
@@ -168,10 +189,12 @@ class Trie:
                 place = parents[at] - s * meta.step
                 back[at] = backs[place] / -STEP
                 known = np.flatnonzero(words[at] >= 0)
-                i = ef.find(place[known].astype(np.uint64) * np.uint64(self.v) + words[at[known]].astype(np.uint64))
+                # Each distinct n-gram is looked up once, in order: neighbours lie close together.
+                keys, again = np.unique(place[known].astype(np.uint64) * np.uint64(self.v) + words[at[known]].astype(np.uint64), return_inverse=True)
+                i = ef.find(keys)
                 hit = i >= 0
-                node[at[known[hit]]] = i[hit] + meta.bases[s]
-                prob[at[known[hit]]] = probs[i[hit]] / -STEP
+                node[at[known]] = np.where(hit, i + meta.bases[s], -1)[again]
+                prob[at[known]] = np.where(hit, probs[np.maximum(i, 0)] / -STEP, np.nan)[again]
         return node, prob, back
 
     def walk(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,12 +216,20 @@ def grouped(keys: np.ndarray):
     """(key, indices) for each distinct key."""
     if not len(keys):
         return
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.int16) if keys.max() < 1 << 15 else keys, kind="stable")  # short keys sort by digits
     cuts = np.flatnonzero(np.diff(keys[order])) + 1
     for part in np.split(order, cuts):
         yield int(keys[part[0]]), part
 
 
+class Places(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Reader:
     """Turns texts into word ids, looking each remembered word up once."""
 
@@ -207,7 +238,7 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = Places()
         self.table = np.zeros(0, np.int64)
 
     def ids(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -215,12 +246,11 @@ class Reader:
 
         if len(self.place) > _CACHE_WORDS:
             self.forget()
-        new = list(set().union(*texts).difference(self.place))
-        found = self.trie.words(np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, found[0]])
         get = self.place.__getitem__
         at = np.fromiter(itertools.chain.from_iterable(map(get, words) for words in texts), np.int64, sum(map(len, texts)))
+        new = itertools.islice(self.place, len(self.table), None)  # a dict keeps the order of its keys
+        found, _ = self.trie.words(np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64))
+        self.table = np.concatenate([self.table, found])
         return self.table[at]
 
 
@@ -243,7 +273,7 @@ def starts(texts: list[list[bytes]]) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def id_batches(batches, column: int):
+def id_batches(batches, column: int, width: int):
     """(arrow rows, their word ids, the first of each row) of at most about BATCH_TOKENS tokens."""
     import zstandard
 
@@ -251,12 +281,12 @@ def id_batches(batches, column: int):
     for b in batches:
         start, held, size = 0, [], 0
         for i, raw in enumerate(b.column(column).to_pylist(), 1):
-            planes = np.frombuffer(z.decompress(raw), np.uint8).reshape(8, -1)
-            held.append(np.ascontiguousarray(planes.T).view("<i8").ravel())
+            planes = np.frombuffer(z.decompress(raw), np.uint8).reshape(width, -1)
+            held.append(np.ascontiguousarray(planes.T).view(f"<i{width}").ravel())
             size += len(held[-1])
             if size >= BATCH_TOKENS or i == b.num_rows:
                 sizes = np.array([len(x) for x in held])
-                yield b.slice(start, i - start), np.concatenate(held), np.cumsum(sizes) - sizes
+                yield b.slice(start, i - start), np.concatenate(held).astype(np.int64), np.cumsum(sizes) - sizes
                 start, held, size = i, [], 0
 
 
@@ -311,25 +341,22 @@ def send_ngrams(rows: DataFrame, trie: Trie, k: int, step: int) -> DataFrame:
         import zstandard
 
         parent, word, low = (np.concatenate(x) for x in (*zip(*keys, strict=True), lower))
-        order = np.lexsort((word, parent))
-        parent, word, low = parent[order], word[order], low[order]
-        new = np.flatnonzero(np.append(True, (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])))
-        count = np.diff(np.append(new, len(parent)))
-        parent, word, low = parent[new], word[new], low[new]
-        shard = parent // step
-        cuts = np.flatnonzero(np.diff(shard)) + 1
         ids, blobs = [], []
-        for at in np.split(np.arange(len(parent)), cuts):
-            s = int(shard[at[0]])
+        for s, at in grouped(parent // step):
             key = (parent[at] - s * step).astype(np.uint64) * np.uint64(shared.value.v) + word[at].astype(np.uint64)
-            raw = b"".join(a.tobytes() for a in (np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, np.minimum(count[at], 0xFFFFFFFF).astype(np.uint32), low[at]))
+            order = np.argsort(key)
+            key = key[order]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.diff(np.append(new, len(key)))
+            delta = np.diff(key[new], prepend=np.uint64(0))
+            raw = b"".join(a.tobytes() for a in (delta.view(np.uint8).reshape(-1, 8).T, np.minimum(count, 0xFFFFFFFF).astype(np.uint32), low[at[order[new]]]))
             ids.append(s)
             blobs.append(zstandard.ZstdCompressor(level=1).compress(raw))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     def run(batches):
         keys, lower, size = [], [], 0
-        for _, ids, first in id_batches(batches, 0):
+        for _, ids, first in id_batches(batches, 0, shared.value.width):
             node, log = shared.value.walk(ids, shared.value.counts(ids), first, k - 1)
             parent = np.append(-1, node[:-1])
             parent[first] = -1
@@ -343,28 +370,28 @@ def send_ngrams(rows: DataFrame, trie: Trie, k: int, step: int) -> DataFrame:
         if size:
             yield send(keys, lower)
 
-    return rows.select("ids").mapInArrow(common.frugal(run), "shard long, blob binary")
+    return rows.select("ids").mapInArrow(closing(run), "shard long, blob binary")
 
 
 def word_ids(rows: DataFrame, trie: Trie) -> DataFrame:
     """(doc_id, held_out, ids) of rows (doc_id, text, held_out): texts are split and looked up once.
 
-    ids are those of the tokens, -1 for unknown ones, as 64-bit integers, byte by byte of all
-    tokens and compressed.
+    ids are those of the tokens, -1 for unknown ones, as integers of the trie's width, byte by
+    byte of all tokens and compressed.
     """
     shared = rows.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches):
         import zstandard
 
-        reader, z = Reader(shared.value), zstandard.ZstdCompressor(level=1)
+        reader, width, z = Reader(shared.value), shared.value.width, zstandard.ZstdCompressor(level=1)
         for b, texts in in_batches(batches, 1):
             ids = reader.ids(texts)
-            parts = np.split(ids, starts(texts)[1:])
-            packed = [z.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()) for x in parts]
+            parts = np.split(ids.astype(f"<i{width}"), starts(texts)[1:])
+            packed = [z.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T).tobytes()) for x in parts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["doc_id", "held_out", "ids"])
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(common.frugal(run), "doc_id long, held_out boolean, ids binary")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(closing(run), "doc_id long, held_out boolean, ids binary")
 
 
 def build_level(rows: DataFrame, trie: Trie, k: int, least: int) -> Level:
@@ -443,7 +470,7 @@ def score_ids(ids: DataFrame, trie: Trie) -> DataFrame:
 
     def run(batches):
         t = shared.value
-        for b, ids, first in id_batches(batches, 2):
+        for b, ids, first in id_batches(batches, 2, t.width):
             counts = t.counts(ids)
             base = np.log10((counts + 1) / (t.n + t.v + 1))
             _, log = t.walk(ids, counts, first, len(t.levels))
@@ -451,7 +478,7 @@ def score_ids(ids: DataFrame, trie: Trie) -> DataFrame:
             sums = [np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64), base, log)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (sizes, sums[0], np.full(len(sizes), t.n), sums[1], sums[2]))], names)
 
-    return ids.select("doc_id", "held_out", "ids").mapInArrow(common.frugal(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ids.select("doc_id", "held_out", "ids").mapInArrow(closing(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
