@@ -146,7 +146,7 @@ def sample(docs: DataFrame) -> list[str]:
     lines, and copies are merged, so tasks and the driver hold about as many at any size.
     """
     text = common.text_of(docs)
-    total = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+    total = line_count(docs.select(text.alias("text")))
     share = min(1.0, 8 * LINES / max(total, 1))
     lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).filter("line <> ''").select(F.left("line", F.lit(LINE_CHARS)).alias("line")).withColumn("hash", F.xxhash64("line"))
     lines = lines.filter(F.col("hash") <= F.lit(int(-(2**63) + share * (2**64 - 1) // 1)).cast("long")) if share < 1 else lines
@@ -242,9 +242,14 @@ def scan(rows: DataFrame, model: Model) -> DataFrame:
     return of_run.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("xs"))).alias("found"))
 
 
+def line_count(rows: DataFrame) -> int:
+    """Lines of all texts."""
+    return rows.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+
+
 def belief(rows: DataFrame, compared: DataFrame) -> float:
     """The least probability that is believed, calibrated on all lines of rows."""
-    total = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    total = line_count(rows)
     foreign = compared.filter((F.col("line") >= 0) & (F.col("likeness") < CONFIRM))
     n = foreign.count()
     if n <= ALARMS * total:
