@@ -44,7 +44,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(common.frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -120,7 +120,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Packs every row of docs: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     A null text counts as empty (its one id is the 0 at its end), a null doc_id stays null,
-    repeated rows are packed each, other columns are ignored.
+    repeated rows are packed each, very long texts are cut into pieces, other columns are
+    ignored. Pieces of equal length are in the order of a hash. An empty table gives an empty
+    table.
     """
     common.prepare(docs.sparkSession)
     return place(tokenized(docs, path, capacity), capacity)

@@ -80,7 +80,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in RATIOS)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInArrow(common.frugal(run), schema)
 
 
 @dataclass(frozen=True)
@@ -173,11 +173,15 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def train(measured: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[Rule]:
-    """Learns from at most size labelled rows; without any, the list is empty and keeps all."""
+    """Learns from at most size labelled rows; without any, the list is empty and keeps all.
+
+    Of repeated rows of an id one counts, so an id with many rows doesn't fill the driver.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("labelled"), "labelled").limit(size)
-    rows = measured.join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).orderBy(F.xxhash64("labelled"), "labelled")
-    found = rows.select(*RATIOS, "quality").toPandas()
+    rows = measured.join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))
+    rows = rows.groupBy("labelled").agg(F.min(F.struct(*RATIOS)).alias("x"), F.min("quality").alias("quality"))
+    found = rows.orderBy(F.xxhash64("labelled"), "labelled").select("x.*", "quality").toPandas()
     return learn({c: found[c].to_numpy(float) for c in RATIOS}, found["quality"].to_numpy() == 0)
 
 
@@ -185,7 +189,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, COUNTS, base_failed, kept) of every row.
 
     A null text counts as empty (it fails the base rule), a null doc_id stays null, repeated
-    rows give repeated rows; other columns are ignored.
+    rows give repeated rows; very long texts are measured whole; other columns are ignored. A
+    statistic that equals a threshold counts as above it. An empty table gives an empty table.
     """
     measured = common.stored(measure(docs), "quality-statistics")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

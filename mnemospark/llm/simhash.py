@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(common.frugal(run), "doc_id long, fp long")
 
 
 def masks(half: int) -> list[int]:
@@ -88,7 +88,9 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
     A null text counts as empty (fingerprint 0, linked like any other). A row with a null doc_id
     keeps it; it links like others, but is never the smallest unless all are null. Repeated rows
-    give repeated rows; other columns are ignored. radius is even, as half of it is emitted.
+    give repeated rows; very long texts are hashed whole; other columns are ignored. Bits set in
+    just half of the hashes are 0. An empty table gives an empty table. radius is even, as half
+    of it is emitted.
     """
     if radius % 2:
         raise ValueError("radius must be even")

@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats."""
 
+import bisect
 import collections
 import hashlib
 import json
@@ -517,6 +518,100 @@ def test_wrapped_licences(spark):
     assert got == {1: ("mit", 1), 2: ("gpl", 1), 3: ("", 0), 4: ("gpl", 1)}
 
 
+def test_disturbed_and_wrapped_notices_are_found(spark):
+    """Recall on notices with words lost, foreign words around and lines wrapped; none in plain text."""
+    rng = random.Random(4)
+    filler = [w for _, t in fixture(8) if t for w in t.split() if w.isalpha()]
+    texts, families = [], []
+    for family, notices in licenses.NOTICES.items():
+        for t in notices:
+            words = t.split()
+            if len(words) < 6:
+                continue
+            kept = [w for w in words if rng.random() > 0.06]
+            lines, at = [], 0
+            while at < len(kept):
+                n = rng.randrange(4, 12)
+                lines.append(" ".join(kept[at : at + n]))
+                at += n
+            texts += [" ".join(["x", *kept, "y"]), "intro\n\n" + "\n".join(lines) + "\n\nend", t]
+            families += [family] * 3
+    plain = [" ".join(rng.choices(filler, k=40)) for _ in range(200)]
+    docs = frame(spark, [*enumerate(texts), *((1000 + k, t) for k, t in enumerate(plain))])
+    got = {r["doc_id"]: r["families"] for r in licenses.licences(docs).collect()}
+    assert sum(f in got[k].split(",") for k, f in enumerate(families)) >= 0.9 * len(families)
+    assert not any(got[1000 + k] for k in range(200))
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Sequences that placing pieces one by one opens."""
+    spaces = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(spaces, n)
+        space = spaces.pop(k) if k < len(spaces) else capacity
+        bisect.insort(spaces, space - n)
+    return len(spaces)
+
+
+def test_plan_needs_no_more_than_one_by_one():
+    for seed in range(6):
+        rng = random.Random(seed)
+        lengths = [min(2048, int(rng.paretovariate(0.7) * 9)) for _ in range(3000)] + [rng.randrange(1, 2049) for _ in range(300 * seed)]
+        used = set()
+        for _, first, last, sequence, each, _ in packing.plan(dict(collections.Counter(lengths))):
+            used.update(range(sequence, sequence + -(-(last - first) // each)))
+        assert len(used) <= 1.005 * best_fit_decreasing(lengths, 2048) + 1
+
+
+def test_quality_list_on_held_out_rows(spark):
+    """Learned on half of the labels, right on the other half; and the expression is the list."""
+    docs, marked = common.documents(spark, "/root/testdata/sf0.1"), common.labels(spark, "/root/testdata/sf0.1")
+    measured = common.stored(quality.measure(docs), "held-out")
+    rules = quality.train(measured, marked.filter("doc_id % 2 = 0"))
+    assert rules
+    rows = measured.withColumn("kept", quality.verdict(rules)).join(marked.filter("doc_id % 2 = 1"), "doc_id").collect()
+    table = {c: np.array([r[c] for r in rows], float) for c in quality.RATIOS}
+    bad = np.any([quality.covers(rule, table, len(rows)) for rule in rules], axis=0)
+    assert [r["kept"] for r in rows] == (~bad).tolist()
+    normal = [r for r in rows if r["n_words"] >= 20 and 100 * r["n_repeat_words"] <= 30 * r["n_words"]]
+    assert sum(r["kept"] == (r["quality"] == 1) for r in normal) / len(normal) > 0.95
+
+
+def test_toxicity_scores_are_the_plain_sum(spark):
+    """A score is the logistic of the weights of a text's features, restored words among them."""
+    docs, marked = common.documents(spark, "/root/testdata/sf0.01"), labels(spark)
+    model = toxicity.train(docs, marked)
+    weights = sorted(model.weights, key=model.weights.get)
+    word = next(f[:-1] for f in reversed(weights) if f.endswith("$") and f[:-1].isalpha() and len(f) > 4)
+    for text in (word, f"some {word}, here", ""):
+        seen = {w.strip(",") for w in text.split()}
+        stems = {w + "$" for w in seen} | {w[:n] for w in seen for n in (4, 5, 6) if len(w) >= n}
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in stems)
+        got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()["score"]
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+OPERATORS = {
+    "op1": lambda d, m: packing.pack(d, queries.vocabulary()), "op2": lambda d, m: secrets.query(secrets.scan(d)), "op3": lambda d, m: simhash.query(simhash.classes(d)),
+    "op4": toxicity.query, "op5": lambda d, m: bpe.digest(bpe.encode(d, queries.vocabulary())), "op6": lambda d, m: lm.query(d), "op7": lambda d, m: suffix.query(suffix.deduplicate(d)),
+    "op8": lambda d, m: ordermin.query(ordermin.fingerprints(d)), "op9": quality.judge, "op10": lambda d, m: licenses.licences(d),
+}
+ODD_NAMES = "rid row spans score rules row_key kept at runs packed open labelled y fp n word ids skeleton rare length bucket part copy entries next_text lines start hash held_out toxic quality least variant".split()
+
+
+@pytest.mark.parametrize("op", list(OPERATORS))
+def test_odd_tables(spark, op):
+    """Nulls, empty and very long texts, ties and repeated rows, an empty table, clashing names."""
+    long = "a b c\n" * 900_000
+    texts = [(1, None), (2, ""), (3, " \n"), (4, "tie tie tie"), (5, "tie tie tie"), (5, "tie tie tie"), (None, None), (None, "no id, token=abcdef1"), (None, "no id, token=abcdef1"), (6, long), (-(2**63), "least"), (2**63 - 1, "most")]
+    docs = spark.createDataFrame([(i, t, *["x"] * len(ODD_NAMES)) for i, t in texts], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in ODD_NAMES))
+    marked = spark.createDataFrame([(1, 1, 0, "z"), (4, 0, 1, "z"), (5, 0, 1, "z"), (None, 1, 1, "z"), (2, None, None, "z")], "doc_id long, quality int, toxic int, text string")
+    got = collections.Counter(r["doc_id"] for r in OPERATORS[op](docs, marked).collect() if op != "op1" or r["piece"] == 0)
+    assert got == collections.Counter(i for i, _ in texts)
+    none = OPERATORS[op](docs.limit(0), marked.limit(0))
+    assert none.count() == 0 and none.columns == OPERATORS[op](docs, marked).columns
+
+
 def test_registry():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert json.dumps(sorted(queries.ORACLE_SQL)) == '["op2_secret_scan"]'
