@@ -97,7 +97,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = rows.withColumn("row_key", F.xxhash64("row.doc_id", text))
     queries = [trigrams.query(r.pattern) for r in rules]
-    found = trigrams.candidates(rows.select("row_key", text.alias("text")), queries).withColumnRenamed("row_key", "found_key")
+    # Stored, so that its size is known before texts move: where it is small it goes to them.
+    found = common.stored(trigrams.candidates(rows.select("row_key", text.alias("text")), queries).withColumnRenamed("row_key", "found_key"), "secret-candidates")
     joined = rows.join(found, F.col("row_key") == F.col("found_key"), "left")
     parts = []
     for k, (rule, q) in enumerate(zip(rules, queries, strict=True)):
