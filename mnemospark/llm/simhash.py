@@ -77,7 +77,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     radius at most, so the star holds the same components as all pairs; each link is verified.
     """
     flips = F.array(*[F.lit(m).cast("long") for m in masks(radius // 2)])
-    emitted = fps.select("fp", F.explode(flips).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    dealt = fps.repartition(common.partitions(fps.sparkSession), "fp")  # a row becomes as many as a ball holds
+    emitted = dealt.select("fp", F.explode(flips).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = emitted.groupBy("variant").agg(F.collect_list("fp").alias("ball")).filter(F.size("ball") > 1)
     star = met.select(F.array_min("ball").alias("a"), F.explode("ball").alias("b")).filter("a <> b").distinct()
     return star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
