@@ -41,6 +41,7 @@ CACHE_WORDS = 1 << 20
 _find = re.compile(WORD).findall
 _tokenizers: dict = {}
 _lengths: dict = {}
+_encoders: dict = {}
 _EDGE = (" ", "\n")
 
 
@@ -63,28 +64,36 @@ def encode_words(path: str, words: list[str]) -> list[bytes]:
     Words that start with a space or line end and end in a non-space are encoded as one text,
     since the tokenizer cuts between them, and told apart by the byte lengths of the ids.
     """
-    import numpy as np
-
+    chain = [w[:1] in _EDGE and w[-1] not in WHITE_SPACE for w in words]
+    if all(chain):
+        return list(encode_chain(path, words))
     out: list[bytes] = [b""] * len(words)
-    chained = [i for i, w in enumerate(words) if w[:1] in _EDGE and w[-1] not in WHITE_SPACE]
-    alone = [i for i, w in enumerate(words) if w and not (w[:1] in _EDGE and w[-1] not in WHITE_SPACE)]
+    alone = [i for i, w in enumerate(words) if w and not chain[i]]
     for at in range(0, len(alone), 4096):
         part = alone[at : at + 4096]
         for i, x in zip(part, tokenizer(path).encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
             out[i] = struct.pack(f"<{len(x.ids)}I", *x.ids)
-    if chained and path not in _lengths:
-        _lengths[path] = np.array([len(x) for x in pieces(path)], np.int64)
-    for at in range(0, len(chained), 4096):
-        part = chained[at : at + 4096]
-        ids = np.array(tokenizer(path).encode_batch_fast(["".join([words[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.searchsorted(np.cumsum(_lengths[path][ids]), np.cumsum([len(words[i].encode()) for i in part])) + 1
-        raw, start = ids.tobytes(), 0
-        for i, end in zip(part, (4 * ends).tolist(), strict=True):
-            out[i] = raw[start:end]
-            start = end
+    chained = [i for i, c in enumerate(chain) if c]
+    for i, ids in zip(chained, encode_chain(path, [words[i] for i in chained]), strict=True):
+        out[i] = ids
     return out
 
 
+def encode_chain(path: str, words: list[str]) -> Iterator[bytes]:
+    """Ids of words between which the tokenizer cuts, some thousands as one text."""
+    import numpy as np
+
+    if path not in _lengths:
+        _lengths[path] = np.array([len(x) for x in pieces(path)], np.int64)
+    for at in range(0, len(words), 4096):
+        part = words[at : at + 4096]
+        ids = np.array(tokenizer(path).encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        size = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part))
+        ends = (4 * (np.searchsorted(np.cumsum(_lengths[path][ids]), np.cumsum(size)) + 1)).tolist()
+        raw = ids.tobytes()
+        yield from [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def pieces(path: str) -> list[bytes]:
     """The id-to-piece table: the bytes of every id."""
     t = tokenizer(path)
@@ -104,27 +113,44 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Places(dict):
+    """Numbers pieces as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def local_encoder(path: str) -> LocalEncoder:
+    """This worker's encoder: words of earlier tasks are remembered, up to its bound."""
+    if path not in _encoders:
+        _encoders[path] = LocalEncoder(path)
+    return _encoders[path]
+
+
 class LocalEncoder:
     """Encodes texts in one worker, each distinct word once while it is remembered."""
 
     def __init__(self, path: str, size: int = CACHE_WORDS):
-        self.path, self.size, self.known = path, size, {}
+        self.path, self.size, self.place, self.ids = path, size, Places(), []
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [pieces_of(t) for t in texts]
-        if len(self.known) > self.size:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        self.known.update(zip(new, encode_words(self.path, [spelled(w) for w in new]), strict=True))
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        if len(self.ids) > self.size:
+            self.place, self.ids = Places(), []
+        place = self.place.__getitem__
+        split = [list(map(place, pieces_of(t))) for t in texts]
+        new = list(itertools.islice(self.place, len(self.ids), None))  # a dict keeps the order of its keys
+        self.ids += encode_words(self.path, [spelled(w) if w[:1] in _MARKS else " " + w for w in new])
+        get = self.ids.__getitem__
+        for places in split:
+            yield b"".join(map(get, places))
 
 
 #: White space after a space, or blank lines: there the quick split would cut a run of white space.
 _unclear = re.compile(f" [{WHITE_SPACE}]|\n\n").search
 #: Marks a piece of the quick split that is no word after a space.
 _BARE = "\0"
+_MARKS = (_BARE, "\n")
 
 
 def pieces_of(text: str) -> list[str]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import LocalEncoder
+from .bpe import local_encoder
 
 CAPACITY = 2048
 
@@ -32,7 +32,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row; ids end with 0."""
 
     def run(batches):
-        encode = LocalEncoder(path)
+        encode = local_encoder(path)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
