@@ -266,7 +266,7 @@ def window_rows(texts: DataFrame, length: int, bits: int) -> DataFrame:
         size = 0
         for rid, data, at in texts_of(batches):
             for s, e in regions(at, len(data), length):
-                n = e - s - length + 1
+                n = max(0, e - s - length + 1)
                 part = data[s:e]
                 for column, value in zip(out, (ranks(part, (length,))[0], checks(part, np.arange(n), length), np.full(n, rid, np.int64), np.arange(s, s + n)), strict=True):
                     column.append(value)
