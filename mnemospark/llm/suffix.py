@@ -251,7 +251,7 @@ def window_rows(texts: DataFrame, length: int, bits: int) -> DataFrame:
     """(rank, check, rid, at) of the open windows of (rid, packed, open); at is start << 1, plus 1
     for a window that repeats an earlier one of the batch: it is known.
     """
-    mask = np.uint64((1 << min(bits, 48)) - 1)
+    mask = np.uint64((1 << bits) - 1)
 
     def emit(rank, check, rid, start):
         rank, check, rid, start = (np.concatenate(x) for x in (rank, check, rid, start))
