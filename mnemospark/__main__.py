@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .config import MODELS, PARTITIONS, Settings
-from .plans.evaluation import run
+from .plans.evaluation import run, skipped
 
 FLAGS = (
     "secs", "short", "two_buttons", "default", "recency", "train_equals_test", "equalize_test_with_non_secs", "no_test_same_day", "no_train_same_day",
@@ -43,7 +43,10 @@ def settings(argv: list[str] | None = None) -> tuple[argparse.Namespace, Setting
 def main(argv: list[str] | None = None) -> None:
     args, s = settings(argv)
     spark = SparkSession.builder.appName("mnemospark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    print(f"{run(spark, args.data, args.out, s).count()} records in {args.out}/{s.result_name}.jsonl")
+    found = run(spark, args.data, args.out, s)
+    for r in skipped(spark, args.data, found, s).orderBy("user_id").toLocalIterator():  # one partition at a time
+        print(f"learner {r['user_id']} {r['reason']}", file=sys.stderr)
+    print(f"{found.count()} records in {args.out}/{s.result_name}.jsonl")
 
 
 if __name__ == "__main__":

@@ -15,6 +15,9 @@ from ..operators.splits import equalised
 from ..sources import results, revlog
 
 NATIVE = ("AVG", "MOVING-AVG", "RMSE-BINS-EXPLOIT", "SM2")
+#: Trees that a learner must be in, by the kind of partitions.
+TREES = {"none": (), "deck": ("cards",), "preset": ("cards", "decks")}
+FEW = "does not have enough data"
 #: Fields of a record's metrics, from the columns of functions.metrics.
 FIELDS = dict(zip(("RMSE", "LogLoss", "RMSE(bins)", "AUC", "precision@90", "recall@90", "MBE"), NAMES, strict=True))
 
@@ -68,8 +71,13 @@ def records(reviews: DataFrame, s: Settings, partition_map: DataFrame | None = N
 
 
 def run(spark: SparkSession, data: str, out: str, s: Settings) -> DataFrame:
-    """Evaluates the learners of a tree that out/<name>.jsonl has no record of; writes all records there."""
-    reviews = revlog.read_revlogs(spark, data, s.max_user_id)
+    """Evaluates the learners of a tree that out/<name>.jsonl has no record of; writes all records there.
+
+    A learner that can't be evaluated gets no record and stops no other one: see skipped.
+    """
+    reviews = revlog.read_revlogs(spark, data, s.max_user_id, strict=False)
+    for kind in TREES[s.partitions]:
+        reviews = reviews.join(revlog.learners_with(spark, data, kind), "user_id", "left_semi")
     path = f"{out}/{s.result_name}.jsonl"
     partition_map = revlog.read_partition_map(spark, data, s.partitions) if s.partitions != "none" else None
     paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new")]
@@ -85,3 +93,22 @@ def run(spark: SparkSession, data: str, out: str, s: Settings) -> DataFrame:
     store.rename(paths[1], paths[0])
     store.delete(aside, True)
     return results.read(spark, path)
+
+
+def without_record(users: DataFrame, done: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """(user_id, reason) of users (user_id) that done (user_id) has not; reasons (user_id, reason)
+    are those known, too few reviews is the one that is left."""
+    left = users.join(done, "user_id", "left_anti")
+    if reasons is None:
+        return left.select("user_id", F.lit(FEW).alias("reason"))
+    return left.join(reasons.groupBy("user_id").agg(F.min("reason").alias("known")), "user_id", "left").select("user_id", F.coalesce("known", F.lit(FEW)).alias("reason"))
+
+
+def skipped(spark: SparkSession, data: str, found: DataFrame, s: Settings) -> DataFrame:
+    """(user_id, reason) of the learners of a tree that have no record in found: a null in a
+    column, no cards or decks where partitions need them, or too few reviews."""
+    users = revlog.users(spark, data, s.max_user_id)
+    reasons = revlog.nulls(spark, data, s.max_user_id).select("user_id", F.concat(F.lit("has a null in "), F.col("column")).alias("reason"))
+    for kind in TREES[s.partitions]:
+        reasons = reasons.unionByName(users.join(revlog.learners_with(spark, data, kind), "user_id", "left_anti").select("user_id", F.lit(f"has no {kind}").alias("reason")))
+    return without_record(users, found.filter("user IS NOT NULL").select(F.col("user").alias("user_id")), reasons)

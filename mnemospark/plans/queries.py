@@ -103,6 +103,15 @@ def learners_with_enough(spark, sf_dir):
     return evaluable(secs_features(spark, sf_dir)).groupBy("user_id").agg(F.count("*").alias("n")).filter("n >= 6")
 
 
+@query(
+    "skipped_learners",
+    f"""{oracle.base(True)} SELECT DISTINCT user_id, '{evaluation.FEW}' AS reason FROM reviews
+    WHERE user_id NOT IN (SELECT user_id FROM rows_ GROUP BY user_id HAVING count(*) >= 6)""",
+)
+def skipped_learners(spark, sf_dir):
+    return evaluation.without_record(reviews(spark, sf_dir).select("user_id").distinct(), learners_with_enough(spark, sf_dir).select("user_id"))
+
+
 @query("timeseries_folds", f"{oracle.base(True)} SELECT user_id, review_th, rn, n, test_size, fold FROM folds")
 def timeseries_folds(spark, sf_dir):
     return splits.folds(evaluable(secs_features(spark, sf_dir))).select("user_id", "review_th", "rn", "n", "test_size", "fold")

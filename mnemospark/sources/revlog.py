@@ -7,6 +7,8 @@ prunes them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,20 +34,43 @@ def _not_null(c: str) -> F.Column:
     return F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"null in {c}")).cast("long")).alias(c)
 
 
-def read_revlogs(spark: SparkSession, root: str, max_user_id: int | None = None) -> DataFrame:
+def read_revlogs(spark: SparkSession, root: str, max_user_id: int | None = None, strict: bool = True) -> DataFrame:
     """The tree root/revlogs/user_id=*/: reviews numbered by file path and place in the file.
 
-    A bound on user_id prunes directories. A missing column, another type than bigint or a null
-    is an error.
+    A bound on user_id prunes directories. A missing column or another type than bigint is an
+    error, and so is a null; not strict, a learner with a null is left out instead.
     """
     rows = _tree(spark, root, "revlogs", REVLOG)
     if max_user_id is not None:
         rows = rows.filter(F.col("user_id") <= max_user_id)
+    if not strict:
+        rows = rows.withColumn("nulls", F.max(_null_in(*_READ)).over(Window.partitionBy("user_id"))).filter("nulls IS NULL")
     rows = rows.select("user_id", *map(_not_null, _READ), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"))
     order = Window.partitionBy("user_id").orderBy("path", "place")
     return rows.withColumn("review_th", F.row_number().over(order).cast("long")).select(*COLUMNS)
 
 
+def _null_in(*columns: str) -> F.Column:
+    """The first of the columns that is null in a row, null if none is."""
+    return F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])
+
+
+def nulls(spark: SparkSession, root: str, max_user_id: int | None = None) -> DataFrame:
+    """(user_id, column): learners whose reviews hold a null, with a column that does."""
+    rows = _tree(spark, root, "revlogs", REVLOG)
+    rows = rows.filter(F.col("user_id") <= max_user_id) if max_user_id is not None else rows
+    return rows.groupBy("user_id").agg(F.max(_null_in(*_READ)).alias("column")).filter("column IS NOT NULL")
+
+
+def learners_with(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """(user_id) of the learners that have a file in the tree root/kind, with rows or without.
+
+    Told from the file names, which Spark's listing of the tree holds on the driver anyway.
+    """
+    found = map(re.compile(r"/user_id=(-?\d+)/").search, spark.read.parquet(f"{root}/{kind}").inputFiles())
+    return spark.createDataFrame([(i,) for i in sorted({int(m[1]) for m in found if m})], "user_id long")
+
+
 def users(spark: SparkSession, root: str, max_user_id: int | None = None) -> DataFrame:
     """Learners of the tree, ascending."""
     found = _tree(spark, root, "revlogs", REVLOG).select("user_id").distinct()

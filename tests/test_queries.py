@@ -86,6 +86,26 @@ def test_tree_run_resume_and_partitions(spark, tmp_path):
     assert [json.loads(t)["user"] for t in text] == [0, 1, 2, 3] and text[0].startswith('{"metrics": {"RMSE": ')
 
 
+def test_learners_that_are_skipped(spark, tmp_path):
+    """A learner with a null, without cards or with few reviews gets no record and a reason; others go on."""
+    tree, out = str(tmp_path / "data"), str(tmp_path / "result")
+    rows = q.reviews(spark, SF).filter("user_id < 3").drop("review_th")
+    few = rows.filter("user_id = 0").limit(2).withColumn("user_id", F.lit(7).cast("long"))
+    hole = rows.filter("user_id = 1").withColumn("user_id", F.lit(8).cast("long")).withColumn("rating", F.when(F.col("elapsed_days") >= 0, F.col("rating")))
+    rows.unionByName(few).unionByName(hole).repartition(1).write.partitionBy("user_id").parquet(f"{tree}/revlogs")
+    cards = spark.createDataFrame([(0, 1, 0), (1, 1, 7), (2, 1, 8), (3, 1, 2)], "card_id long, deck_id long, user_id long")
+    cards.write.partitionBy("user_id").parquet(f"{tree}/cards")
+    s = Settings(algo="AVG", short=True, secs=True, partitions="deck")
+    found = evaluation.run(spark, tree, out, s)
+    assert sorted(r["user"] for r in found.collect()) == [0, 2]
+    reasons = {r["user_id"]: r["reason"] for r in evaluation.skipped(spark, tree, found, s).collect()}
+    assert reasons == {1: "has no cards", 7: evaluation.FEW, 8: "has a null in rating"}
+    plain = evaluation.run(spark, tree, out, Settings(algo="AVG", short=True, secs=True))
+    assert sorted(r["user"] for r in plain.collect()) == [0, 1, 2]
+    with pytest.raises(Exception, match="null in rating"):
+        revlog.read_revlogs(spark, tree).collect()
+
+
 def test_bad_trees(spark, tmp_path):
     spark.range(3).selectExpr("id AS card_id", "1L AS rating", "id AS elapsed_days", "0L AS user_id").write.partitionBy("user_id").parquet(str(tmp_path / "a/revlogs"))
     with pytest.raises(ValueError, match="elapsed_seconds"):
