@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, lm, ordermin, packing, quality, secrets, simhash, suffix, toxicity
+from . import bpe, collocations, lexical, licenses, lm, ordermin, packing, pages, quality, secrets, simhash, suffix, toxicity
 from .common import documents, labels
 
 #: The vocabulary file; a name of the public tokenizers' package.
@@ -59,6 +59,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(documents(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,7 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_document_fingerprints,
         op9_quality_rules,
         op10_license_scan,
+        op11_phrase_collocations,
+        op12_html_extraction,
+        op13_lexical_search,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secrets.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": secrets.oracle_sql(),
+    "op11_phrase_collocations": collocations.oracle_sql(),
+    "op13_lexical_search": lexical.oracle_sql(),
+}
