@@ -1,13 +1,17 @@
-"""Models without training, as native Spark plans: no Python runs in the executors."""
+"""Models without training, or at their default weights, as native Spark plans without Python."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import outputs
 from ..functions.scalar import exploit_bins, half_even, sigmoid
+from ..operators import history
 from ..operators.splits import folds
+from . import counts, regression
 
 KEPT = ("user_id", "card_id", "review_th", "y", "delta_t", "i", "rmse_bins_lapse", "fold", "p")
 
@@ -89,3 +93,26 @@ def sm2(features: DataFrame, n_splits: int = 5) -> DataFrame:
     joined = tested.join(sm2_intervals(features), ["user_id", "card_id", "pos"])
     decay = F.exp(F.ln(F.lit(0.9)) * F.col("delta_t") / F.nullif(F.col("interval"), F.lit(0.0)))
     return joined.withColumn("p", F.when(F.col("interval") == 0, F.lit(0.0)).otherwise(decay)).select(*KEPT)
+
+
+#: Models on features of a history, which their default weights turn into a probability.
+WEIGHTED = ("HLR", "DASH", "DASH[MCM]", "LogisticRegression")
+
+
+def weighted(rows: DataFrame, algo: str, short: bool, n_splits: int = 5) -> DataFrame:
+    """A weighted model at its default weights, which go along as JSON text."""
+    if algo == "LogisticRegression":
+        w = [float(x) for x in regression.MEAN]
+        text, z = w, sum((F.col(n) * v for n, v in zip(history.LOGREG, w, strict=True)), F.lit(0.0))
+        found, p = history.logreg_features(rows), sigmoid(z)
+    else:
+        w = [float(x) for x in counts.MODELS[algo].weights(short)]
+        text = {"0": w}
+        if algo == "HLR":
+            half = F.pow(F.lit(2.0), F.col("passed") * w[0] + F.col("failed") * w[1] + w[2])
+            found, p = history.hlr_features(rows), F.exp(F.ln(F.lit(0.5)) * F.col("delta_t") / half)
+        else:
+            z = sum((F.log1p(n) * v for n, v in zip(history.DASH, w, strict=False)), F.lit(w[8]))
+            found, p = history.dash_features(rows, algo == "DASH[MCM]"), sigmoid(z)
+    placed = folds(found, n_splits).filter("fold IS NOT NULL").withColumn("p", p)
+    return placed.select(*KEPT, F.lit(json.dumps(text)).alias("parameters"))

@@ -1,12 +1,17 @@
-"""Forward-mode differentiation on vectors: one code path for values and for gradients.
+"""Forward-mode differentiation on vectors: one code path for values, gradients and Spark columns.
 
-A Dual holds values (rows,) and derivatives (rows, parameters). The functions below take either
-Duals or plain arrays, so a model's recurrence is written once.
+A Dual holds values (rows,) and derivatives (rows, parameters). The functions below take Duals,
+plain arrays or Spark columns, so a model's recurrence is written once: training runs it on
+Duals, a plan holds it as native expressions.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 class Dual:
@@ -72,18 +77,37 @@ def chain(x, v, slope):
     return Dual(v, _by(x.g, slope)) if isinstance(x, Dual) else v
 
 
+def is_column(*x) -> bool:
+    return any(isinstance(v, Column) for v in x)
+
+
+def column(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def full(x, like):
+    """A scalar for each element of like."""
+    return column(x) if is_column(like) else x + np.zeros(len(like))
+
+
 def exp(x):
+    if is_column(x):
+        return F.exp(x)
     e = np.exp(value(x))
     return chain(x, e, e)
 
 
 def log(x):
+    if is_column(x):
+        return F.ln(x)
     v = value(x)
     return chain(x, np.log(v), 1 / v) if isinstance(x, Dual) else np.log(v)
 
 
 def power(x, y):
     """x ** y for a positive x."""
+    if is_column(x, y):
+        return F.pow(column(x), column(y))
     if not isinstance(x, Dual) and not isinstance(y, Dual):
         return np.power(x, y)
     a, b = value(x), value(y)
@@ -97,6 +121,8 @@ def power(x, y):
 
 
 def where(mask, a, b):
+    if is_column(mask):
+        return F.when(mask, column(a)).otherwise(column(b))
     if not isinstance(a, Dual) and not isinstance(b, Dual):
         return np.where(mask, a, b)
     n = next(x.g.shape[-1] for x in (a, b) if isinstance(x, Dual))
@@ -106,6 +132,9 @@ def where(mask, a, b):
 
 def clip(x, low=-np.inf, high=np.inf):
     """x held between bounds; where a bound holds, the derivative is zero."""
+    if is_column(x):
+        x = x if low == -math.inf else F.greatest(x, F.lit(float(low)))
+        return x if high == math.inf else F.least(x, F.lit(float(high)))
     if not isinstance(x, Dual):
         return np.clip(x, low, high)
     inside = (x.v >= low) & (x.v <= high) | np.isnan(x.v)
@@ -113,8 +142,12 @@ def clip(x, low=-np.inf, high=np.inf):
 
 
 def maximum(a, b):
+    if is_column(a, b):
+        return F.greatest(column(a), column(b))
     return where(np.broadcast_to(value(a) >= value(b), np.broadcast(value(a), value(b)).shape), a, b)
 
 
 def minimum(a, b):
+    if is_column(a, b):
+        return F.least(column(a), column(b))
     return where(np.broadcast_to(value(a) <= value(b), np.broadcast(value(a), value(b)).shape), a, b)

@@ -91,29 +91,24 @@ def predict(m: Recurrence, ratings, delta, lengths, t: np.ndarray, w, s_min: flo
     return p
 
 
-def _full(x, n: int):
-    """A scalar weight as a vector."""
-    return x + np.zeros(n)
-
-
 def _by_rating(r: np.ndarray, w, first: int = 0):
     """w[first + r - 1]."""
-    out = _full(w[first], len(r))
+    out = nm.full(w[first], r)
     for k in (2, 3, 4):
-        out = nm.where(r == k, _full(w[first + k - 1], len(r)), out)
+        out = nm.where(r == k, nm.full(w[first + k - 1], r), out)
     return out
 
 
 def _growth(r, w, hard: int, easy: int):
     """The factors for hard and easy reviews."""
-    return nm.where(r == 2, _full(w[hard], len(r)), np.ones(len(r))) * nm.where(r == 4, _full(w[easy], len(r)), np.ones(len(r)))
+    return nm.where(r == 2, nm.full(w[hard], r), nm.full(1.0, r)) * nm.where(r == 4, nm.full(w[easy], r), nm.full(1.0, r))
 
 
 # --- the FSRS family -----------------------------------------------------------------------------
 
 
 def _v1_begin(r, w, s_min):
-    return w[0] * 2.0 ** (r - 1.0) / 4.0, w[1] + (3.0 - r), np.maximum(0.0, 2.0 - r)
+    return w[0] * 2.0 ** (r - 1.0) / 4.0, w[1] + (3.0 - r), nm.maximum(2.0 - r, 0.0)
 
 
 def _v1_step(state, dt, r, w, s_min):
@@ -122,7 +117,7 @@ def _v1_step(state, dt, r, w, s_min):
     d = nm.clip(d + p + (0.1 - 2.0 ** (r - 1.0) / 4.0), 0.0)
     good = s * (nm.exp(w[2]) * nm.power(d + 0.1, w[3]) * nm.power(s, w[4]) * (nm.exp((1.0 - p) * w[5]) - 1.0) + 1.0)
     bad = w[0] * nm.exp(w[6] * lapses)
-    return nm.where(r > 1, good, bad), d, lapses + np.maximum(0.0, 2.0 - r)
+    return nm.where(r > 1, good, bad), d, lapses + nm.maximum(2.0 - r, 0.0)
 
 
 def _v2_begin(r, w, s_min):
@@ -199,7 +194,7 @@ def _v5_step(state, dt, r, w, s_min):
 def _v6_step(state, dt, r, w, s_min):
     s, d = state
     q = nm.exp(w[17] * (w[18] + (r - 3.0))) * nm.power(s, -w[19])
-    same_day = s * nm.where(r >= 2, nm.maximum(q, _full(1.0, len(r))), q)
+    same_day = s * nm.where(r >= 2, nm.maximum(q, nm.full(1.0, r)), q)
     return nm.where(dt < 1, same_day, _v5_long(s, d, dt, r, w, power_trained)), _v5_difficulty(d, r, w)
 
 
@@ -207,14 +202,13 @@ def _v6_step(state, dt, r, w, s_min):
 
 
 def _sm2_begin(r, w, s_min):
-    n = len(r)
-    return _sm2_step((np.zeros(n), _full(w[2], n), np.zeros(n)), None, r, w, s_min)
+    return _sm2_step((nm.full(0.0, r), nm.full(w[2], r), nm.full(0.0, r)), None, r, w, s_min)
 
 
 def _sm2_step(state, dt, r, w, s_min):
     interval, ease, reps = state
-    reps = np.where(r > 1, reps + 1, 1.0)
-    after = nm.where(reps == 1, _full(w[0], len(r)), nm.where(reps == 2, _full(w[1], len(r)), interval * ease))
+    reps = nm.where(r > 1, reps + 1.0, nm.full(1.0, r))
+    after = nm.where(reps == 1, nm.full(w[0], r), nm.where(reps == 2, nm.full(w[1], r), interval * ease))
     gap = (r + 1.0) - w[4]
     return after, nm.clip(ease - w[3] * (gap * gap) + w[5], 1.3, 10.0), reps
 
@@ -226,8 +220,7 @@ def _anki_grown(x):
 
 
 def _anki_begin(r, w, s_min):
-    n = len(r)
-    return _anki_grown(nm.where(r < 4, _full(w[0], n), _full(w[1], n))), nm.clip(_full(w[2], n), 1.3, 5.5)
+    return _anki_grown(nm.where(r < 4, nm.full(w[0], r), nm.full(w[1], r))), nm.clip(nm.full(w[2], r), 1.3, 5.5)
 
 
 def _anki_step(state, dt, r, w, s_min):
@@ -238,7 +231,7 @@ def _anki_step(state, dt, r, w, s_min):
     )
     due = nm.where(r == 2, interval * w[4], nm.where(r == 3, (interval + late / 2.0) * ease, (interval + late) * ease * w[3]))
     after = nm.where(r == 1, interval * w[5], nm.where(nm.value(late) < 0, early, due) * w[6])
-    change = np.select([r == 1, r == 2, r == 4], [-0.2, -0.15, 0.15], 0.0)
+    change = nm.where(r == 1, nm.full(-0.2, r), nm.where(r == 2, nm.full(-0.15, r), nm.where(r == 4, nm.full(0.15, r), nm.full(0.0, r))))
     return _anki_grown(after), nm.clip(ease + change, 1.3, 5.5)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import MODELS, Settings
 from ..functions.metrics import NAMES, metrics
-from ..models import closed, evaluate
+from ..models import closed, evaluate, recurrent, replay
 from ..operators.features import evaluable, features, with_partitions
 from ..operators.splits import equalised
 from ..sources import results, revlog
@@ -49,6 +49,10 @@ def predictions(reviews: DataFrame, s: Settings, partition_map: DataFrame | None
         return closed.bins_exploit(evaluable(rows), s.n_splits)
     if s.algo == "SM2":
         return closed.sm2(rows, s.n_splits)
+    if s.algo in recurrent.MODELS:
+        return replay.predictions(rows, s)
+    if s.default and s.algo in closed.WEIGHTED and not s.equalize_test_with_non_secs:
+        return closed.weighted(rows, s.algo, s.short, s.n_splits)
     return evaluate.predictions(rows, s)
 
 
@@ -61,11 +65,12 @@ def records(reviews: DataFrame, s: Settings, partition_map: DataFrame | None = N
     """
     began = time.time()
     told = predictions(reviews, s, partition_map)
-    if "parameters" in told.columns:
-        each = metrics(told, ("parameters", "fold", "time_ms"), parameters=F.max_by("parameters", "fold"), time_ms=F.max("time_ms"))
-    else:
-        took = F.greatest((F.unix_millis(F.current_timestamp()) - F.lit(int(began * 1000))).cast("double"), F.lit(0.0))
-        each = metrics(told).select("*", F.lit(None).cast("string").alias("parameters"), took.alias("time_ms"))
+    took = F.greatest((F.unix_millis(F.current_timestamp()) - F.lit(int(began * 1000))).cast("double"), F.lit(0.0))
+    kept = [c for c in ("parameters", "fold", "time_ms") if c in told.columns]
+    more = {"parameters": F.max_by("parameters", F.when(F.col("parameters").isNotNull(), F.col("fold")))} if "parameters" in kept else {}
+    each = metrics(told, tuple(kept), **more, **({"time_ms": F.max("time_ms")} if "time_ms" in kept else {}))
+    each = each if more else each.withColumn("parameters", F.lit(None).cast("string"))
+    each = each if "time_ms" in kept else each.withColumn("time_ms", took)
     fields = F.struct(*[F.col(c).alias(n) for n, c in FIELDS.items()])
     return each.select(fields.alias("metrics"), F.col("user_id").alias("user"), "size", "parameters", F.round("time_ms", 3).alias("time_ms"))
 
