@@ -22,6 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ from . import common
 
 #: Words of an automaton: bounds a worker's memory. A longer text makes one of its own.
 SHARD = 1 << 20
-#: Rows of an Arrow batch that leaves Python.
-BATCH = 1 << 16
+#: Rows of an Arrow batch that leaves Python; rows of packed phrases in one; an odd number that mixes hashes.
+BATCH, BLOBS, MIX = 1 << 16, 64, np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text whose phrases make a bucket; buckets that one shuffle deals to.
+BUCKET, FAN = 8 << 20, 4096
 #: Parts of a language that are ranked before its first phrases are.
 PARTS = 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -111,48 +114,128 @@ def enumerated(a: Automaton):
         yield k, a.end[held], a.count[held]
 
 
-def counted(docs: DataFrame, most: int) -> DataFrame:
-    """(lang, phrase, f) of all phrases of up to most words; the empty phrase counts words."""
+def hashes(words: list[bytes], lang: str) -> np.ndarray:
+    import xxhash
 
-    def shard(found: list[np.ndarray], langs: list[tuple[int, str]], numbers: dict[str, defaultdict]):
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def packed(keys: pa.Array, f: pa.Array) -> bytes:
+    """Phrases with their counts as compressed bytes: what is shuffled."""
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    batch = pa.RecordBatch.from_arrays([keys, f], ["key", "f"])
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def summed(parts: list[bytes]) -> pa.Table:
+    """(key, f_sum) of all packed phrases."""
+    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in parts).group_by("key").aggregate([("f", "sum")]).select(["key", "f_sum"])
+
+
+def dealt(keys: pa.Array, f: np.ndarray, bucket: np.ndarray, below: int = 0):
+    """Batches of (bucket, phrases): one row for each bucket that has some, numbered from below."""
+    order = np.argsort(bucket, kind="stable")
+    keys, f, bucket = keys.take(pa.array(order)), pa.array(f[order], pa.int64()), bucket[order]
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, int)
+    size = np.diff(np.append(start, len(bucket)))
+    for i in range(0, len(start), BLOBS):
+        parts = [packed(keys.slice(a, n), f.slice(a, n)) for a, n in zip(start[i : i + BLOBS].tolist(), size[i : i + BLOBS].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(below + bucket[start[i : i + BLOBS]].astype(np.int64)), pa.array(parts, pa.binary())], ["bucket", "phrases"])
+
+
+def by_bucket(batches):
+    """(bucket, its rows' phrases) of sorted rows."""
+    now, held = None, []
+    for b in batches:
+        for bucket, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if bucket != now and held:
+                yield now, held
+                held = []
+            now = bucket
+            held.append(part)
+    if held:
+        yield now, held
+
+
+def counted(docs: DataFrame, most: int, least: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases of up to most words that occur least times; the empty phrase counts words.
+
+    A shard's phrases go to buckets by hash, a compressed row each, and a bucket is summed at
+    once: buckets grow in number with the text, so each stays at about BUCKET bytes of it. A
+    phrase comes once from a shard, however frequent. More than FAN buckets take a second deal.
+    """
+
+    def shard(found: list[np.ndarray], langs: dict[str, int], numbers: dict[str, defaultdict]):
         words = np.concatenate(found)
-        a = automaton(words, most)
         total = sum(map(len, numbers.values()))
-        texts, of = np.empty(total, object), np.empty(total, object)
+        texts, of, hashed = np.empty(total, object), np.empty(total, object), np.empty(total, np.uint64)
         for lang, known in numbers.items():
             ids = np.fromiter(known.values(), np.int64, len(known))
-            texts[ids], of[ids] = [w.decode() for w in known], lang
+            texts[ids], of[ids], hashed[ids] = [w.decode() for w in known], lang, hashes(list(known), lang)
         texts, of = pa.array(texts, pa.string()), pa.array(of, pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([x for _, x in langs], pa.string()), pa.array([""] * len(langs), pa.string()), pa.array([n for n, _ in langs], pa.int64())], ["lang", "phrase", "f"])
-        for k, end, count in enumerated(a):
-            for i in range(0, len(end), BATCH):
-                e, c = end[i : i + BATCH], count[i : i + BATCH]
-                parts = [texts.take(pa.array(words[e - d])) for d in range(k - 1, -1, -1)]
-                phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays([of.take(pa.array(words[e])), phrase, pa.array(c, pa.int64())], ["lang", "phrase", "f"])
+        keys = [pa.array([f".{x}" for x in langs], pa.string())]
+        f, h = [np.array(list(langs.values()))], [hashes([x.encode() for x in langs], "")]
+        for k, end, count in enumerated(automaton(words, most)):
+            mixed = np.zeros(len(end), np.uint64)
+            for d in range(k - 1, -1, -1):
+                mixed = (mixed ^ hashed[words[end - d]]) * MIX
+            # No word holds a full stop: it ends the phrase, and the language follows.
+            phrase = pc.binary_join_element_wise(*[texts.take(pa.array(words[end - d])) for d in range(k - 1, -1, -1)], " ") if k > 1 else texts.take(pa.array(words[end]))
+            keys.append(pc.binary_join_element_wise(phrase, of.take(pa.array(words[end])), "."))
+            f.append(count)
+            h.append(mixed)
+        h = np.concatenate(h)
+        yield from dealt(pa.concat_arrays(keys), np.concatenate(f), ((h >> np.uint64(32)) % np.uint64(fan)).astype(np.int64))
 
     def run(batches):
-        found, langs, numbers, total = [], defaultdict(int), {}, 0
-        fresh = itertools.count()
+        found, langs, numbers, total, fresh = [], defaultdict(int), {}, 0, itertools.count()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if lang not in numbers:  # words of each language have numbers of their own
                     numbers[lang] = defaultdict(functools.partial(next, fresh))
                 known, split = numbers[lang], words_of(text)
-                w = np.fromiter((-1 if x == b"." else known[x] for x in split), np.int64, len(split))
+                known[b"."] = -1
+                w = np.fromiter(map(known.__getitem__, split), np.int64, len(split))
+                del known[b"."]
                 langs[lang] += int((w >= 0).sum())
                 found.append(w)
                 total += len(w)
                 if total >= SHARD:
-                    yield from shard(found, [(n, x) for x, n in langs.items()], numbers)
-                    found, langs, numbers, total = [], defaultdict(int), {}, 0
-                    fresh = itertools.count()
+                    yield from shard(found, langs, numbers)
+                    found, langs, numbers, total, fresh = [], defaultdict(int), {}, 0, itertools.count()
         if found:
-            yield from shard(found, [(n, x) for x, n in langs.items()], numbers)
+            yield from shard(found, langs, numbers)
+
+    def deal_again(batches):
+        import xxhash
+
+        for bucket, parts in by_bucket(batches):
+            for i in range(0, len(parts), BLOBS):  # parts of a shard's size at most
+                table = summed(parts[i : i + BLOBS]).combine_chunks()
+                keys = table["key"].combine_chunks()
+                digit = np.fromiter((xxhash.xxh64_intdigest(k) % second for k in keys.to_pylist()), np.int64, len(keys))
+                yield from dealt(keys, table["f_sum"].to_numpy(), digit, bucket * second)
+
+    def reduce(batches):
+        for _, parts in by_bucket(batches):
+            table = summed(parts)
+            table = table.filter(pc.or_(pc.greater_equal(table["f_sum"], least), pc.starts_with(table["key"], ".")))
+            yield from table.rename_columns(["key", "f"]).to_batches(max_chunksize=BATCH)
 
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), common.text_of(docs).alias("text"))
-    shards = rows.mapInArrow(common.frugal(run), "lang string, phrase string, f long")
-    return shards.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, schema = max(1, -(-size // BUCKET)), "bucket long, phrases binary"
+    fan, second = min(buckets, FAN), -(-buckets // FAN)
+    shards = rows.mapInArrow(common.frugal(run), schema)
+    for step in (deal_again, reduce) if second > 1 else (reduce,):
+        n = min(max(common.partitions(spark), buckets // 8), buckets)
+        shards = shards.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(common.frugal(step), "key string, f long" if step is reduce else schema)
+    return shards.select(F.expr("substring(key, instr(key, '.') + 1)").alias("lang"), F.expr("substring(key, 1, instr(key, '.') - 1)").alias("phrase"), "f")
 
 
 def collocations(docs: DataFrame, most: int = 3, least: int = 10, first: int = 2000) -> DataFrame:
@@ -168,7 +251,7 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, first: int = 2
     """
     common.prepare(docs.sparkSession)
     # A part counts at least as much as its phrase, so no count under least is needed.
-    counts = common.stored(counted(docs, most).filter((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    counts = common.stored(counted(docs, most, least), "phrases")
     words = F.split("phrase", " ")
     found = counts.select("lang", "phrase", F.col("f").alias("a"), words.alias("words")).filter((F.col("phrase") != "") & (F.size("words") >= 2))
 
