@@ -76,27 +76,43 @@ def dash_actr(f, w):
     return sigmoid(w[0] * nm.log(nm.clip(total, 0.0) + 1.0) + w[4])
 
 
-def actr_features(x: Learner, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(times of the reviews up to and with the row's own, lengths)."""
-    lengths = x.column("pos")[at]
-    n = int(lengths.max()) + 1 if len(lengths) else 1
-    return np.cumsum(x.delta[x.card[at], :n], 1), lengths
+@dataclass(frozen=True)
+class Activations:
+    """Rows of cards: time (cards, reviews) of each card's reviews, card and length of each row.
+
+    All rows of a card share one triangle of activations, whatever their number.
+    """
+
+    time: np.ndarray
+    card: np.ndarray
+    length: np.ndarray
+
+    def __getitem__(self, rows) -> Activations:
+        """The rows given, with their cards up to the longest row."""
+        length = self.length[rows]
+        cards, card = np.unique(self.card[rows], return_inverse=True)
+        return Activations(self.time[cards, : int(length.max(initial=0)) + 1], card, length)
+
+
+def actr_features(x: Learner, at: np.ndarray) -> tuple[Activations]:
+    """The times of the cards' reviews up to and with the rows' own."""
+    return (Activations(np.cumsum(x.delta, 1), x.card[at], x.column("pos")[at])[np.arange(len(at))],)
 
 
 def actr(f, w):
     """Activation after each review sums what is left of the earlier ones, whose decay grows
-    with their own activation."""
-    time, lengths = f
-    n = len(lengths)
-    exponents = [-w[0] + np.zeros(n)]
-    last = np.zeros(n)
-    for i in range(1, time.shape[1]):
-        total = np.zeros(n)
-        for j in range(i):
-            seconds = (time[:, i] - time[:, j]) * 86400.0
-            total = total + nm.power(nm.clip(w[4] * seconds, 1.0), exponents[j])
-        last = nm.where(lengths == i, nm.log(total), last)
-        exponents.append(-(w[1] * total + w[0]))
+    with their own activation. One pass a card: review i adds one row of its triangle."""
+    (a,) = f
+    cards, n = a.time.shape
+    exponents = nm.columns(-w[0] + np.zeros(cards), n)
+    logs = nm.columns(w[0] * 0.0 + np.zeros(cards), n)
+    for i in range(1, n):
+        seconds = (a.time[:, i : i + 1] - a.time[:, :i]) * 86400.0
+        held = nm.clip(w[4] * seconds, 1.0)
+        total = nm.total(nm.power(held, nm.part(exponents, slice(None, i))))
+        nm.put(logs, i, nm.log(total))
+        nm.put(exponents, i, -(w[1] * total + w[0]))
+    last = nm.at(logs, a.card, a.length)
     return 1.0 / (nm.exp((w[3] - last) / w[2]) + 1.0)
 
 

@@ -1,110 +1,151 @@
-"""Bayesian half-life model: a Beta prior on recall at a time, updated by each review."""
+"""Bayesian half-life model: a Beta prior on recall at a time, updated by each review.
+
+Models are arrays (n, 3) of (alpha, beta, time): all cards of a batch take their k-th review
+together, and the searches for a bracket and a root go on for those that have not ended.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import numpy as np
+
 #: Fixed value: the prior (alpha, beta, time).
 PRIOR = (0.2, 0.2, 512.0)
-Model = tuple[float, float, float]
-
-
-def betaln(a: float, b: float) -> float:
-    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
-
-
-def recall(model: Model, t: float) -> float:
-    a, b, t0 = model
-    return math.exp(betaln(a + t / t0, b) - betaln(a, b))
-
-
-def bracket(f: Callable[[float], float], start: float) -> tuple[float, float] | None:
-    """Bounds where f changes sign, by halving and doubling."""
-    low, high = start / 2, start * 2
-    f_low, f_high = f(low), f(high)
+Function = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Coefficients of Stirling's series: Bernoulli numbers B(2k) / (2k (2k - 1)).
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156, -3617 / 122400)
+#: From here on the series is exact to the last digits.
+LARGE = 10
+
+
+def gammaln(x) -> np.ndarray:
+    """ln of the gamma function of positive x: Stirling's series, reached by the recurrence."""
+    x = np.asarray(x, float)
+    low = x < LARGE
+    steps = np.where(low, x, 1.0)
+    product = steps.copy()
+    for k in range(1, LARGE):
+        product = product * (steps + k)
+    z = np.where(low, x + LARGE, x)
+    inverse = 1 / (z * z)
+    series = np.zeros_like(z)
+    for c in reversed(STIRLING):
+        series = series * inverse + c
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series / z - np.where(low, np.log(product), 0.0)
+
+
+def betaln(a, b) -> np.ndarray:
+    return gammaln(a) + gammaln(b) - gammaln(a + b)
+
+
+def recall(model: np.ndarray, t: np.ndarray) -> np.ndarray:
+    a, b, t0 = np.asarray(model, float).T
+    return np.exp(betaln(a + t / t0, b) - betaln(a, b))
+
+
+def bracket(f: Function, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, found): bounds where each f changes sign, by halving and doubling.
+
+    f(rows, x) evaluates the functions numbered rows at x.
+    """
+    every = np.arange(len(start))
+    low, high, found = start / 2, start * 2, np.zeros(len(start), bool)
+    f_low, f_high = f(every, low), f(every, high)
+    live = every
     for _ in range(300):
-        if not (math.isfinite(f_low) and math.isfinite(f_high)):
-            return None
-        if f_low == 0 or f_high == 0 or (f_low > 0) != (f_high > 0):
-            return low, high
-        if (f_low > 0) == (f_low > f_high):  # falls towards zero to the right
-            low, f_low, high = high, f_high, high * 2
-            f_high = f(high)
-        else:
-            high, f_high, low = low, f_low, low / 2
-            f_low = f(low)
-    return None
-
-
-def root(f: Callable[[float], float], a: float, b: float, near: float = 2e-12, rounds: int = 100) -> float:
+        live = live[np.isfinite(f_low[live]) & np.isfinite(f_high[live])]
+        a, b = f_low[live], f_high[live]
+        done = (a == 0) | (b == 0) | ((a > 0) != (b > 0))
+        found[live[done]] = True
+        live, a, b = live[~done], a[~done], b[~done]
+        if not len(live):
+            break
+        right = (a > 0) == (a > b)  # falls towards zero to the right
+        up, down = live[right], live[~right]
+        low[up], f_low[up], high[up] = high[up], f_high[up], high[up] * 2
+        f_high[up] = f(up, high[up])
+        high[down], f_high[down], low[down] = low[down], f_low[down], low[down] / 2
+        f_low[down] = f(down, low[down])
+    return low, high, found
+
+
+def root(f: Function, low: np.ndarray, high: np.ndarray, near: float = 2e-12, rounds: int = 100) -> np.ndarray:
     """Brent's method: inverse quadratic or secant steps kept inside a shrinking bracket."""
-    fa, fb = f(a), f(b)
-    if abs(fa) < abs(fb):
-        a, b, fa, fb = b, a, fb, fa
-    c, fc, d, bisected = a, fa, a, True
+    every = np.arange(len(low))
+    a, b = low.copy(), high.copy()
+    fa, fb = f(every, a), f(every, b)
+
+    def nearer_last(i: np.ndarray) -> None:
+        i = i[np.abs(fa[i]) < np.abs(fb[i])]
+        a[i], b[i] = b[i], a[i]
+        fa[i], fb[i] = fb[i], fa[i]
+
+    nearer_last(every)
+    c, fc, d, bisected = a.copy(), fa.copy(), a.copy(), np.ones(len(a), bool)
+    live = every
     for _ in range(rounds):
-        if fb == 0 or abs(b - a) < near:
-            return b
-        if fa != fc and fb != fc:
-            s = a * fb * fc / ((fa - fb) * (fa - fc)) + b * fa * fc / ((fb - fa) * (fb - fc)) + c * fa * fb / ((fc - fa) * (fc - fb))
-        else:
-            s = b - fb * (b - a) / (fb - fa)
-        before = abs(b - c) if bisected else abs(c - d)
-        if not min((3 * a + b) / 4, b) < s < max((3 * a + b) / 4, b) or abs(s - b) >= before / 2 or before < near:
-            s, bisected = (a + b) / 2, True
-        else:
-            bisected = False
-        fs = f(s)
-        d, c, fc = c, b, fb
-        if (fa > 0) != (fs > 0):
-            b, fb = s, fs
-        else:
-            a, fa = s, fs
-        if abs(fa) < abs(fb):
-            a, b, fa, fb = b, a, fb, fa
+        live = live[(fb[live] != 0) & (np.abs(b[live] - a[live]) >= near)]
+        if not len(live):
+            break
+        x, y, z, fx, fy, fz = (v[live] for v in (a, b, c, fa, fb, fc))
+        three = (fx != fz) & (fy != fz)
+        quadratic = x * fy * fz / ((fx - fy) * (fx - fz)) + y * fx * fz / ((fy - fx) * (fy - fz)) + z * fx * fy / ((fz - fx) * (fz - fy))
+        s = np.where(three, quadratic, y - fy * (y - x) / (fy - fx))
+        before = np.where(bisected[live], np.abs(y - z), np.abs(z - d[live]))
+        edge = (3 * x + y) / 4
+        inside = (np.minimum(edge, y) < s) & (s < np.maximum(edge, y))
+        halve = ~inside | (np.abs(s - y) >= before / 2) | (before < near)
+        s = np.where(halve, (x + y) / 2, s)
+        bisected[live] = halve
+        fs = f(live, s)
+        d[live], c[live], fc[live] = z, y, fy
+        other = (fx > 0) != (fs > 0)
+        b[live], fb[live] = np.where(other, s, y), np.where(other, fs, fy)
+        a[live], fa[live] = np.where(other, x, s), np.where(other, fx, fs)
+        nearer_last(live)
     return b
 
 
-def _log_moment(prior: Model, passed: bool, step: float) -> Callable[[float, float], float]:
-    """ln of the n-th moment of recall at x times the review's time, given its result."""
-    a, b, _ = prior
-
-    def weight(shift: float) -> float:
-        one = betaln(a + step + shift, b)
-        if passed:
-            return one
-        other = betaln(a + shift, b)
-        gap = -math.expm1(one - other)  # B(a + shift) - B(a + step + shift), as a share of the first
-        return other + math.log(gap) if gap > 0 else -math.inf
-
-    whole = weight(0.0)
-    return lambda n, x: weight(n * step * x) - whole
-
-
-def update(prior: Model, passed: bool, t: float) -> Model:
-    """The posterior, told at the time where mean recall is a half; the prior if there is none."""
-    step = t / prior[2]
-    moment = _log_moment(prior, passed, step)
-    try:
-        half = lambda x: math.exp(moment(1, x)) - 0.5
-        found = bracket(half, 1 / step)
-        if found is None:
-            return prior
-        x = root(half, *found)
-        mean, second = math.exp(moment(1, x)), math.exp(moment(2, x))
-    except (ValueError, OverflowError, ZeroDivisionError):
-        return prior
-    spread = second - mean * mean
-    if not spread > 0:
-        return prior
-    scale = mean * (1 - mean) / spread - 1
-    a, b = mean * scale, (1 - mean) * scale
-    return (a, b, x * t) if a > 0 and b > 0 and math.isfinite(a) and math.isfinite(b) else prior
-
-
-def after(history: list[tuple[float, int]], model: Model = PRIOR) -> Model:
-    """The model after (interval, rating) reviews."""
-    for t, rating in history:
-        model = update(model, rating > 1, max(t, 0.001))
-    return model
+def update(prior: np.ndarray, passed: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The posteriors, told at the time where mean recall is a half; the prior where there is none."""
+    a, b, t0 = prior.T
+    step = t / t0
+
+    def weight(rows: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        one = betaln(a[rows] + step[rows] + shift, b[rows])
+        other = betaln(a[rows] + shift, b[rows])
+        gap = -np.expm1(one - other)  # B(a + shift) - B(a + step + shift), as a share of the first
+        return np.where(passed[rows], one, other + np.log(gap))
+
+    with np.errstate(all="ignore"):
+        every = np.arange(len(t))
+        whole = weight(every, np.zeros(len(t)))
+
+        def moment(n: int, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+            """The n-th moment of recall at x times the review's time, given its result."""
+            return np.exp(weight(rows, n * step[rows] * x) - whole[rows])
+
+        low, high, found = bracket(lambda rows, x: moment(1, rows, x) - 0.5, 1 / step)
+        rows = np.flatnonzero(found)
+        x = root(lambda i, v: moment(1, rows[i], v) - 0.5, low[rows], high[rows])
+        mean, second = moment(1, rows, x), moment(2, rows, x)
+        spread = second - mean * mean
+        scale = mean * (1 - mean) / spread - 1
+        new = np.stack([mean * scale, (1 - mean) * scale, x * t[rows]], 1)
+        good = (spread > 0) & (new[:, 0] > 0) & (new[:, 1] > 0) & np.isfinite(new).all(1)
+    out = prior.copy()
+    out[rows[good]] = new[good]
+    return out
+
+
+def after(intervals: np.ndarray, ratings: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(cards, reviews + 1, 3): the model before each review of each card, and after its last."""
+    cards, n = ratings.shape
+    out = np.empty((cards, n + 1, 3))
+    out[:, 0] = PRIOR
+    for k in range(n):
+        out[:, k + 1] = out[:, k]
+        there = np.flatnonzero(lengths > k)
+        out[there, k + 1] = update(out[there, k], ratings[there, k] > 1, np.maximum(intervals[there, k], 0.001))
+    return out

@@ -123,8 +123,6 @@ def counted_weights(m: counts.Counted, x: Learner, at: np.ndarray, s: Settings)
 def stages(x: Learner, s: Settings) -> list[tuple[int, np.ndarray]]:
     """(training rows before, tested rows) of each fold."""
     tests = [(start, np.arange(start, end)) for start, end in folds(len(x), s.n_splits)]
-    if s.algo == "FSRS-6" and s.train_equals_test and s.partitions == "none":
-        return [(len(x), np.arange(tests[0][0], len(x)))]
     if s.algo == "LogisticRegression" and s.secs and s.equalize_test_with_non_secs:
         given = x.column("equal_fold")
         ends = x.column("equal_end")
@@ -135,23 +133,10 @@ def stages(x: Learner, s: Settings) -> list[tuple[int, np.ndarray]]:
 def fold_predictions(x: Learner, s: Settings, end: int, test: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict | list | None]:
     """(tested rows, probabilities, parameters) of one fold."""
     at, t = np.arange(end), x.column("delta_t")[test]
-    if s.algo in recurrent.MODELS or s.algo == "FSRS-6-one-step":
-        m = recurrent.MODELS["FSRS-6" if s.algo == "FSRS-6-one-step" else s.algo]
-
-        def told(rows, w):
-            return recurrent.predict(m, *x.history(rows), x.column("delta_t")[rows], w, s.s_min)
-
-        if s.algo == "FSRS-6" and s.partitions != "none":
-            part = x.column("partition")
-            weights = {int(k): recurrent_weights(m, x, at[part[:end] == k], s) for k in np.unique(part[:end])}
-            groups = [test[part[test] == k] for k in np.unique(part[test])]
-            p = [told(g, weights.get(int(part[g[0]]), m.weights(s.secs))) for g in groups]
-            return np.concatenate(groups), np.concatenate(p), {str(k): w.tolist() for k, w in weights.items()}
-        if s.algo == "FSRS-6-one-step":
-            w = m.weights(s.secs) if s.default else onestep.train(x, end, with_s0(m, x, at, s, m.weights(s.secs), local=True))
-        else:
-            w = recurrent_weights(m, x, at, s)
-        return test, told(test, w), {"0": w.tolist()}
+    if s.algo == "FSRS-6-one-step":
+        m = recurrent.MODELS["FSRS-6"]
+        w = m.weights(s.secs) if s.default else onestep.train(x, end, with_s0(m, x, at, s, m.weights(s.secs), local=True))
+        return test, recurrent.predict(m, *x.history(test), t, w, s.s_min), {"0": w.tolist()}
     if s.algo in counts.MODELS:
         c = counts.MODELS[s.algo]
         w = counted_weights(c, x, at, s)
@@ -161,14 +146,9 @@ def fold_predictions(x: Learner, s: Settings, end: int, test: np.ndarray) -> tup
         w = regression.MEAN if s.default else regression.train(f[:end], x.column("y")[:end].astype(float))
         return test, regression.probability(f[test], w), w.tolist()
     if s.algo == "Ebisu-v2":
-        p, known = [], {}
-        for card, pos, dt in zip(x.card[test].tolist(), x.column("pos")[test].tolist(), t.tolist(), strict=True):
-            states = known.setdefault(card, [ebisu.PRIOR])  # after each review, one pass a card
-            while len(states) <= pos:
-                k = len(states) - 1
-                states.append(ebisu.after([(x.delta[card, k], x.ratings[card, k])], states[-1]))
-            p.append(ebisu.recall(states[pos], max(dt, 0.001)))
-        return test, np.array(p), None
+        if x.models is None:  # once a learner: every review of a card is the same in all folds
+            x.models = ebisu.after(x.delta, x.ratings, (x.ratings > 0).sum(1))
+        return test, ebisu.recall(x.models[x.card[test], x.column("pos")[test]], np.maximum(t, 0.001)), None
     if s.algo == "FSRS-rs":
         raise ValueError("FSRS-rs trains in an outside library that is not here; its item lists are in models.items")
     raise ValueError(f"unknown model {s.algo}")

@@ -151,3 +151,39 @@ def minimum(a, b):
     if is_column(a, b):
         return F.least(column(a), column(b))
     return where(np.broadcast_to(value(a) <= value(b), np.broadcast(value(a), value(b)).shape), a, b)
+
+
+# --- matrices: values (rows, columns), derivatives (rows, columns, parameters) ---------------------
+
+
+def columns(first, n: int):
+    """A matrix of n columns of which the first is given, the others zero."""
+    if not isinstance(first, Dual):
+        out = np.zeros((len(first), n))
+        out[:, 0] = first
+        return out
+    g = np.zeros((len(first.v), n, first.g.shape[-1]))
+    g[:, 0] = first.g
+    return Dual(columns(first.v, n), g)
+
+
+def put(m, k: int, x) -> None:
+    """Sets column k."""
+    value(m)[:, k] = value(x)
+    if isinstance(m, Dual):
+        m.g[:, k] = x.g if isinstance(x, Dual) else 0.0
+
+
+def part(m, which: slice):
+    """Some of the columns."""
+    return Dual(m.v[:, which], m.g[:, which]) if isinstance(m, Dual) else m[:, which]
+
+
+def total(m):
+    """Sums of the rows."""
+    return Dual(m.v.sum(1), m.g.sum(1)) if isinstance(m, Dual) else m.sum(1)
+
+
+def at(m, rows: np.ndarray, columns_: np.ndarray):
+    """Single elements."""
+    return Dual(m.v[rows, columns_], m.g[rows, columns_]) if isinstance(m, Dual) else m[rows, columns_]

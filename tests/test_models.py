@@ -58,10 +58,11 @@ def beta_mean(model, power):
 def test_ebisu_by_numerical_integration(model, t):
     """A review at t multiplies the density by p ** (t / t0), or by what that leaves to 1; the new
     model has that posterior's first two moments of recall at its own time, where the mean is 0.5."""
-    assert ebisu.recall(model, t) == pytest.approx(beta_mean(model, t / model[2]), rel=1e-5)
+    one = np.array([model])
+    assert ebisu.recall(one, np.array([t]))[0] == pytest.approx(beta_mean(model, t / model[2]), rel=1e-5)
     step = t / model[2]
     for passed in (True, False):
-        a, b, after = ebisu.update(model, passed, t)
+        a, b, after = ebisu.update(one, np.array([passed]), np.array([t]))[0]
 
         def moment(x, passed=passed):
             if passed:
@@ -73,13 +74,39 @@ def test_ebisu_by_numerical_integration(model, t):
         assert a * (a + 1) / ((a + b) * (a + b + 1)) == pytest.approx(second, rel=1e-3)
 
 
+def test_gammaln():
+    x = np.concatenate([np.geomspace(1e-6, 1e8, 4000), np.arange(1, 60) / 2])
+    np.testing.assert_allclose(ebisu.gammaln(x), [math.lgamma(v) for v in x], rtol=3e-14, atol=3e-14)
+
+
+def test_roots_together_are_roots_apart():
+    """Functions that end at different rounds, some without a change of sign."""
+    at = np.array([0.3, 2.0, 0.02, 700.0, 5.0])
+
+    def f(rows, x):
+        return np.where(rows == 4, 1.0 + 0 * x, np.exp(-np.log(2) * x / at[rows]) - 0.5)
+
+    low, high, found = ebisu.bracket(f, np.ones(5))
+    assert found.tolist() == [True] * 4 + [False]
+    x = ebisu.root(lambda i, v: f(i, v), low[:4], high[:4])
+    np.testing.assert_allclose(x, at[:4], rtol=1e-9, atol=3e-12)
+
+
 def test_ebisu_prior_and_order():
-    assert ebisu.recall(ebisu.PRIOR, 512) == pytest.approx(0.5)
-    history = [(1.0, 3), (4.0, 1), (2.0, 4)]
-    model = ebisu.PRIOR
-    for t, r in history:
-        model = ebisu.update(model, r > 1, t)
-    assert ebisu.after(history) == model
+    prior = np.array([ebisu.PRIOR])
+    assert ebisu.recall(prior, np.array([512.0]))[0] == pytest.approx(0.5)
+    cards = [[(1.0, 3), (4.0, 1), (2.0, 4)], [(30.0, 1)], [(0.5, 2), (3.0, 2)]]
+    intervals, ratings = np.zeros((3, 3)), np.zeros((3, 3), int)
+    for c, history in enumerate(cards):
+        for k, (t, r) in enumerate(history):
+            intervals[c, k], ratings[c, k] = t, r
+    got = ebisu.after(intervals, ratings, np.array([3, 1, 2]))
+    for c, history in enumerate(cards):
+        model = prior
+        for k, (t, r) in enumerate(history):
+            np.testing.assert_allclose(got[c, k], model[0], rtol=1e-9)
+            model = ebisu.update(model, np.array([r > 1]), np.array([t]))
+        np.testing.assert_allclose(got[c, len(history)], model[0], rtol=1e-9)
 
 
 def difference(f, w, h=1e-6):
