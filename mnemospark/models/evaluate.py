@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from . import counts, ebisu, onestep, recurrent, regression, training
+from . import counts, ebisu, recurrent, regression, training
 from . import numeric as nm
 from .learner import NEEDED, Learner, folds
 
@@ -133,10 +133,6 @@ def stages(x: Learner, s: Settings) -> list[tuple[int, np.ndarray]]:
 def fold_predictions(x: Learner, s: Settings, end: int, test: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict | list | None]:
     """(tested rows, probabilities, parameters) of one fold."""
     at, t = np.arange(end), x.column("delta_t")[test]
-    if s.algo == "FSRS-6-one-step":
-        m = recurrent.MODELS["FSRS-6"]
-        w = m.weights(s.secs) if s.default else onestep.train(x, end, with_s0(m, x, at, s, m.weights(s.secs), local=True))
-        return test, recurrent.predict(m, *x.history(test), t, w, s.s_min), {"0": w.tolist()}
     if s.algo in counts.MODELS:
         c = counts.MODELS[s.algo]
         w = counted_weights(c, x, at, s)

@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.folds import states
 from ..operators.splits import folds
-from . import evaluate, recurrent
+from . import evaluate, onestep, recurrent
 from .learner import NEEDED, Learner
+from .learner import folds as stretches
 
 PARAMETERS = "user_id long, fold long, partition long, w array<double>, text string, ms double"
 ASKED = ("pos", "review_th", "y", "delta_t", "i", "rmse_bins_lapse")
+ONE_STEP = "FSRS-6-one-step"
+#: Reviews of learners that are trained in lock-step.
+BLOCK = 1 << 17
 #: After every review of a log that trains on all of it.
 END = (1 << 63) - 1
 
@@ -51,6 +55,12 @@ def tested(rows: DataFrame, s: Settings) -> DataFrame:
     return found.withColumn("fold", F.lit(0).cast("long")) if whole(s) else found
 
 
+def tasks_of(rows: DataFrame) -> int:
+    """Few bytes, much work: a fixed number of partitions, which adaptive execution does not merge."""
+    spark = rows.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def whole(s: Settings) -> bool:
     """Whether one training on the whole log tests all of its folds."""
     return s.algo == "FSRS-6" and s.train_equals_test and s.partitions == "none"
@@ -70,11 +80,48 @@ def parameters(rows: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
             w = evaluate.recurrent_weights(recurrent.MODELS[s.algo], x, np.arange(len(x)), s).tolist()
         return pd.DataFrame([(*key, w, json.dumps(evaluate.rounded(w)), (time.perf_counter() - began) * 1000)], columns=names)
 
-    # Few bytes, much work: a fixed number of partitions, which adaptive execution does not merge.
-    spark, keys = rows.sparkSession, ("user_id", "fold", "partition")
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = ("user_id", "fold", "partition")
     before = rows.select(*NEEDED).join(starts, "user_id").filter("review_th < first_th").drop("first_th")
-    return before.repartition(n, *keys).groupBy(*keys).applyInPandas(fit, PARAMETERS)
+    return before.repartition(tasks_of(rows), *keys).groupBy(*keys).applyInPandas(fit, PARAMETERS)
+
+
+def one_step(rows: DataFrame, s: Settings) -> DataFrame:
+    """PARAMETERS of the model that is trained online, for all folds of a block of learners at once.
+
+    A task reads its learners in order and trains them in blocks of about BLOCK reviews. The
+    time is a training's share of its block's.
+    """
+    names, m = [c.split()[0] for c in PARAMETERS.split(", ")], recurrent.MODELS["FSRS-6"]
+
+    def block(logs: list[pd.DataFrame]) -> pd.DataFrame:
+        began, start, keys, tasks = time.perf_counter(), m.weights(s.secs), [], []
+        for log in logs:
+            x = Learner.of(log)
+            for f, (end, _) in enumerate(stretches(len(x), s.n_splits) if len(x) >= evaluate.LEAST else []):
+                with np.errstate(all="ignore"):
+                    first = evaluate.with_s0(recurrent.MODELS["FSRS-6"], x, np.arange(end), s, start, local=True)
+                keys.append((int(log["user_id"].iloc[0]), f, 0))
+                tasks.append((x, end, first))
+        found = onestep.train(tasks).tolist()
+        ms = (time.perf_counter() - began) * 1000 / max(len(tasks), 1)
+        return pd.DataFrame([(*key, w, json.dumps(evaluate.rounded(w)), ms) for key, w in zip(keys, found, strict=True)], columns=names)
+
+    def run(batches):
+        logs, held, size = [], None, 0
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            each = [g for _, g in held.groupby("user_id", sort=True)]
+            *done, held = each or [held]  # the last learner may go on
+            logs, size = [*logs, *done], size + sum(map(len, done))
+            if size >= BLOCK:
+                yield block(logs)
+                logs, size = [], 0
+        if held is not None and len(held):
+            logs.append(held)
+        if logs:
+            yield block(logs)
+
+    return rows.select(*NEEDED).repartition(tasks_of(rows), "user_id").sortWithinPartitions("user_id").mapInPandas(run, PARAMETERS)
 
 
 def as_text(weights: list[float]) -> str:
@@ -87,12 +134,12 @@ def predictions(rows: DataFrame, s: Settings) -> DataFrame:
     With training also time_ms, what a learner's folds up to the row's took. A review without a
     history has probability 0.
     """
-    m = recurrent.MODELS[s.algo]
+    m = recurrent.MODELS["FSRS-6" if s.algo == ONE_STEP else s.algo]
     asked, start = tested(rows, s), m.weights(s.secs).tolist()
     cards = rows.groupBy("user_id", "card_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rating", "delta_t"))).alias("history"), F.max("partition").alias("partition"))
     tests = asked.groupBy("user_id", "card_id", "fold").agg(F.collect_list(F.struct(*ASKED)).alias("asked"), F.max("pos").cast("int").alias("longest")).join(cards, ["user_id", "card_id"])
     extra = ["parameters"]
-    if s.default and s.partitions == "none":
+    if s.default and (s.partitions == "none" or s.algo == ONE_STEP):
         w = [F.lit(float(x)) for x in start]
         tests = tests.withColumn("parameters", F.lit(as_text(start)))
     else:
@@ -100,8 +147,10 @@ def predictions(rows: DataFrame, s: Settings) -> DataFrame:
         so_far = Window.partitionBy("user_id").orderBy("fold").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         part = F.concat(F.lit('"'), F.col("partition").cast("string"), F.lit('": '), F.col("text"))
         every = F.transform(F.array_sort(F.collect_list(F.struct("partition", part.alias("text"))).over(fold)), lambda x: x["text"])
-        found = parameters(rows, asked, s).withColumns({"parameters": F.concat(F.lit("{"), F.array_join(every, ", "), F.lit("}")), "time_ms": F.sum("ms").over(so_far)})
-        tests = tests.join(found.drop("text", "ms"), ["user_id", "fold", "partition"], "left")
+        found = (one_step(rows, s) if s.algo == ONE_STEP else parameters(rows, asked, s)).withColumns({"parameters": F.concat(F.lit("{"), F.array_join(every, ", "), F.lit("}")), "time_ms": F.sum("ms").over(so_far)})
+        found = found.drop("partition") if s.algo == ONE_STEP else found  # one training a fold, whatever the partitions
+        keys = ["user_id", "fold"] if s.algo == ONE_STEP else ["user_id", "fold", "partition"]
+        tests = tests.join(found.drop("text", "ms"), keys, "left")
         tests = tests.withColumn("w", F.coalesce("w", F.array(*[F.lit(float(x)) for x in start])))
         w, extra = [F.col("w")[k] for k in range(len(start))], [*extra, "time_ms", "w"]
     after = stabilities(m, F.slice("history", F.lit(1), F.col("longest")), w, s.s_min)
