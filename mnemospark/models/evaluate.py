@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from . import counts, ebisu, recurrent, regression, training
+from . import counts, recurrent, regression, training
 from . import numeric as nm
 from .learner import NEEDED, Learner, folds
 
@@ -132,7 +132,7 @@ def stages(x: Learner, s: Settings) -> list[tuple[int, np.ndarray]]:
 
 def fold_predictions(x: Learner, s: Settings, end: int, test: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict | list | None]:
     """(tested rows, probabilities, parameters) of one fold."""
-    at, t = np.arange(end), x.column("delta_t")[test]
+    at = np.arange(end)
     if s.algo in counts.MODELS:
         c = counts.MODELS[s.algo]
         w = counted_weights(c, x, at, s)
@@ -141,10 +141,6 @@ def fold_predictions(x: Learner, s: Settings, end: int, test: np.ndarray) -> tup
         f = regression.features(x)
         w = regression.MEAN if s.default else regression.train(f[:end], x.column("y")[:end].astype(float))
         return test, regression.probability(f[test], w), w.tolist()
-    if s.algo == "Ebisu-v2":
-        if x.models is None:  # once a learner: every review of a card is the same in all folds
-            x.models = ebisu.after(x.delta, x.ratings, (x.ratings > 0).sum(1))
-        return test, ebisu.recall(x.models[x.card[test], x.column("pos")[test]], np.maximum(t, 0.001)), None
     if s.algo == "FSRS-rs":
         raise ValueError("FSRS-rs trains in an outside library that is not here; its item lists are in models.items")
     raise ValueError(f"unknown model {s.algo}")

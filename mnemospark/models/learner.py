@@ -22,8 +22,6 @@ class Learner:
     card: np.ndarray
     ratings: np.ndarray
     delta: np.ndarray
-    #: States of the cards' reviews that hold for every fold, where a model keeps such.
-    models: np.ndarray | None = None
 
     @staticmethod
     def of(reviews: pd.DataFrame) -> Learner:

@@ -15,19 +15,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Settings
 from ..functions.folds import states
 from ..operators.splits import folds
-from . import evaluate, onestep, recurrent
+from . import ebisu, evaluate, onestep, recurrent
 from .learner import NEEDED, Learner
 from .learner import folds as stretches
 
 PARAMETERS = "user_id long, fold long, partition long, w array<double>, text string, ms double"
-ASKED = ("pos", "review_th", "y", "delta_t", "i", "rmse_bins_lapse")
+ASKED = ("fold", "pos", "review_th", "y", "delta_t", "i", "rmse_bins_lapse")
 ONE_STEP = "FSRS-6-one-step"
-#: Reviews of learners that are trained in lock-step.
-BLOCK = 1 << 17
+#: Reviews of learners that are trained in lock-step; cards that are updated in lock-step.
+BLOCK, CARDS = 1 << 17, 2048
 #: After every review of a log that trains on all of it.
 END = (1 << 63) - 1
 
@@ -128,6 +129,44 @@ def as_text(weights: list[float]) -> str:
     return json.dumps(evaluate.rounded({"0": weights}))
 
 
+def tests_of(rows: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
+    """A row for each tested card (and further keys): the card's history, and what is asked of it."""
+    cards = rows.groupBy("user_id", "card_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rating", "delta_t"))).alias("history"), F.max("partition").alias("partition"))
+    tests = asked.groupBy("user_id", "card_id", *keys).agg(F.collect_list(F.struct(*[c for c in ASKED if c not in keys])).alias("asked"), F.max("pos").cast("int").alias("longest"))
+    return tests.join(cards, ["user_id", "card_id"])
+
+
+def bayesian(rows: DataFrame, s: Settings) -> DataFrame:
+    """Probabilities of the tested reviews under the half-life model, cards in lock-step.
+
+    A batch of cards, whosever they are, takes its k-th review together.
+    """
+
+    def recalls(batches):
+        for b in batches:
+            out, longest = [None] * len(b), b["longest"].to_numpy()
+            order = np.argsort(longest, kind="stable")
+            for i in range(0, len(order), CARDS):  # cards of like length, so that few wait for a long one
+                some = order[i : i + CARDS]
+                n = int(longest[some].max())
+                intervals, ratings = np.zeros((len(some), n)), np.zeros((len(some), n), int)
+                for row, k in enumerate(some):
+                    for j, review in enumerate(b["history"].iat[k][: longest[k]]):
+                        intervals[row, j], ratings[row, j] = review["delta_t"], review["rating"]
+                models = ebisu.after(intervals, ratings, longest[some])
+                for row, k in enumerate(some):
+                    asked = b["asked"].iat[k]
+                    at, t = np.array([x["pos"] for x in asked]), np.array([x["delta_t"] for x in asked])
+                    out[k] = ebisu.recall(models[row, at], np.maximum(t, 0.001))
+            yield b[["user_id", "card_id", "asked"]].assign(told=out)
+
+    tests = tests_of(rows, tested(rows, s)).select("user_id", "card_id", "history", "asked", "longest")
+    spread = tests.repartition(tasks_of(rows), "user_id", "card_id")
+    schema = tests.select("user_id", "card_id", "asked").schema.add("told", T.ArrayType(T.DoubleType()))
+    told = spread.mapInPandas(recalls, schema).select("user_id", "card_id", F.explode(F.arrays_zip("asked", "told")).alias("x"))
+    return told.select("user_id", "card_id", "x.asked.*", F.col("x.told").alias("p")).select("user_id", "card_id", "review_th", "y", "delta_t", "i", "rmse_bins_lapse", "fold", "p")
+
+
 def predictions(rows: DataFrame, s: Settings) -> DataFrame:
     """Probabilities of the tested reviews and the fold's parameters as JSON text.
 
@@ -136,10 +175,9 @@ def predictions(rows: DataFrame, s: Settings) -> DataFrame:
     """
     m = recurrent.MODELS["FSRS-6" if s.algo == ONE_STEP else s.algo]
     asked, start = tested(rows, s), m.weights(s.secs).tolist()
-    cards = rows.groupBy("user_id", "card_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rating", "delta_t"))).alias("history"), F.max("partition").alias("partition"))
-    tests = asked.groupBy("user_id", "card_id", "fold").agg(F.collect_list(F.struct(*ASKED)).alias("asked"), F.max("pos").cast("int").alias("longest")).join(cards, ["user_id", "card_id"])
-    extra = ["parameters"]
-    if s.default and (s.partitions == "none" or s.algo == ONE_STEP):
+    extra, plain = ["parameters"], s.default and (s.partitions == "none" or s.algo == ONE_STEP)
+    tests = tests_of(rows, asked) if plain else tests_of(rows, asked, "fold")  # weights differ by fold
+    if plain:
         w = [F.lit(float(x)) for x in start]
         tests = tests.withColumn("parameters", F.lit(as_text(start)))
     else:
@@ -154,7 +192,7 @@ def predictions(rows: DataFrame, s: Settings) -> DataFrame:
         tests = tests.withColumn("w", F.coalesce("w", F.array(*[F.lit(float(x)) for x in start])))
         w, extra = [F.col("w")[k] for k in range(len(start))], [*extra, "time_ms", "w"]
     after = stabilities(m, F.slice("history", F.lit(1), F.col("longest")), w, s.s_min)
-    told = tests.withColumn("after", after).select("user_id", "card_id", "fold", "after", *extra, F.explode("asked").alias("a"))
-    told = told.select("user_id", "card_id", "fold", *extra, "a.*", F.get("after", F.col("a.pos").cast("int") - 1).alias("stability"))
+    told = tests.withColumn("after", after).select("user_id", "card_id", *([] if plain else ["fold"]), "after", *extra, F.explode("asked").alias("a"))
+    told = told.select("user_id", "card_id", *([] if plain else ["fold"]), *extra, "a.*", F.get("after", F.col("a.pos").cast("int") - 1).alias("stability"))
     p = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(m.curve(F.col("delta_t"), F.col("stability"), w))
     return told.withColumn("p", p).select("user_id", "card_id", "review_th", "y", "delta_t", "i", "rmse_bins_lapse", "fold", "p", *[c for c in extra if c != "w"])

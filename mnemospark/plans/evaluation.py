@@ -49,6 +49,8 @@ def predictions(reviews: DataFrame, s: Settings, partition_map: DataFrame | None
         return closed.bins_exploit(evaluable(rows), s.n_splits)
     if s.algo == "SM2":
         return closed.sm2(rows, s.n_splits)
+    if s.algo == "Ebisu-v2":
+        return replay.bayesian(rows, s)
     if s.algo in recurrent.MODELS or s.algo == replay.ONE_STEP:
         return replay.predictions(rows, s)
     if s.default and s.algo in closed.WEIGHTED and not s.equalize_test_with_non_secs:
