@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import transform_elapsed
@@ -26,27 +26,38 @@ def hlr_features(features: DataFrame) -> DataFrame:
 
 
 def dash_features(features: DataFrame, decay: bool = False) -> DataFrame:
-    """Adds f0 to f7: earlier reviews, and passed ones, within each look-back window.
+    """Adds f0 to f7: earlier reviews, and passed ones, within each look-back window; with decay, weighted by age.
 
-    A card carries one array of (time, rating); a row filters the part before it.
+    Windows are range frames over a card's cumulative time, less the reviews of the same moment
+    from the row's own on. Weights exp(-age / tau) are sums of exp((time - base) / tau) with a new
+    base every window length, so that nothing overflows: a frame reaches into two such blocks,
+    an even and an odd one. The window without a bound has one base, for up to 250 years of a card.
     """
-    time = F.sum("delta_t").over(up_to())
-    timed = features.withColumn("time", time)
-    cards = timed.groupBy("user_id", "card_id").agg(F.array_sort(F.collect_list(F.struct("pos", "time", "rating"))).alias("history"))
-    rows = timed.filter("evaluable").join(cards, ["user_id", "card_id"])
-    earlier = F.transform(F.slice("history", F.lit(1), F.col("pos").cast("int")), lambda h: F.struct((F.col("time") - h["time"]).alias("age"), h["rating"].alias("rating")))
-    rows = rows.withColumn("earlier", earlier)
-
-    def total(window: float | None, tau: float, passed: bool) -> Column:
-        def add(acc: Column, h: Column) -> Column:
-            used = F.lit(True) if window is None else h["age"] <= window
-            weight = F.exp(-h["age"] / tau) if decay else F.lit(1.0)
-            return acc + F.when(used & ((h["rating"] > 1) if passed else F.lit(True)), weight).otherwise(0.0)
-
-        return F.aggregate("earlier", F.lit(0.0), add)
-
-    columns = [total(w, t, passed) for w, t in zip(WINDOWS, DECAYS, strict=True) for passed in (False, True)]
-    return rows.select("*", *[c.alias(n) for c, n in zip(columns, DASH, strict=True)]).drop("earlier", "history", "time")
+    rows = features.withColumn("time", F.sum("delta_t").over(up_to()))
+    by_time = Window.partitionBy("user_id", "card_id").orderBy("time")
+    from_here = Window.partitionBy("user_id", "card_id", "time").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    time = F.col("time")
+
+    def total(days: float | None, tau: float, counted: Column) -> Column:
+        frame = by_time.rangeBetween(Window.unboundedPreceding if days is None else -int(days), Window.currentRow)
+        here = F.sum(counted).over(from_here)
+        if not decay:
+            return F.sum(counted).over(frame) - here
+        if days is None:
+            found = F.sum(counted * F.exp(time / tau)).over(frame) * F.exp(-time / tau)
+        else:
+            block = F.floor(time / days)
+            into = time - block * days
+            even = block % 2 == 0
+            weight = counted * F.exp(into / tau)
+            evens, odds = (F.sum(F.when(own, weight).otherwise(0.0)).over(frame) for own in (even, ~even))
+            own, other = F.when(even, evens).otherwise(odds), F.when(even, odds).otherwise(evens)
+            found = own * F.exp(-into / tau) + other * F.exp(-(into + days) / tau)
+        return F.greatest(found - here, F.lit(0.0))
+
+    passed = (F.col("rating") > 1).cast("double")
+    columns = [total(w, t, c) for w, t in zip(WINDOWS, DECAYS, strict=True) for c in (F.lit(1.0), passed)]
+    return rows.select("*", *[c.alias(n) for c, n in zip(columns, DASH, strict=True)]).drop("time").filter("evaluable")
 
 
 def logreg_features(features: DataFrame) -> DataFrame:

@@ -31,13 +31,17 @@ def folds(rows: DataFrame, n_splits: int = 5) -> DataFrame:
 def equalised(secs_rows: DataFrame, day_rows: DataFrame, n_splits: int = 5) -> DataFrame:
     """(user_id, fold, review_th, train_end): tests of the days' folds found among the rows in seconds.
 
-    train_end counts the learner's rows in seconds before the fold's first review.
+    train_end counts the learner's rows in seconds before the fold's first review: that review
+    is merged into the log as a mark, and a running count gives every mark its place.
     """
     days = folds(day_rows, n_splits).filter("fold IS NOT NULL").select("user_id", "review_th", "fold")
-    first = days.groupBy("user_id", "fold").agg(F.min("review_th").alias("first_th"))
-    tests = secs_rows.select("user_id", "review_th").join(days, ["user_id", "review_th"])
-    ends = secs_rows.select("user_id", "review_th").join(first, "user_id").filter("review_th < first_th").groupBy("user_id", "fold").agg(F.count("*").alias("train_end"))
-    return tests.join(ends, ["user_id", "fold"], "left").withColumn("train_end", F.coalesce("train_end", F.lit(0)))
+    marks = days.groupBy("user_id", "fold").agg(F.min("review_th").alias("review_th")).withColumn("counts", F.lit(0).cast("long"))
+    each = secs_rows.select("user_id", "review_th")
+    merged = each.withColumns({"fold": F.lit(None).cast("long"), "counts": F.lit(1).cast("long")}).unionByName(marks)
+    # A mark comes before the review that it marks.
+    so_far = F.sum("counts").over(user().orderBy("review_th", "counts").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = merged.withColumn("train_end", so_far).filter("counts = 0").select("user_id", "fold", "train_end")
+    return each.join(days, ["user_id", "review_th"]).join(ends, ["user_id", "fold"])
 
 
 def recency_weights(rows: DataFrame) -> DataFrame:

@@ -68,11 +68,12 @@ def records(reviews: DataFrame, s: Settings, partition_map: DataFrame | None = N
     began = time.time()
     told = predictions(reviews, s, partition_map)
     took = F.greatest((F.unix_millis(F.current_timestamp()) - F.lit(int(began * 1000))).cast("double"), F.lit(0.0))
-    kept = [c for c in ("parameters", "fold", "time_ms") if c in told.columns]
-    more = {"parameters": F.max_by("parameters", F.when(F.col("parameters").isNotNull(), F.col("fold")))} if "parameters" in kept else {}
-    each = metrics(told, tuple(kept), **more, **({"time_ms": F.max("time_ms")} if "time_ms" in kept else {}))
-    each = each if more else each.withColumn("parameters", F.lit(None).cast("string"))
-    each = each if "time_ms" in kept else each.withColumn("time_ms", took)
+    most = {"time_ms": F.col("time_ms")} if "time_ms" in told.columns else {}
+    if "parameters" in told.columns:
+        most["last"] = F.struct(F.when(F.col("parameters").isNotNull(), F.col("fold")).alias("fold"), "parameters")
+    each = metrics(told, **most)
+    each = each.withColumn("parameters", F.col("last.parameters") if "last" in most else F.lit(None).cast("string"))
+    each = each if "time_ms" in most else each.withColumn("time_ms", took)
     fields = F.struct(*[F.col(c).alias(n) for n, c in FIELDS.items()])
     return each.select(fields.alias("metrics"), F.col("user_id").alias("user"), "size", "parameters", F.round("time_ms", 3).alias("time_ms"))
 

@@ -1,6 +1,7 @@
 """Registered queries against their SQL, and sources, sinks and edge cases on small tables."""
 
 import json
+import math
 import time
 
 import duckdb
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.__main__ import settings
 from mnemospark.config import Settings
-from mnemospark.functions.metrics import metrics
+from mnemospark.functions.metrics import auc, metrics
+from mnemospark.operators import history
 from mnemospark.operators.features import features, outlier_cells
 from mnemospark.plans import evaluation
 from mnemospark.plans import queries as q
@@ -144,14 +146,51 @@ def test_unknown_and_outside_models(spark):
 
 
 def test_records_train_once_and_round_parameters(spark, capsys):
-    s = Settings(algo="FSRS-6", default=True, short=True, secs=True)
-    found = evaluation.records(q.reviews(spark, SF), s)
+    for default, trainings in ((True, 0), (False, 1)):
+        s = Settings(algo="FSRS-6", default=default, only_s0=True, short=True, secs=True)
+        found = evaluation.records(q.reviews(spark, SF), s)
+        found.explain()
+        assert capsys.readouterr().out.count("FlatMapGroupsInPandas") == trainings
+        for r in found.collect():
+            weights = json.loads(r["parameters"])["0"]
+            assert len(weights) == 21 and all(w == round(w, 6) for w in weights) and r["time_ms"] > 0
+
+
+PLANS = {"fsrs1_default", "fsrs6_default", "sm2_trainable_default", "anki_default", "hlr_default", "dash_mcm_default", "logreg_default", "dash_features", "equalized_folds", "auc_by_learner"}
+
+
+@pytest.mark.parametrize("name", sorted(PLANS))
+def test_plans_without_python_or_products(spark, name, capsys):
+    """Default weights run natively; look-back windows and fold ends need no join of rows with rows."""
+    q.QUERIES[name](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "InPandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    if name == "dash_features":
+        assert "Join" not in plan and "collect_list" not in plan
+
+
+def test_ranks_come_from_counts(spark, capsys):
+    """The area's windows lie above a grouping by value: no window runs over the reviews."""
+    rows = spark.createDataFrame([(1, k % 2, (k % 5) / 5) for k in range(1000)], "user_id long, y long, p double")
+    found = auc(rows)
     found.explain()
     plan = capsys.readouterr().out
-    assert plan.count("FlatMapGroupsInPandas") == 1
-    for r in found.collect():
-        weights = json.loads(r["parameters"])["0"]
-        assert len(weights) == 21 and all(w == round(w, 6) for w in weights) and r["time_ms"] > 0
+    assert plan.index("Window") < plan.index("HashAggregate(keys=[user_id", plan.index("Window")) and "rank" not in plan
+    assert found.first()["auc"] == pytest.approx(0.5)
+
+
+def test_look_back_windows_by_hand(spark):
+    """Ties of time, reviews on a window's edge, long gaps: all pairs of a card's reviews."""
+    gaps = [0.0, 0.0, 0.5, 0.5, 0.0, 1.0, 6.0, 0.25, 30.0, 0.0, 400.0, 2.0, 5.0, 23.0, 7000.0, 0.75, 0.25]
+    rows = [(1, 1, k, 1 + k * 3 % 4, d, k, True) for k, d in enumerate(gaps)]
+    df = spark.createDataFrame(rows, "user_id long, card_id long, review_th long, rating long, delta_t double, pos long, evaluable boolean")
+    for decay in (False, True):
+        for r in history.dash_features(df, decay).collect():
+            for k, (days, tau) in enumerate(zip(history.WINDOWS, history.DECAYS, strict=True)):
+                ages = [(sum(gaps[j + 1 : r["pos"] + 1]), rows[j][3]) for j in range(r["pos"])]
+                used = [(math.exp(-a / tau) if decay else 1.0, g) for a, g in ages if days is None or a <= days]
+                assert r[f"f{2 * k}"] == pytest.approx(sum(w for w, _ in used), abs=1e-9)
+                assert r[f"f{2 * k + 1}"] == pytest.approx(sum(w for w, g in used if g > 1), abs=1e-9)
 
 
 def test_sink_sorts_below_an_exchange(spark, tmp_path):
