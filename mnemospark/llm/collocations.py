@@ -33,7 +33,7 @@ SHARD = 1 << 20
 #: Rows of an Arrow batch that leaves Python; rows of packed phrases in one; an odd number that mixes hashes.
 BATCH, BLOBS, MIX = 1 << 16, 64, np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose phrases make a bucket; buckets that one shuffle deals to.
-BUCKET, FAN = 8 << 20, 4096
+BUCKET, FAN = 2 << 20, 1024
 #: Parts of a language that are ranked before its first phrases are.
 PARTS = 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -177,19 +177,18 @@ def counted(docs: DataFrame, most: int, least: int) -> DataFrame:
             ids = np.fromiter(known.values(), np.int64, len(known))
             texts[ids], of[ids], hashed[ids] = [w.decode() for w in known], lang, hashes(list(known), lang)
         texts, of = pa.array(texts, pa.string()), pa.array(of, pa.string())
-        keys = [pa.array([f".{x}" for x in langs], pa.string())]
-        f, h = [np.array(list(langs.values()))], [hashes([x.encode() for x in langs], "")]
+
+        def bucket(h: np.ndarray) -> np.ndarray:
+            return ((h >> np.uint64(32)) % np.uint64(fan)).astype(np.int16)
+
+        yield from dealt(pa.array([f".{x}" for x in langs], pa.string()), np.array(list(langs.values())), bucket(hashes([x.encode() for x in langs], "")))
         for k, end, count in enumerated(automaton(words, most)):
             mixed = np.zeros(len(end), np.uint64)
             for d in range(k - 1, -1, -1):
                 mixed = (mixed ^ hashed[words[end - d]]) * MIX
             # No word holds a full stop: it ends the phrase, and the language follows.
             phrase = pc.binary_join_element_wise(*[texts.take(pa.array(words[end - d])) for d in range(k - 1, -1, -1)], " ") if k > 1 else texts.take(pa.array(words[end]))
-            keys.append(pc.binary_join_element_wise(phrase, of.take(pa.array(words[end])), "."))
-            f.append(count)
-            h.append(mixed)
-        h = np.concatenate(h)
-        yield from dealt(pa.concat_arrays(keys), np.concatenate(f), ((h >> np.uint64(32)) % np.uint64(fan)).astype(np.int64))
+            yield from dealt(pc.binary_join_element_wise(phrase, of.take(pa.array(words[end])), "."), count, bucket(mixed))
 
     def run(batches):
         found, langs, numbers, total, fresh = [], defaultdict(int), {}, 0, itertools.count()
@@ -199,7 +198,7 @@ def counted(docs: DataFrame, most: int, least: int) -> DataFrame:
                     numbers[lang] = defaultdict(functools.partial(next, fresh))
                 known, split = numbers[lang], words_of(text)
                 known[b"."] = -1
-                w = np.fromiter(map(known.__getitem__, split), np.int64, len(split))
+                w = np.fromiter(map(known.__getitem__, split), np.int32, len(split))
                 del known[b"."]
                 langs[lang] += int((w >= 0).sum())
                 found.append(w)
@@ -207,6 +206,7 @@ def counted(docs: DataFrame, most: int, least: int) -> DataFrame:
                 if total >= SHARD:
                     yield from shard(found, langs, numbers)
                     found, langs, numbers, total, fresh = [], defaultdict(int), {}, 0, itertools.count()
+                    common.release()
         if found:
             yield from shard(found, langs, numbers)
 
@@ -225,6 +225,8 @@ def counted(docs: DataFrame, most: int, least: int) -> DataFrame:
             table = summed(parts)
             table = table.filter(pc.or_(pc.greater_equal(table["f_sum"], least), pc.starts_with(table["key"], ".")))
             yield from table.rename_columns(["key", "f"]).to_batches(max_chunksize=BATCH)
+            del table
+            common.release()
 
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), common.text_of(docs).alias("text"))
