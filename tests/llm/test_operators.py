@@ -613,5 +613,5 @@ def test_odd_tables(spark, op):
 
 
 def test_registry():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
-    assert json.dumps(sorted(queries.ORACLE_SQL)) == '["op2_secret_scan"]'
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
+    assert json.dumps(sorted(queries.ORACLE_SQL)) == '["op11_phrase_collocations", "op13_lexical_search", "op2_secret_scan"]'
