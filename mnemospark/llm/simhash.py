@@ -22,11 +22,15 @@ from .components import components
 BITS = 64
 #: Keys with over this share of the rows are looked up by broadcast: at most its inverse many.
 HOT_SHARE = 1000
-#: Near copies: bits that may differ, blocks of the fingerprint, blocks taken together, sets of blocks shuffled at once.
-REACH, BLOCKS, TOGETHER, AT_ONCE = 12, 6, 3, 5
+#: Near copies: bits that may differ, those of the second fingerprint, blocks of the fingerprint, sets of blocks shuffled at once.
+REACH, REACH_2, BLOCKS, AT_ONCE = 12, 16, 6, 5
+#: Strangers that a bucket of variants may hold in the mean; fingerprints in a bucket of which only the leaders are kept between batches.
+STRANGERS, LONG_RUN = 8, 1 << 16
+#: Seed of the second fingerprint; pairs of one text that are compared in one task.
+SECOND, MEMBERS = 43, 256
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """The SimHash of one text's word shingles, repeats counted."""
     import numpy as np
     import xxhash
@@ -35,13 +39,13 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     if not words:
         return 0
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
     else:
         joined = b" ".join(words)
         ends = list(itertools.accumulate(map(len, words), lambda a, n: a + n + 1))
         starts = [0, *(e + 1 for e in ends)]
         digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1 :], strict=False)]
+        hashes = [digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :], strict=False)]
     n, ones = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, 65536):  # bounds the unpacked bits of very long texts
         bits = np.unpackbits(np.array(hashes[at : at + 65536], ">u8").view(np.uint8)).reshape(-1, BITS)
@@ -105,46 +109,96 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return lookup(rows, ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def block_masks() -> list[int]:
-    """The bits of every choice of TOGETHER of the BLOCKS blocks: half of the fingerprint each."""
+def block_masks(together: int = 3) -> list[int]:
+    """The bits of every choice of so many of the BLOCKS blocks."""
     cuts = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in itertools.pairwise(cuts)]
-    return [sum(c) for c in itertools.combinations(blocks, TOGETHER)]
+    return [sum(c) for c in itertools.combinations(blocks, together)]
 
 
-def stars(batches):
-    """Of (variant, fp) sorted so: each fp with the smallest of its variant, if within REACH; once a batch."""
+def strangers(texts: int, together: int) -> float:
+    """Unrelated fingerprints in a bucket of variants, in the mean over the choices of blocks."""
+    bits = [m.bit_count() for m in block_masks(together)]
+    return sum(texts * (b + 1) / 2.0**b for b in bits) / len(bits)
+
+
+def blocks_for(texts: int) -> int:
+    """How many blocks make a bucket's key: three, or four where three would fill buckets with strangers."""
+    return next((k for k in (3, 4) if strangers(texts, k) <= STRANGERS), 4)
+
+
+def leaders(group, fp, led):
+    """(a, b, led) of fingerprints sorted by group: each with every leader of its group within REACH.
+
+    The first fingerprint that no leader reaches leads in its turn, so a group of near copies has
+    few leaders and links grow with the rows, while a stranger hides nobody: it leads itself only.
+    led marks the leaders.
+    """
     import numpy as np
 
-    variant, least = None, 0
+    n = len(group)
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(start, n))
+    shared = np.repeat(size > 1, size)
+    of = np.repeat(np.arange(len(start)), size)
+    done, led, pairs = ~shared, led.copy(), []
+    waiting = np.flatnonzero(led & shared)  # leaders of earlier batches lead again
+    while True:
+        if len(waiting):
+            first = waiting[np.append(True, of[waiting[1:]] != of[waiting[:-1]])]
+        else:
+            open_ = np.flatnonzero(~done)
+            if not len(open_):
+                break
+            first = open_[np.append(True, of[open_[1:]] != of[open_[:-1]])]
+        done[first], led[first] = True, True
+        lead = np.full(len(start), -1)
+        lead[of[first]] = first
+        rows = np.flatnonzero(shared & (lead[of] >= 0))
+        a, b = fp[lead[of[rows]]], fp[rows]
+        near = (a != b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= REACH)
+        done[rows[near]] = True
+        pairs.append(np.stack([np.minimum(a[near], b[near]), np.maximum(a[near], b[near])]))
+        waiting = waiting[~np.isin(waiting, first)] if len(waiting) else waiting
+    return np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.empty((2, 0), np.int64), led
+
+
+def buckets(batches):
+    """Of (variant, fp) sorted so: (a, b) of leaders and what they reach; a bucket may go on over batches."""
+    import numpy as np
+
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
     for b in batches:
-        v, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(v):
+        new = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+        if not len(new[0]):
             continue
-        new = np.append(variant is None or v[0] != variant, v[1:] != v[:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(v)), -1))
-        a = np.where(lead >= 0, fp[lead], least)
-        variant, least = v[-1], a[-1]
-        near = (a != fp) & (np.bitwise_count((a ^ fp).view(np.uint64)) <= REACH)
-        found = np.unique(np.stack([a[near], fp[near]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+        v, fp, led = (np.concatenate(x) for x in zip(held, [*new, np.zeros(len(new[0]), bool)], strict=True))
+        pairs, led = leaders(v, fp, led)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+        last = v == v[-1]
+        if last.sum() > LONG_RUN:
+            last &= led
+        held = [v[last], fp[last], led[last] if last.sum() > 1 else np.zeros(last.sum(), bool)]
 
 
 def far_links(fps: DataFrame) -> DataFrame:
-    """(a, b): fingerprints of at most REACH differing bits, at most two of them in some half.
+    """(a, b): fingerprints of at most REACH differing bits that share a bucket, by leaders of the buckets.
 
-    Every half emits its variants of one flipped bit; those that share one are linked to the
-    smallest of them, so links grow with the rows, whatever a group's size. Sorted variants are
-    read as a stream, so no group is gathered. fps has distinct fp.
+    Every choice of blocks emits its variants of one flipped bit, so fingerprints with at most
+    two differing bits in it meet: all with up to five, most with up to eight. Keys lengthen with
+    the number of fingerprints, so that a bucket holds few strangers, and strangers hide no pair.
+    Sorted variants are read as a stream; a group of near copies has few leaders, so links grow
+    with the rows. fps has distinct fp.
     """
-    out, halves, n = [], block_masks(), common.partitions(fps.sparkSession)
+    spark, n = fps.sparkSession, common.partitions(fps.sparkSession)
+    out, halves = [], block_masks(blocks_for(fps.count()))
     for k in range(0, len(halves), AT_ONCE):  # the files of one shuffle go before the next
         flips = [(signed(h), signed(1 << b if b < BITS else 0)) for h in halves[k : k + AT_ONCE] for b in (*(b for b in range(BITS) if h >> b & 1), BITS)]
         each = F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("half"), F.lit(m).cast("long").alias("flip")) for h, m in flips])).alias("x")
         emitted = fps.repartition(n, "fp").select("fp", each).select(F.col("fp").bitwiseAND(F.col("x.half")).bitwiseXOR(F.col("x.flip")).alias("variant"), "fp")
-        met = emitted.repartition(n, "variant").sortWithinPartitions("variant", "fp").mapInArrow(common.frugal(stars), "a long, b long")
+        met = emitted.repartition(n, "variant").sortWithinPartitions("variant", "fp").mapInArrow(common.frugal(buckets), "a long, b long")
         out.append(common.stored(met.distinct(), "far-links"))
-    return functools.reduce(DataFrame.unionByName, out).distinct()
+    return functools.reduce(DataFrame.unionByName, out).distinct() if out else spark.createDataFrame([], "a long, b long")
 
 
 def shingles(text: str, words: int):
@@ -167,40 +221,54 @@ def similarity(x, y) -> float:
 def near_copies(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(rid) of numbered rows: the smallest of each group of texts linked by a Jaccard similarity of least.
 
-    Candidates are texts whose fingerprints far_links finds, verified on their sets of word
-    shingles, one pair at a time. Repeated rows and equal texts are one group, as are all texts
-    without words; an empty table gives an empty table.
+    Candidates are texts whose fingerprints far_links finds and whose second fingerprints differ
+    by REACH_2 bits at most, which strangers of the first hardly ever do; they are verified on
+    their sets of word shingles, of which only hashes travel. A text of many pairs is sent to
+    one task for every MEMBERS of them. Repeated rows and equal texts are one group, as are all
+    texts without words; an empty table gives an empty table.
     """
     common.prepare(rows.sparkSession)
     rows = rows.select("rid", "text").withColumn("key", F.xxhash64("text"))
 
     def prints(batches):
         for b in batches:
-            found = [signed(fingerprint(t.encode())) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["key", "rid", "fp"])
+            found = [[signed(fingerprint(t.encode(), seed=seed)) for t in b.column(2).to_pylist()] for seed in (42, SECOND)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in found]], ["key", "rid", "fp", "fp2"])
+
+    def hashed(batches):
+        for b in batches:
+            found = [shingles(t, words).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["key", "hashes"])
 
     def alike(batches):
+        import numpy as np
+
         for b in batches:
             pairs = zip(*(b.column(k) for k in (2, 3)), strict=True)
-            keep = pa.array([similarity(shingles(x.as_py(), words), shingles(y.as_py(), words)) >= least for x, y in pairs], pa.bool_())
+            keep = pa.array([similarity(*(np.frombuffer(v.as_buffer(), np.uint64) for v in p)) >= least for p in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
 
-    found = rows.select("key", "rid", "text").mapInArrow(common.frugal(prints), "key long, rid long, fp long")
-    texts = common.stored(found.groupBy("key", "fp").agg(F.min("rid").alias("least")), "texts")
+    found = rows.select("key", "rid", "text").mapInArrow(common.frugal(prints), "key long, rid long, fp long, fp2 long")
+    texts = common.stored(found.groupBy("key", "fp", "fp2").agg(F.min("rid").alias("least")), "texts")
     # The first texts of linked fingerprints meet; so does every text with its fingerprint's first
     # one and with that of the smallest fingerprint linked to its own: pairs grow with the texts.
-    first = common.stored(texts.groupBy("fp").agg(F.min("key").alias("key")), "fingerprint-texts")
+    first = common.stored(texts.groupBy("fp").agg(F.min(F.struct("key", "fp2")).alias("x")).select("fp", "x.*"), "fingerprint-texts")
     met = common.stored(far_links(first.select("fp")), "fingerprint-links")
-    ka, kb = (first.select(F.col("fp").alias(x), F.col("key").alias(f"k{x}")) for x in "ab")
-    own = texts.select(F.col("fp").alias("b"), F.col("key").alias("kb"))
+    ka, kb = (first.select(F.col("fp").alias(x), F.col("key").alias(f"k{x}"), F.col("fp2").alias(f"f{x}")) for x in "ab")
+    own = texts.select(F.col("fp").alias("b"), F.col("key").alias("kb"), F.col("fp2").alias("fb"))
     nearest = met.groupBy("b").agg(F.min("a").alias("a"))
-    pairs = met.join(ka, "a").join(kb, "b").select("ka", "kb")
-    pairs = pairs.unionByName(own.withColumnRenamed("b", "a").join(ka, "a").select("ka", "kb")).unionByName(own.join(nearest.join(ka, "a").select("b", "ka"), "b").select("ka", "kb"))
-    pairs = common.stored(pairs.filter("ka <> kb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct(), "candidates")
-    wanted = pairs.select(F.col("ka").alias("key")).union(pairs.select("kb")).distinct()
-    wanted = common.stored(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "candidate-texts")
-    joined = pairs.join(wanted.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka").join(wanted.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb")
-    linked = joined.select("ka", "kb", "ta", "tb").mapInArrow(common.frugal(alike), "a long, b long")
+    pairs = met.join(ka, "a").join(kb, "b").select("ka", "fa", "kb", "fb")
+    pairs = pairs.unionByName(own.withColumnRenamed("b", "a").join(ka, "a").select("ka", "fa", "kb", "fb")).unionByName(own.join(nearest.join(ka, "a").select("b", "ka", "fa"), "b").select("ka", "fa", "kb", "fb"))
+    near = (F.col("ka") != F.col("kb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= REACH_2)
+    pairs = common.stored(pairs.filter(near).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct(), "candidates")
+    sides = pairs.select(F.col("ka").alias("key"), "kb").union(pairs.select(F.col("kb").alias("key"), F.lit(None).cast("long")))
+    wanted = sides.groupBy("key").agg(F.count("kb").alias("n"))  # n: pairs of which it is the first
+    sets = common.stored(rows.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).mapInArrow(common.frugal(hashed), "key long, hashes binary"), "candidate-sets")
+    parts = wanted.filter("n > 0").select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
+    dealt = pairs.join(parts.withColumnRenamed("key", "ka"), "ka").withColumn("part", F.pmod(F.xxhash64("kb"), F.col("parts")).cast("int")).drop("parts")
+    spread = sets.join(parts, "key").select(F.col("key").alias("ka"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias("ha"))
+    joined = dealt.join(sets.select(F.col("key").alias("kb"), F.col("hashes").alias("hb")), "kb").join(spread, ["ka", "part"])
+    linked = joined.select("ka", "kb", "ha", "hb").mapInArrow(common.frugal(alike), "a long, b long")
     rooted = texts.join(components(linked).withColumnRenamed("node", "key"), "key", "left")
     return rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("rid")).select("rid")
 

@@ -4,8 +4,10 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
-from mnemospark.llm import common
+from mnemospark.llm import common, simhash
 from pyspark.sql import functions as F
 
 from .test_operators import removed_plainly
@@ -121,3 +123,54 @@ def test_near_copies_of_five_words_go(spark):
 def test_copies_without_words_are_one_group(spark):
     docs = spark.createDataFrame([(4, " "), (2, None), (3, "")], "doc_id long, text string")
     assert [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, SF).select("doc_id", F.length("text")).collect()] == [(2, 0)]
+
+
+def flipped(rng, fp, bits):
+    for b in rng.sample(range(64), bits):
+        fp ^= 1 << b
+    return fp
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_by_all_pairs(seed):
+    """Strangers in a bucket hide no pair; a chain of batches finds what one batch does."""
+    rng = random.Random(seed)
+    rows = []
+    for variant in range(40):
+        base = rng.getrandbits(64)
+        near = [flipped(rng, base, rng.randrange(1, 5)) for _ in range(rng.randrange(6))]
+        rows += [(variant, simhash.signed(x)) for x in {base, *near, *(rng.getrandbits(64) for _ in range(rng.randrange(8)))}]
+    rows.sort()
+    v, fp = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    links = set()
+    for step in (len(v), 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in (v, fp)], ["variant", "fp"]) for i in range(0, len(v), step)]
+        found = {tuple(p) for b in simhash.buckets(batches) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert all(((a ^ b) & (2**64 - 1)).bit_count() <= simhash.REACH for a, b in found)
+        reached = groups(fp.tolist(), found)
+        for g in range(40):
+            own = fp[v == g].tolist()
+            for a in own:
+                near = [b for b in own if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= simhash.REACH]
+                assert not near or any(reached[a] == reached[b] for b in near)
+        links = links or found
+    assert len(links) > 40
+
+
+def test_buckets_hold_few_strangers():
+    for texts in (10**4, 10**6, 10**9, 5 * 10**10):
+        assert simhash.strangers(texts, simhash.blocks_for(texts)) <= simhash.STRANGERS
+    assert simhash.blocks_for(10**6) == 3 and simhash.blocks_for(5 * 10**10) == 4
+
+
+@pytest.mark.parametrize(("bits", "least"), [(4, 1.0), (8, 0.75)])
+def test_links_among_many_strangers(spark, bits, least):
+    """Planted pairs are found as often among 50,000 strangers as alone."""
+    rng = random.Random(bits)
+    planted = [(x, flipped(rng, x, bits)) for x in (rng.getrandbits(64) for _ in range(150))]
+    rows = [(simhash.signed(x),) for pair in planted for x in pair]
+    alone = {tuple(r) for r in simhash.far_links(spark.createDataFrame(rows, "fp long")).collect()}
+    crowd = spark.createDataFrame(rows, "fp long").unionByName(spark.range(50_000).select(F.xxhash64("id").alias("fp")))
+    among = {tuple(r) for r in simhash.far_links(crowd).collect()}
+    sought = {tuple(sorted(map(simhash.signed, p))) for p in planted}
+    assert len(sought & alone) >= least * 150 and sought & alone == sought & among
