@@ -101,16 +101,27 @@ def restore(word: str, cost: np.ndarray) -> str:
     return min(ends)[1]
 
 
-def parts(disguise: str) -> list[str]:
-    """A stretch with its runs shortened; a long one cut at separators, then into overlapping windows."""
+def runs_of(text: str) -> list[str]:
+    return [m[0] for m in single.finditer(text)]
+
+
+def parts(disguise: str) -> tuple[list[str], list[str]]:
+    """(words, windows) that a stretch is decoded as, its runs shortened.
+
+    Words are the stretch itself and, at every length, its pieces between separators; what has
+    over LONGEST runs is decoded in overlapping windows instead. Pieces of plain letters stand
+    for themselves and are left out.
+    """
     short = long_run.sub(r"\1\1\1", disguise)  # the lattice tells no longer runs apart
-    if len(short) <= LONGEST:
-        return [short]
-    out = []
-    for piece in [short] if sum(1 for _ in single.finditer(short)) <= LONGEST else between.split(short):
-        runs = [m[0] for m in single.finditer(piece)]
-        out += ["".join(runs[k : k + LONGEST]) for k in range(0, max(1, len(runs) - LONGEST // 2), LONGEST // 2)]
-    return [x for x in out if x]
+    pieces = [x for x in between.split(short) if x]
+    words, windows = [], []
+    for x in dict.fromkeys([short, *(x for x in pieces if not x.isalpha() or run.search(x))]):
+        runs = runs_of(x)
+        if len(runs) <= LONGEST:
+            words.append(x)
+        elif x in pieces:
+            windows += ["".join(runs[k : k + LONGEST]) for k in range(0, max(1, len(runs) - LONGEST // 2), LONGEST // 2)]
+    return words, windows
 
 
 class Restorer:
@@ -128,14 +139,12 @@ class Restorer:
 
     def all(self, disguise: str) -> set[str]:
         """What a stretch of any length stands for; of a window, also what follows its first letters."""
-        cut = parts(disguise)
-        out = {self.word(x) for x in cut}
-        if len(cut) > 1:
-            for x in cut:
-                runs = sum(1 for _ in single.finditer(x))
-                if runs > LONGEST // 2:
-                    plain = self.word(x)
-                    out.update(plain[k:] for k in range(1, len(plain) - 3))
+        words, windows = parts(disguise)
+        out = {self.word(x) for x in (*words, *windows)}
+        for x in windows:
+            if len(runs_of(x)) > LONGEST // 2:
+                plain = self.word(x)
+                out.update(plain[k:] for k in range(1, len(plain) - 3))
         return out
 
     def words(self, low: str) -> set[str]:

@@ -43,6 +43,8 @@ MORE = (
 )
 RULES = BASE + MORE
 MASK = "[SECRET]"
+#: Spans of a piece of text that is masked at once.
+PIECE = 64
 #: Matches of a rule in a text from which on they are placed in blocks.
 BLOCKS = 64
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
@@ -123,20 +125,36 @@ def query(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every span of the text replaced by MASK (overlapping ones by one); columns stay."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """docs with every span of the text replaced by MASK (overlapping ones by one); columns stay.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        # A span that starts inside the one before lengthens it.
-        put = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
-
-    def last(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-
-    masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, last)).otherwise(F.col("text"))
-    return common.in_order(scan(docs, rules), docs.columns, masked)
+    A text of many spans is cut into pieces that hold about PIECE of them each, and a piece is
+    put together on its own, so that time grows with the text. A null text stays null, repeated
+    rows are masked each, an empty table gives an empty table.
+    """
+    pieces = F.greatest(F.ceil(F.size("spans") / PIECE), F.lit(1))
+    size = F.greatest(F.ceil(F.length("text") / pieces), F.lit(1))
+    cut = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
+
+    def masked(x: Column) -> Column:
+        """x: a piece's text, its place lo and the place hi that follows it."""
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(x["text"], (acc["at"] - x["lo"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+            # A span that starts inside the one before lengthens it.
+            put = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MASK))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
+
+        def last(acc: Column) -> Column:
+            rest = F.substring(x["text"], (acc["at"] - x["lo"] + 1).cast("int"), F.length(x["text"]))
+            return F.concat(acc["out"], F.when(acc["at"] < x["hi"], rest).otherwise(F.lit("")))
+
+        before = F.array_max(F.transform(F.filter("spans", lambda s: s["start"] < x["lo"]), lambda s: s["end"]))
+        start = F.struct(F.greatest(before, x["lo"]).alias("at"), F.lit("").alias("out"))  # null is passed over
+        return F.aggregate(F.filter("spans", lambda s: (s["start"] >= x["lo"]) & (s["start"] < x["hi"])), start, step, last)
+
+    placed = F.transform(cut, lambda t, k: F.struct(t.alias("text"), (k * size).cast("long").alias("lo"), (k * size + F.length(t)).cast("long").alias("hi")))
+    whole = F.when(F.size("spans") > 0, F.array_join(F.transform(placed, masked), "")).otherwise(F.col("text"))
+    return common.in_order(scan(docs, rules), docs.columns, whole)
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
