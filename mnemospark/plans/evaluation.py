@@ -12,7 +12,7 @@ from ..functions.metrics import NAMES, metrics
 from ..models import closed, evaluate, recurrent, replay
 from ..operators.features import evaluable, features, with_partitions
 from ..operators.splits import equalised
-from ..sources import results, revlog
+from ..sources import results, revlog, tree
 
 NATIVE = ("AVG", "MOVING-AVG", "RMSE-BINS-EXPLOIT", "SM2")
 #: Trees that a learner must be in, by the kind of partitions.
@@ -88,18 +88,9 @@ def run(spark: SparkSession, data: str, out: str, s: Settings) -> DataFrame:
         reviews = reviews.join(revlog.learners_with(spark, data, kind), "user_id", "left_semi")
     path = f"{out}/{s.result_name}.jsonl"
     partition_map = revlog.read_partition_map(spark, data, s.partitions) if s.partitions != "none" else None
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new")]
-    store = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
-    old = results.read(spark, path) if store.exists(paths[0]) else None
+    old = results.read(spark, path) if tree.exists(path) else None
     new = records(results.not_done(reviews, old) if old is not None else reviews, s, partition_map)
-    results.write(results.merged(old, new) if old is not None else new, f"{path}.new")
-    # The old records are there under one name or another until the new ones have theirs.
-    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old")
-    store.delete(aside, True)
-    if old is not None:
-        store.rename(paths[0], aside)
-    store.rename(paths[1], paths[0])
-    store.delete(aside, True)
+    results.write(results.merged(old, new) if old is not None else new, path)
     return results.read(spark, path)
 
 
@@ -113,10 +104,11 @@ def without_record(users: DataFrame, done: DataFrame, reasons: DataFrame | None
 
 
 def skipped(spark: SparkSession, data: str, found: DataFrame, s: Settings) -> DataFrame:
-    """(user_id, reason) of the learners of a tree that have no record in found: a null in a
-    column, no cards or decks where partitions need them, or too few reviews."""
+    """(user_id, reason) of the learners of a tree that have no record in found: a directory without
+    files, a null in a column, no cards or decks where partitions need them, or too few reviews."""
     users = revlog.users(spark, data, s.max_user_id)
     reasons = revlog.nulls(spark, data, s.max_user_id).select("user_id", F.concat(F.lit("has a null in "), F.col("column")).alias("reason"))
+    reasons = reasons.unionByName(revlog.without_files(spark, data).select("user_id", F.lit("has no revlogs").alias("reason")))
     for kind in TREES[s.partitions]:
         reasons = reasons.unionByName(users.join(revlog.learners_with(spark, data, kind), "user_id", "left_anti").select("user_id", F.lit(f"has no {kind}").alias("reason")))
     return without_record(users, found.filter("user IS NOT NULL").select(F.col("user").alias("user_id")), reasons)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tree
+
 METRICS = ("RMSE", "LogLoss", "RMSE(bins)", "AUC", "precision@90", "recall@90", "MBE")
 SCHEMA = T.StructType([
     T.StructField("metrics", T.StructType([T.StructField(m, T.DoubleType()) for m in METRICS])),
@@ -35,11 +37,11 @@ def lines(results: DataFrame) -> DataFrame:
 
 
 def write(results: DataFrame, path: str) -> None:
-    """One file of lines ordered by user, those without one last.
+    """One file of lines ordered by user, those without one last; an old file is replaced when all is written.
 
     Only the finished lines, one a learner, go to the task that writes the file.
     """
-    lines(results).repartition(1).sortWithinPartitions(F.col("user").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
+    tree.write_lines(lines(results).repartition(1).sortWithinPartitions(F.col("user").asc_nulls_last()).select("value"), path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

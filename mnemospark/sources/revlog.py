@@ -7,12 +7,12 @@ prunes them.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tree
+
 COLUMNS = ("user_id", "card_id", "review_th", "rating", "elapsed_days", "elapsed_seconds")
 _READ = ("card_id", "rating", "elapsed_days", "elapsed_seconds")
 REVLOG = T.StructType([T.StructField(c, T.LongType()) for c in (*_READ, "user_id")])
@@ -63,17 +63,18 @@ def nulls(spark: SparkSession, root: str, max_user_id: int | None = None) -> Dat
 
 
 def learners_with(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """(user_id) of the learners that have a file in the tree root/kind, with rows or without.
+    """(user_id) of the learners that have a directory in the tree root/kind, with files or without."""
+    return tree.learners(spark, root, kind).select("user_id").distinct()
 
-    Told from the file names, which Spark's listing of the tree holds on the driver anyway.
-    """
-    found = map(re.compile(r"/user_id=(-?\d+)/").search, spark.read.parquet(f"{root}/{kind}").inputFiles())
-    return spark.createDataFrame([(i,) for i in sorted({int(m[1]) for m in found if m})], "user_id long")
+
+def without_files(spark: SparkSession, root: str, kind: str = "revlogs") -> DataFrame:
+    """(user_id) of the learners whose directory in the tree holds no Parquet file."""
+    return tree.learners(spark, root, kind).groupBy("user_id").agg(F.sum("files").alias("files")).filter("files = 0").select("user_id")
 
 
 def users(spark: SparkSession, root: str, max_user_id: int | None = None) -> DataFrame:
-    """Learners of the tree, ascending."""
-    found = _tree(spark, root, "revlogs", REVLOG).select("user_id").distinct()
+    """Learners of the tree, ascending, by their directories."""
+    found = learners_with(spark, root, "revlogs")
     return (found.filter(F.col("user_id") <= max_user_id) if max_user_id is not None else found).orderBy("user_id")
 
 

@@ -97,17 +97,45 @@ def test_learners_that_are_skipped(spark, tmp_path):
     rows.unionByName(few).unionByName(hole).repartition(1).write.partitionBy("user_id").parquet(f"{tree}/revlogs")
     cards = spark.createDataFrame([(0, 1, 0), (1, 1, 7), (2, 1, 8), (3, 1, 2)], "card_id long, deck_id long, user_id long")
     cards.write.partitionBy("user_id").parquet(f"{tree}/cards")
+    for name in ("user_id=5", "user_id=x", "other=3"):
+        (tmp_path / "data/revlogs" / name).mkdir()
+    (tmp_path / "data/cards/user_id=5").mkdir()
+    (tmp_path / "data/revlogs/user_id=6").write_text("a file, no directory")
+    assert [r["user_id"] for r in revlog.users(spark, tree).collect()] == [0, 1, 2, 5, 7, 8]
+    assert [r["user_id"] for r in revlog.without_files(spark, tree).collect()] == [5]
+    (tmp_path / "data/revlogs/user_id=6").unlink()
+    (tmp_path / "data/revlogs/user_id=x").rmdir()
+    (tmp_path / "data/revlogs/other=3").rmdir()
     s = Settings(algo="AVG", short=True, secs=True, partitions="deck")
     found = evaluation.run(spark, tree, out, s)
     assert sorted(r["user"] for r in found.collect()) == [0, 2]
     reasons = {r["user_id"]: r["reason"] for r in evaluation.skipped(spark, tree, found, s).collect()}
-    assert reasons == {1: "has no cards", 7: evaluation.FEW, 8: "has a null in rating"}
+    assert reasons == {1: "has no cards", 5: "has no revlogs", 7: evaluation.FEW, 8: "has a null in rating"}
     plain = evaluation.run(spark, tree, out, Settings(algo="AVG", short=True, secs=True))
     assert sorted(r["user"] for r in plain.collect()) == [0, 1, 2]
     with pytest.raises(Exception, match="null in rating"):
         revlog.read_revlogs(spark, tree).collect()
 
 
+def test_a_failed_run_leaves_the_old_file_whole(spark, tmp_path):
+    path = str(tmp_path / "r.jsonl")
+    rows = spark.createDataFrame([((0.5,) * 7, u, 3, None, 1.0) for u in (2, 1)], results.SCHEMA)
+    results.write(rows, path)
+    old = (tmp_path / "r.jsonl").read_text()
+    assert [json.loads(t)["user"] for t in old.splitlines()] == [1, 2]
+    broken = rows.withColumn("size", F.when(F.col("user") == 2, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("size")))
+    with pytest.raises(Exception, match="killed"):
+        results.write(broken, path)
+    assert (tmp_path / "r.jsonl").read_text() == old and [p.name for p in tmp_path.iterdir()] == ["r.jsonl"]
+    results.write(results.merged(results.read(spark, path), rows.withColumn("user", F.col("user") + 5)), path)
+    assert [r["user"] for r in results.read(spark, path).collect()] == [1, 2, 6, 7]
+    results.write(rows.limit(0), path)
+    assert (tmp_path / "r.jsonl").read_text() == ""
+    (tmp_path / "d.jsonl").mkdir()
+    results.write(rows, str(tmp_path / "d.jsonl"))
+    assert results.read(spark, str(tmp_path / "d.jsonl")).count() == 2
+
+
 def test_bad_trees(spark, tmp_path):
     spark.range(3).selectExpr("id AS card_id", "1L AS rating", "id AS elapsed_days", "0L AS user_id").write.partitionBy("user_id").parquet(str(tmp_path / "a/revlogs"))
     with pytest.raises(ValueError, match="elapsed_seconds"):
