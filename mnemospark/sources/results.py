@@ -26,8 +26,10 @@ def lines(results: DataFrame) -> DataFrame:
     """
 
     def number(c: F.Column) -> F.Column:
+        """Plain decimals, of which six are kept, without zeros at the end but the first."""
         finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-        return F.when(finite, F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)).otherwise(F.lit("null"))
+        plain = F.regexp_replace(F.when(finite, c).cast("decimal(28,6)").cast("string"), "0+$", "")
+        return F.coalesce(F.regexp_replace(plain, r"\.$", ".0"), F.lit("null"))
 
     shown = F.concat_ws(", ", *[F.concat(F.lit(f'"{m}": '), number(F.col(f"metrics.`{m}`"))) for m in METRICS])
     spread = F.regexp_replace(F.regexp_replace("parameters", r",\s*", ", "), r'":\s*', '": ')
