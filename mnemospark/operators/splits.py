@@ -14,14 +14,32 @@ def log() -> WindowSpec:
     return user().orderBy("review_th")
 
 
-def folds(rows: DataFrame, n_splits: int = 5) -> DataFrame:
+def placed(rows: DataFrame, block: int | None = None) -> DataFrame:
+    """Adds rn (place of a review in its learner's log, from 0) and n (reviews of the learner).
+
+    A learner's log is one task's, unless a block is given: then stretches of so many review
+    numbers are numbered side by side, from offsets that the stretches' counts add up to, so that
+    the log of one learner, however long, is spread over tasks.
+    """
+    if block is None:
+        return rows.withColumn("rn", (F.row_number().over(log()) - 1).cast("long")).withColumn("n", F.count("*").over(user()))
+    stretch = F.floor(F.col("review_th") / block)
+    counts = rows.groupBy("user_id", stretch.alias("stretch")).agg(F.count("*").alias("inside"))
+    before = F.coalesce(F.sum("inside").over(user().orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("user_id", "stretch", before.alias("before"), F.sum("inside").over(user()).alias("n"))
+    within = F.row_number().over(Window.partitionBy("user_id", "stretch").orderBy("review_th"))
+    numbered = rows.withColumn("stretch", stretch).withColumn("within", within).join(offsets, ["user_id", "stretch"])
+    return numbered.withColumn("rn", (F.col("before") + F.col("within") - 1).cast("long")).select(*rows.columns, "rn", "n")
+
+
+def folds(rows: DataFrame, n_splits: int = 5, block: int | None = None) -> DataFrame:
     """Adds rn (place of a review, from 0), n, test_size and fold.
 
     Fold f tests the f-th of n_splits stretches of n div (n_splits + 1) reviews that end the
     log; a fold trains on everything before it. Reviews before the first stretch have no fold.
-    Learners with fewer than six reviews are left out.
+    Learners with fewer than six reviews are left out. block is that of placed.
     """
-    rows = rows.withColumn("rn", (F.row_number().over(log()) - 1).cast("long")).withColumn("n", F.count("*").over(user())).filter("n >= 6")
+    rows = placed(rows, block).filter("n >= 6")
     rows = rows.withColumn("test_size", F.expr(f"n div {n_splits + 1}"))
     first = F.col("n") - n_splits * F.col("test_size")
     place = F.expr(f"(rn - (n - {n_splits} * test_size)) div nullif(test_size, 0)")

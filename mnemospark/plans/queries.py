@@ -120,6 +120,12 @@ def timeseries_folds(spark, sf_dir):
     return splits.folds(evaluable(secs_features(spark, sf_dir))).select("user_id", "review_th", "rn", "n", "test_size", "fold")
 
 
+@query("timeseries_folds_in_blocks", f"{oracle.base(True)} SELECT user_id, review_th, rn, n, test_size, fold FROM folds")
+def timeseries_folds_in_blocks(spark, sf_dir):
+    """The same folds, every learner's log numbered by stretches of 1,000 review numbers."""
+    return splits.folds(evaluable(secs_features(spark, sf_dir)), block=1000).select("user_id", "review_th", "rn", "n", "test_size", "fold")
+
+
 @query(
     "equalized_folds",
     f"""WITH {oracle.reviews(True)}, {oracle.histories(False)}, {oracle.OUTLIERS}, {oracle.FOLDS}, {oracle.histories(True, name='s')},

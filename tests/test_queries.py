@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mnemospark.__main__ import settings
 from mnemospark.config import Settings
 from mnemospark.functions.metrics import auc, metrics
-from mnemospark.operators import history
+from mnemospark.operators import history, splits
 from mnemospark.operators.features import features, outlier_cells
 from mnemospark.plans import evaluation
 from mnemospark.plans import queries as q
@@ -242,6 +242,20 @@ def test_long_log_of_one_learner(spark, algo):
     assert time.perf_counter() - began < 25
 
 
+def test_one_learner_over_many_tasks(spark):
+    """300,000 reviews of one learner: no task numbers more than a stretch, and folds are the same."""
+    rows = spark.range(300_000).select(F.lit(1).cast("long").alias("user_id"), (F.col("id") * 3 + 1).alias("review_th"))
+    blocks = splits.folds(rows, block=50_000)
+    whole = blocks.groupBy("fold").agg(F.count("*"), F.min("rn"), F.max("rn"), F.min("review_th"), F.max("n"))
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, splits.folds(rows).groupBy("fold").agg(F.count("*"), F.min("rn"), F.max("rn"), F.min("review_th"), F.max("n")).collect()), key=str)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = splits.placed(rows, 50_000).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 300_000
+
+
 def test_command_line_accepts_flags_without_effect(capsys):
     args, s = settings(["--data", "x", "--processes", "4", "--algo", "FSRS-6", "--short", "--plot"])
     assert s.algo == "FSRS-6" and s.short and "--processes has no effect" in capsys.readouterr().err
