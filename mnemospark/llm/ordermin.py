@@ -20,8 +20,8 @@ from . import common
 
 #: Words in a k-mer, entries of a sketch, pairs picked for an entry, hex digits shown of an entry.
 WIDTH, ENTRIES, PICKS, DIGITS = 2, 64, 2, 8
-#: Bits of a sort key that hold a k-mer's position, a sign among them; WIDE, all that an array's places need, in texts of more words.
-POSITION, WIDE = 24, 32
+#: Bits of a sort key that hold a k-mer's position: all that an array's places need; the others hold its hash.
+POSITION = 32
 SEPARATOR, SPACES = f"[{common.ASCII_SPACE}]+", " \t\n\x0b\x0c\r"
 
 
@@ -30,17 +30,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sketch(text: Column, width: int = WIDTH, entries: int = ENTRIES, picks: int = PICKS, position: int = POSITION) -> Column:
+def sketch(text: Column, width: int = WIDTH, entries: int = ENTRIES, picks: int = PICKS) -> Column:
     """array<long> of entries hashes. Texts without words have entries of 0; texts with fewer
-    words than a k-mer have their whole sequence as the only one. Texts of over 2 ** (position - 1)
-    words have shorter k-mer hashes, so they are like each other only."""
+    words than a k-mer have their whole sequence as the only one. Keys are alike for texts of any
+    length; two k-mers of one text that share 32 bits of their hashes count as one."""
     bare = F.btrim(text, F.lit(SPACES))
 
-    def by(words: Column, bits: int) -> Column:
-        return let(F.sort_array(keyed(words, width, bits)), lambda s: let(pairs(s, bits), lambda p: picked(p, entries, picks, bits)))
-
     def of(words: Column) -> Column:
-        return F.when(F.size(words) <= 1 << (position - 1), by(words, position)).otherwise(by(words, WIDE))
+        return let(F.sort_array(keyed(words, width, POSITION)), lambda s: let(pairs(s, POSITION), lambda p: picked(p, entries, picks, POSITION)))
 
     return F.when(F.length(bare) == 0, zeros(entries)).otherwise(let(F.split(bare, SEPARATOR), of))
 
