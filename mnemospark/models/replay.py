@@ -19,18 +19,14 @@ from pyspark.sql import types as T
 
 from ..config import Settings
 from ..functions.folds import states
-from ..operators.splits import folds
 from . import ebisu, evaluate, onestep, recurrent
-from .learner import NEEDED, Learner
-from .learner import folds as stretches
+from .learner import NEEDED, Learner, folds
 
 PARAMETERS = "user_id long, fold long, partition long, w array<double>, text string, ms double"
 ASKED = ("fold", "pos", "review_th", "y", "delta_t", "i", "rmse_bins_lapse")
 ONE_STEP = "FSRS-6-one-step"
 #: Reviews of learners that are trained in lock-step; cards that are updated in lock-step.
 BLOCK, CARDS = 1 << 17, 2048
-#: After every review of a log that trains on all of it.
-END = (1 << 63) - 1
 
 
 def stabilities(m: recurrent.Recurrence, history: Column, w: list[Column], s_min: float) -> Column:
@@ -50,10 +46,15 @@ def stabilities(m: recurrent.Recurrence, history: Column, w: list[Column], s_min
     return states(history, F.struct(*[F.lit(0.0).alias(n) for n in fields]), "double", step, lambda state: state["x0"])
 
 
-def tested(rows: DataFrame, s: Settings) -> DataFrame:
-    """The evaluated reviews with the fold that tests them."""
-    found = folds(rows.filter("evaluable"), s.n_splits).filter("fold IS NOT NULL")
-    return found.withColumn("fold", F.lit(0).cast("long")) if whole(s) else found
+def placed(rows: DataFrame, s: Settings) -> DataFrame:
+    """Adds before (evaluated reviews of the learner before this one), size and first (of the folds), and
+    fold, which tests the review, null where none does. Learners with too few reviews are left out."""
+    user, counted = Window.partitionBy("user_id"), F.col("evaluable").cast("long")
+    before = F.coalesce(F.sum(counted).over(user.orderBy("review_th").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = rows.withColumns({"before": before, "n": F.sum(counted).over(user)}).filter(F.col("n") >= evaluate.LEAST)
+    found = found.withColumn("size", F.expr(f"nullif(n div {s.n_splits + 1}, 0)")).withColumn("first", F.col("n") - s.n_splits * F.col("size"))
+    fold = F.lit(0).cast("long") if whole(s) else F.expr("(before - first) div size")
+    return found.withColumn("fold", F.when(F.col("evaluable") & (F.col("before") >= F.col("first")), fold))
 
 
 def tasks_of(rows: DataFrame) -> int:
@@ -67,10 +68,22 @@ def whole(s: Settings) -> bool:
     return s.algo == "FSRS-6" and s.train_equals_test and s.partitions == "none"
 
 
-def parameters(rows: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
+def training(found: DataFrame, s: Settings) -> DataFrame:
+    """The reviews before each fold's first one, as often as folds train on them.
+
+    The fold f begins at the evaluated review numbered first + f * size; others go with those
+    that they stand before.
+    """
+    if whole(s):
+        return found.select(*NEEDED, F.lit(0).cast("long").alias("fold"))
+    past = F.col("before") - F.col("first") + F.when(F.col("evaluable"), F.col("size")).otherwise(F.col("size") - 1)
+    earliest = F.greatest(F.floor(past / F.col("size")), F.lit(0))
+    used = found.withColumn("earliest", earliest).filter(F.col("earliest") < s.n_splits)
+    return used.select(*NEEDED, F.explode(F.sequence("earliest", F.lit(s.n_splits - 1).cast("long"))).alias("fold"))
+
+
+def parameters(found: DataFrame, s: Settings) -> DataFrame:
     """PARAMETERS trained on each fold's earlier reviews; partitions without evaluated ones have none."""
-    first = F.lit(END) if whole(s) else F.min("review_th")
-    starts = asked.groupBy("user_id", "fold").agg(first.alias("first_th"))
 
     def fit(key: tuple, reviews: pd.DataFrame) -> pd.DataFrame:
         began, x = time.perf_counter(), Learner.of(reviews)
@@ -82,8 +95,7 @@ def parameters(rows: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
         return pd.DataFrame([(*key, w, json.dumps(evaluate.rounded(w)), (time.perf_counter() - began) * 1000)], columns=names)
 
     keys = ("user_id", "fold", "partition")
-    before = rows.select(*NEEDED).join(starts, "user_id").filter("review_th < first_th").drop("first_th")
-    return before.repartition(tasks_of(rows), *keys).groupBy(*keys).applyInPandas(fit, PARAMETERS)
+    return training(found, s).repartition(tasks_of(found), *keys).groupBy(*keys).applyInPandas(fit, PARAMETERS)
 
 
 def one_step(rows: DataFrame, s: Settings) -> DataFrame:
@@ -98,7 +110,7 @@ def one_step(rows: DataFrame, s: Settings) -> DataFrame:
         began, start, keys, tasks = time.perf_counter(), m.weights(s.secs), [], []
         for log in logs:
             x = Learner.of(log)
-            for f, (end, _) in enumerate(stretches(len(x), s.n_splits) if len(x) >= evaluate.LEAST else []):
+            for f, (end, _) in enumerate(folds(len(x), s.n_splits) if len(x) >= evaluate.LEAST else []):
                 with np.errstate(all="ignore"):
                     first = evaluate.with_s0(recurrent.MODELS["FSRS-6"], x, np.arange(end), s, start, local=True)
                 keys.append((int(log["user_id"].iloc[0]), f, 0))
@@ -129,11 +141,17 @@ def as_text(weights: list[float]) -> str:
     return json.dumps(evaluate.rounded({"0": weights}))
 
 
-def tests_of(rows: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
-    """A row for each tested card (and further keys): the card's history, and what is asked of it."""
-    cards = rows.groupBy("user_id", "card_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rating", "delta_t"))).alias("history"), F.max("partition").alias("partition"))
-    tests = asked.groupBy("user_id", "card_id", *keys).agg(F.collect_list(F.struct(*[c for c in ASKED if c not in keys])).alias("asked"), F.max("pos").cast("int").alias("longest"))
-    return tests.join(cards, ["user_id", "card_id"])
+def tests_of(found: DataFrame, by_fold: bool = False) -> DataFrame:
+    """A row for each tested card (and fold): the card's history, and what is asked of it."""
+    asked = F.col("fold").isNotNull()
+    tests = found.groupBy("user_id", "card_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "rating", "delta_t"))).alias("history"), F.max("partition").alias("partition"),
+        F.collect_list(F.when(asked, F.struct(*ASKED))).alias("asked"), F.max(F.when(asked, F.col("pos"))).cast("int").alias("longest"),
+    ).filter("longest IS NOT NULL")
+    if not by_fold:
+        return tests
+    tests = tests.withColumn("fold", F.explode(F.array_distinct(F.transform("asked", lambda x: x["fold"]))))
+    return tests.withColumn("asked", F.filter("asked", lambda x: x["fold"] == F.col("fold"))).withColumn("longest", F.array_max(F.transform("asked", lambda x: x["pos"])).cast("int"))
 
 
 def bayesian(rows: DataFrame, s: Settings) -> DataFrame:
@@ -160,7 +178,7 @@ def bayesian(rows: DataFrame, s: Settings) -> DataFrame:
                     out[k] = ebisu.recall(models[row, at], np.maximum(t, 0.001))
             yield b[["user_id", "card_id", "asked"]].assign(told=out)
 
-    tests = tests_of(rows, tested(rows, s)).select("user_id", "card_id", "history", "asked", "longest")
+    tests = tests_of(placed(rows, s)).select("user_id", "card_id", "history", "asked", "longest")
     spread = tests.repartition(tasks_of(rows), "user_id", "card_id")
     schema = tests.select("user_id", "card_id", "asked").schema.add("told", T.ArrayType(T.DoubleType()))
     told = spread.mapInPandas(recalls, schema).select("user_id", "card_id", F.explode(F.arrays_zip("asked", "told")).alias("x"))
@@ -174,9 +192,9 @@ def predictions(rows: DataFrame, s: Settings) -> DataFrame:
     history has probability 0.
     """
     m = recurrent.MODELS["FSRS-6" if s.algo == ONE_STEP else s.algo]
-    asked, start = tested(rows, s), m.weights(s.secs).tolist()
+    found, start = placed(rows, s), m.weights(s.secs).tolist()
     extra, plain = ["parameters"], s.default and (s.partitions == "none" or s.algo == ONE_STEP)
-    tests = tests_of(rows, asked) if plain else tests_of(rows, asked, "fold")  # weights differ by fold
+    tests = tests_of(found, by_fold=not plain)  # weights differ by fold
     if plain:
         w = [F.lit(float(x)) for x in start]
         tests = tests.withColumn("parameters", F.lit(as_text(start)))
@@ -185,14 +203,14 @@ def predictions(rows: DataFrame, s: Settings) -> DataFrame:
         so_far = Window.partitionBy("user_id").orderBy("fold").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         part = F.concat(F.lit('"'), F.col("partition").cast("string"), F.lit('": '), F.col("text"))
         every = F.transform(F.array_sort(F.collect_list(F.struct("partition", part.alias("text"))).over(fold)), lambda x: x["text"])
-        found = (one_step(rows, s) if s.algo == ONE_STEP else parameters(rows, asked, s)).withColumns({"parameters": F.concat(F.lit("{"), F.array_join(every, ", "), F.lit("}")), "time_ms": F.sum("ms").over(so_far)})
-        found = found.drop("partition") if s.algo == ONE_STEP else found  # one training a fold, whatever the partitions
+        trained = (one_step(rows, s) if s.algo == ONE_STEP else parameters(found, s)).withColumns({"parameters": F.concat(F.lit("{"), F.array_join(every, ", "), F.lit("}")), "time_ms": F.sum("ms").over(so_far)})
+        trained = trained.drop("partition") if s.algo == ONE_STEP else trained  # one training a fold, whatever the partitions
         keys = ["user_id", "fold"] if s.algo == ONE_STEP else ["user_id", "fold", "partition"]
-        tests = tests.join(found.drop("text", "ms"), keys, "left")
+        tests = tests.join(trained.drop("text", "ms"), keys, "left")
         tests = tests.withColumn("w", F.coalesce("w", F.array(*[F.lit(float(x)) for x in start])))
         w, extra = [F.col("w")[k] for k in range(len(start))], [*extra, "time_ms", "w"]
     after = stabilities(m, F.slice("history", F.lit(1), F.col("longest")), w, s.s_min)
-    told = tests.withColumn("after", after).select("user_id", "card_id", *([] if plain else ["fold"]), "after", *extra, F.explode("asked").alias("a"))
-    told = told.select("user_id", "card_id", *([] if plain else ["fold"]), *extra, "a.*", F.get("after", F.col("a.pos").cast("int") - 1).alias("stability"))
+    told = tests.withColumn("after", after).select("user_id", "card_id", "after", *extra, F.explode("asked").alias("a"))
+    told = told.select("user_id", "card_id", *extra, "a.*", F.get("after", F.col("a.pos").cast("int") - 1).alias("stability"))
     p = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(m.curve(F.col("delta_t"), F.col("stability"), w))
     return told.withColumn("p", p).select("user_id", "card_id", "review_th", "y", "delta_t", "i", "rmse_bins_lapse", "fold", "p", *[c for c in extra if c != "w"])
