@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import time
 
 import duckdb
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from mnemospark.__main__ import settings
 from mnemospark.config import Settings
 from mnemospark.functions.metrics import auc, metrics
+from mnemospark.models import replay
+from mnemospark.models.learner import NEEDED, folds
 from mnemospark.operators import history, splits
 from mnemospark.operators.features import features, outlier_cells
 from mnemospark.plans import evaluation
@@ -256,6 +259,27 @@ def test_one_learner_over_many_tasks(spark):
     assert len(spread) > 1 and max(r["count"] for r in spread) < 300_000
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_training_reviews_of_each_fold(spark, seed):
+    """Evaluated and other reviews in any order: a fold trains on all that stand before its first tested one."""
+    rng = random.Random(seed)
+    logs = {u: [(u, k // 5, 10 * k + rng.randrange(9), 3, 1, 1.0, 1, k % 5, 2, 0, 3, rng.random() < 0.7, k // 5 % 2) for k in range(n)] for u, n in enumerate((3, 9, 40, 61))}
+    rows = [r for log in logs.values() for r in log]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'double' if c == 'delta_t' else 'boolean' if c == 'evaluable' else 'long'}" for c in NEEDED)).repartition(3)
+    found = replay.placed(df, Settings(algo="FSRSv3"))
+    expected_tests, expected_training = set(), set()
+    for u, log in logs.items():
+        order = sorted(r[2] for r in log if r[11])
+        if len(order) < 6:
+            continue
+        for f, (start, end) in enumerate(folds(len(order), 5)):
+            expected_tests |= {(u, f, th) for th in order[start:end]}
+            expected_training |= {(u, f, r[2]) for r in log if r[2] < order[start]}
+    assert {tuple(r) for r in found.filter("fold IS NOT NULL").select("user_id", "fold", "review_th").collect()} == expected_tests
+    got = [tuple(r) for r in replay.training(found, Settings(algo="FSRSv3")).select("user_id", "fold", "review_th").collect()]
+    assert set(got) == expected_training and len(got) == len(expected_training)
+
+
 def test_command_line_accepts_flags_without_effect(capsys):
     args, s = settings(["--data", "x", "--processes", "4", "--algo", "FSRS-6", "--short", "--plot"])
     assert s.algo == "FSRS-6" and s.short and "--processes has no effect" in capsys.readouterr().err
