@@ -1,8 +1,8 @@
-"""Forward-mode differentiation on vectors: one code path for values, gradients and Spark columns.
+"""Differentiation on vectors: one code path for values, gradients and Spark columns.
 
 A Dual holds values (rows,) and derivatives (rows, parameters). The functions below take Duals,
-plain arrays or Spark columns, so a model's recurrence is written once: training runs it on
-Duals, a plan holds it as native expressions.
+Vars, plain arrays or Spark columns, so a model's recurrence is written once: training runs it on
+Duals or Vars, a plan holds it as native expressions.
 """
 
 from __future__ import annotations
@@ -69,11 +69,13 @@ def _spread(g, o):
 
 
 def value(x):
-    return x.v if isinstance(x, Dual) else x
+    return x.v if isinstance(x, (Dual, Var)) else x
 
 
 def chain(x, v, slope):
     """v with the derivatives of x times slope, if x has any."""
+    if isinstance(x, Var):
+        return Var(v, x.tape, (x, slope, None))
     return Dual(v, _by(x.g, slope)) if isinstance(x, Dual) else v
 
 
@@ -87,6 +89,8 @@ def column(x) -> Column:
 
 def full(x, like):
     """A scalar for each element of like."""
+    if isinstance(x, Var):
+        return x
     return column(x) if is_column(like) else x + np.zeros(len(like))
 
 
@@ -101,17 +105,21 @@ def log(x):
     if is_column(x):
         return F.ln(x)
     v = value(x)
-    return chain(x, np.log(v), 1 / v) if isinstance(x, Dual) else np.log(v)
+    return chain(x, np.log(v), 1 / v) if isinstance(x, (Dual, Var)) else np.log(v)
 
 
 def power(x, y):
     """x ** y for a positive x."""
     if is_column(x, y):
         return F.pow(column(x), column(y))
-    if not isinstance(x, Dual) and not isinstance(y, Dual):
+    if not isinstance(x, (Dual, Var)) and not isinstance(y, (Dual, Var)):
         return np.power(x, y)
     a, b = value(x), value(y)
     v = np.power(a, b)
+    if isinstance(x, Var) or isinstance(y, Var):
+        of = [(x, b * (v / a), None)] if isinstance(x, Var) else []
+        of += [(y, v * np.log(a), None)] if isinstance(y, Var) else []
+        return Var(v, of[0][0].tape, *of)
     g = 0.0
     if isinstance(x, Dual):
         g = g + _by(x.g, b * np.power(a, b - 1))
@@ -123,6 +131,10 @@ def power(x, y):
 def where(mask, a, b):
     if is_column(mask):
         return F.when(mask, column(a)).otherwise(column(b))
+    if isinstance(a, Var) or isinstance(b, Var):
+        of = [(a, mask, None)] if isinstance(a, Var) else []
+        of += [(b, ~mask, None)] if isinstance(b, Var) else []
+        return Var(np.where(mask, value(a), value(b)), of[0][0].tape, *of)
     if not isinstance(a, Dual) and not isinstance(b, Dual):
         return np.where(mask, a, b)
     n = next(x.g.shape[-1] for x in (a, b) if isinstance(x, Dual))
@@ -135,8 +147,10 @@ def clip(x, low=-np.inf, high=np.inf):
     if is_column(x):
         x = x if low == -math.inf else F.greatest(x, F.lit(float(low)))
         return x if high == math.inf else F.least(x, F.lit(float(high)))
-    if not isinstance(x, Dual):
+    if not isinstance(x, (Dual, Var)):
         return np.clip(x, low, high)
+    if isinstance(x, Var):
+        return Var(np.clip(x.v, low, high), x.tape, (x, (x.v >= low) & (x.v <= high) | np.isnan(x.v), None))
     inside = (x.v >= low) & (x.v <= high) | np.isnan(x.v)
     return Dual(np.clip(x.v, low, high), _by(x.g, np.asarray(inside, float)))
 
@@ -187,3 +201,97 @@ def total(m):
 def at(m, rows: np.ndarray, columns_: np.ndarray):
     """Single elements."""
     return Dual(m.v[rows, columns_], m.g[rows, columns_]) if isinstance(m, Dual) else m[rows, columns_]
+
+
+# --- reverse mode: values (rows,) whose operations are noted on a tape ------------------------------
+
+
+class Var:
+    """Values v (rows,) noted on a tape, so that one walk back gives the slopes of all weights.
+
+    of: (operand, slope or None for 1, rows of the operand or None for all). For many weights it
+    costs a few times the values alone, where a Dual costs as much as all weights together.
+    """
+
+    __slots__ = ("v", "g", "of", "tape", "own")
+    __array_ufunc__ = None
+
+    def __init__(self, v, tape: list, *of):
+        self.v, self.g, self.of, self.tape, self.own = v, None, of, tape, False
+        tape.append(self)
+
+    def __len__(self):
+        return len(self.v)
+
+    def __add__(self, o):
+        if isinstance(o, Var):
+            return Var(self.v + o.v, self.tape, (self, None, None), (o, None, None))
+        return Var(self.v + o, self.tape, (self, None, None))
+
+    __radd__ = __add__
+
+    def __neg__(self):
+        return Var(-self.v, self.tape, (self, -1.0, None))
+
+    def __sub__(self, o):
+        if isinstance(o, Var):
+            return Var(self.v - o.v, self.tape, (self, None, None), (o, -1.0, None))
+        return Var(self.v - o, self.tape, (self, None, None))
+
+    def __rsub__(self, o):
+        return Var(o - self.v, self.tape, (self, -1.0, None))
+
+    def __mul__(self, o):
+        if isinstance(o, Var):
+            return Var(self.v * o.v, self.tape, (self, o.v, None), (o, self.v, None))
+        return Var(self.v * o, self.tape, (self, o, None))
+
+    __rmul__ = __mul__
+
+    def __truediv__(self, o):
+        if isinstance(o, Var):
+            v = self.v / o.v
+            return Var(v, self.tape, (self, 1 / o.v, None), (o, -v / o.v, None))
+        return Var(self.v / o, self.tape, (self, 1 / o, None))
+
+    def __rtruediv__(self, o):
+        v = o / self.v
+        return Var(v, self.tape, (self, -v / self.v, None))
+
+
+def take(x, rows):
+    """Some of the rows, none of them twice."""
+    return Var(x.v[rows], x.tape, (x, None, rows)) if isinstance(x, Var) else x[rows]
+
+
+class Taken:
+    """Weights by row, of which some rows are taken when a weight is asked for."""
+
+    def __init__(self, w: list, rows):
+        self.w, self.rows, self.known = w, rows, {}
+
+    def __getitem__(self, k: int):
+        if k not in self.known:
+            self.known[k] = take(self.w[k], self.rows)
+        return self.known[k]
+
+
+def walk_back(tape: list[Var], strict: bool = False) -> None:
+    """Adds to g of all operands what g of the results asks for; strict, a zero stays one under any slope."""
+    for x in reversed(tape):
+        if x.g is None:
+            continue
+        for operand, slope, rows in x.of:
+            g = x.g if slope is None else x.g * slope
+            if strict:
+                g = np.where(x.g == 0, 0.0, g)
+            if rows is not None:
+                if operand.g is None:
+                    operand.g, operand.own = np.zeros(len(operand.v)), True
+                elif not operand.own:
+                    operand.g, operand.own = operand.g.copy(), True
+                operand.g[rows] += g
+            elif operand.g is None:
+                operand.g = g
+            else:
+                operand.g, operand.own = operand.g + g, True

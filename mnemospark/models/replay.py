@@ -1,7 +1,7 @@
 """Recurrent models as plans: training in groups of (learner, fold, partition), told by joins.
 
-Training is the only Python: each group fits one set of weights, so folds and partitions of a
-learner are tasks of their own, and gives one row of a table of parameters. A tested card joins
+Training is the only Python: folds and partitions of a learner are trainings of their own, which a
+task runs side by side, and each gives one row of a table of parameters. A tested card joins
 the row of its learner, fold and partition, or takes the default weights, and replays its history
 natively: one array a card and fold, one expression for the model's step.
 """
@@ -13,20 +13,21 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Settings
 from ..functions.folds import states
-from . import ebisu, evaluate, onestep, recurrent
+from . import ebisu, evaluate, lockstep, onestep, recurrent
 from .learner import NEEDED, Learner, folds
 
 PARAMETERS = "user_id long, fold long, partition long, w array<double>, text string, ms double"
 ASKED = ("fold", "pos", "review_th", "y", "delta_t", "i", "rmse_bins_lapse")
 ONE_STEP = "FSRS-6-one-step"
-#: Reviews of learners that are trained in lock-step; cards that are updated in lock-step.
-BLOCK, CARDS = 1 << 17, 2048
+#: Reviews of learners that are trained online in lock-step; reviews of trainings; cards that are updated in lock-step.
+BLOCK, TRAINED, CARDS = 1 << 17, 1 << 16, 2048
 
 
 def stabilities(m: recurrent.Recurrence, history: Column, w: list[Column], s_min: float) -> Column:
@@ -82,20 +83,51 @@ def training(found: DataFrame, s: Settings) -> DataFrame:
     return used.select(*NEEDED, F.explode(F.sequence("earliest", F.lit(s.n_splits - 1).cast("long"))).alias("fold"))
 
 
-def parameters(found: DataFrame, s: Settings) -> DataFrame:
-    """PARAMETERS trained on each fold's earlier reviews; partitions without evaluated ones have none."""
-
-    def fit(key: tuple, reviews: pd.DataFrame) -> pd.DataFrame:
-        began, x = time.perf_counter(), Learner.of(reviews)
-        names = [c.split()[0] for c in PARAMETERS.split(", ")]
-        if not len(x):
-            return pd.DataFrame(columns=names)
-        with np.errstate(all="ignore"):
-            w = evaluate.recurrent_weights(recurrent.MODELS[s.algo], x, np.arange(len(x)), s).tolist()
-        return pd.DataFrame([(*key, w, json.dumps(evaluate.rounded(w)), (time.perf_counter() - began) * 1000)], columns=names)
+def parameters(found: DataFrame, s: Settings, most: int = TRAINED) -> DataFrame:
+    """PARAMETERS trained on each fold's earlier reviews; partitions without evaluated ones have none.
 
+    A task reads its trainings in order and runs them in lock-step, in blocks of about most
+    reviews. The time is a training's share of its block's.
+    """
     keys = ("user_id", "fold", "partition")
-    return training(found, s).repartition(tasks_of(found), *keys).groupBy(*keys).applyInPandas(fit, PARAMETERS)
+    names = [c.split()[0] for c in PARAMETERS.split(", ")]
+    columns = ("review_th", "rating", "delta_t", "pos", "i", "evaluable")
+
+    def block(ids: list[np.ndarray], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        began, parts = time.perf_counter(), [np.concatenate(x) for x in parts]
+        heads = np.flatnonzero(np.append(True, (np.stack(ids)[:, 1:] != np.stack(ids)[:, :-1]).any(0)))
+        sizes = np.diff(np.append(heads, len(ids[0])))
+        with np.errstate(all="ignore"):
+            w = lockstep.recurrent_weights(recurrent.MODELS[s.algo], np.repeat(np.arange(len(heads)), sizes), *parts, len(heads), s)
+        some = np.add.reduceat(parts[-1].astype(np.int64), heads) > 0
+        told, ms = w[some].tolist(), (time.perf_counter() - began) * 1000 / len(heads)
+        texts = [json.dumps(evaluate.rounded(x)) for x in told]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[heads][some]) for x in ids), pa.array(told, pa.list_(pa.float64())), pa.array(texts, pa.string()), pa.array([ms] * len(told), pa.float64())], names)
+
+    def fit(batches):
+        held, size = [[] for _ in range(len(keys) + len(columns))], 0
+        for b in batches:
+            new = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            if not len(new[0]):
+                continue
+            cut = 0
+            if size + len(new[0]) >= most:  # the last training may go on
+                same = np.all([x == x[-1] for x in new[:3]], 0)
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if size and (cut or any(x[-1][-1] != y[0] for x, y in zip(held[:3], new[:3], strict=True))):
+                    done = [[*x, y[:cut]] for x, y in zip(held, new, strict=True)]
+                    held, size = [[] for _ in held], 0
+                    yield block([np.concatenate(x) for x in done[:3]], done[3:])
+                    new = [x[cut:] for x in new]
+            for x, y in zip(held, new, strict=True):
+                x.append(y)
+            size += len(new[0])
+        if size:
+            yield block([np.concatenate(x) for x in held[:3]], held[3:])
+
+    log = training(found, s).select(*keys, "review_th", F.col("rating").cast("byte"), "delta_t", F.col("pos").cast("short"), F.col("i").cast("short"), "evaluable", "card_id")
+    dealt = log.repartition(tasks_of(found), *keys).sortWithinPartitions(*keys, "card_id", "pos")
+    return dealt.drop("card_id").mapInArrow(fit, PARAMETERS)
 
 
 def one_step(rows: DataFrame, s: Settings) -> DataFrame:

@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from mnemospark.config import Settings
-from mnemospark.models import counts, evaluate, onestep, recurrent, regression, training
+from mnemospark.models import counts, evaluate, lockstep, onestep, recurrent, regression, replay, training
+from mnemospark.models.learner import Learner
 from tests.test_models import learner
 
 SECS = Settings(algo="FSRS-6", secs=True, short=True, recency=True)
@@ -305,3 +307,53 @@ def test_first_stabilities_by_grid(secs):
             floors[b if seen[a] > seen[b] else a] = floors[a if seen[a] > seen[b] else b]
     got = evaluate.with_s0(m, x, np.arange(len(x)), Settings(algo="FSRS-6", secs=secs, short=True), start)
     np.testing.assert_allclose(got[:4], [floors[k] for k in (1, 2, 3, 4)], rtol=2e-3)
+
+
+def bare(x, some):
+    """x with an interval before the first review of some cards, so that it is tested without a history."""
+    reviews = reviews_of(x)
+    return reviews.assign(delta_t=np.where((reviews["pos"] == 0) & reviews["card_id"].isin(some), 2.0, reviews["delta_t"])).assign(evaluable=lambda r: r["delta_t"] > 0)
+
+
+def reviews_of(x):
+    """All reviews of a learner, sorted by card and pos."""
+    rows = [(c, p, x.ratings[c, p], x.delta[c, p]) for c in range(len(x.ratings)) for p in range(x.ratings.shape[1])]
+    out = pd.DataFrame(rows, columns=["card_id", "pos", "rating", "delta_t"])
+    days = out["delta_t"].astype(int)
+    out = out.assign(user_id=7, partition=0, y=(out["rating"] > 1).astype(int), elapsed_days=days, rmse_bins_lapse=0, evaluable=out["delta_t"] > 0)
+    out["i"] = (days > 0).groupby(out["card_id"]).cumsum() + 1
+    out["first_rating"] = out.groupby("card_id")["rating"].transform("first")
+    out["review_th"] = (np.arange(len(out)) * 7919) % 100003
+    return out
+
+
+@pytest.mark.parametrize("algo", list(recurrent.MODELS))
+@pytest.mark.parametrize("secs", [True, False])
+def test_trainings_together_are_trainings_apart(algo, secs):
+    """One batch and several, rows without a history, and a learner without rows to train on."""
+    s, m = Settings(algo=algo, secs=secs, short=True, recency=True), recurrent.MODELS[algo]
+    logs = [reviews_of(learner(6, 12, 1)), bare(learner(6, 8, 2), [0, 3]), reviews_of(learner(60, 14, 3)), reviews_of(learner(2, 2, 4)), bare(learner(512, 3, 5), range(512))]
+    with np.errstate(all="ignore"):
+        apart = [evaluate.recurrent_weights(m, x, np.arange(len(x)), s) for x in (Learner.of(f) for f in logs)]
+        every = pd.concat([f.assign(of=k) for k, f in enumerate(logs)])
+        columns = [every[c].to_numpy() for c in ("of", "review_th", "rating", "delta_t", "pos", "i", "evaluable")]
+        together = lockstep.recurrent_weights(m, *columns, len(logs), s)
+    np.testing.assert_allclose(together, apart, rtol=2e-6, atol=1e-7)
+
+
+def test_trainings_cut_into_blocks(spark, monkeypatch):
+    """Blocks end between trainings, wherever batches do; a training longer than a block is one still."""
+    logs = [reviews_of(learner(5, n, n)).assign(user_id=n) for n in (4, 9, 30, 6, 7)]
+    s = Settings(algo="FSRSv3", secs=True, short=True)
+    rows = spark.createDataFrame(pd.concat(logs)).selectExpr("*", "cast(0 as long) as fold")
+    monkeypatch.setattr(replay, "training", lambda found, s: found)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["user_id"]: r["w"] for r in replay.parameters(rows, s, 20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == [4, 6, 7, 9, 30]
+    for f in logs:
+        x = Learner.of(f)
+        with np.errstate(all="ignore"):
+            np.testing.assert_allclose(got[f["user_id"].iloc[0]], evaluate.recurrent_weights(recurrent.MODELS["FSRSv3"], x, np.arange(len(x)), s), atol=1e-9)
