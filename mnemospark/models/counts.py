@@ -60,8 +60,11 @@ def dash(f, w):
 
 
 def dash_actr_features(x: Learner, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Reviews more than a tenth of a day old, ages, passed ones. An age is a difference of times on the
+    card, as in the query's SQL: a sum of intervals can lie on the other side of the tenth."""
     ratings, _, lengths = x.history(at)
-    age = since(x.later_delta(at))
+    time = np.cumsum(x.delta, 1)[x.card[at]]
+    age = time[np.arange(len(at)), lengths][:, None] - time[:, : ratings.shape[1]]
     return (np.arange(ratings.shape[1]) < lengths[:, None]) & (age > 0.1), age, ratings > 1
 
 

@@ -283,3 +283,21 @@ def test_training_reviews_of_each_fold(spark, seed):
 def test_command_line_accepts_flags_without_effect(capsys):
     args, s = settings(["--data", "x", "--processes", "4", "--algo", "FSRS-6", "--short", "--plot"])
     assert s.algo == "FSRS-6" and s.short and "--processes has no effect" in capsys.readouterr().err
+
+
+def test_ages_of_just_a_tenth_of_a_day(spark, tmp_path):
+    """An age is a difference of times, as in the SQL, also where a sum of intervals gives just 0.1."""
+    rng, rows = random.Random(3), []
+    for user in range(40):
+        second = 0
+        for n in range(14):
+            second += 8640 if rng.random() < 0.4 else rng.randrange(60, 40000)
+            rows.append((user * 100 + n, second, user, rng.choice(["error", "view", "click", "purchase"]), '{"k": 5}'))
+    events = spark.createDataFrame(rows, "event_id long, second long, user_id long, event_type string, props string")
+    events.withColumn("ts", F.timestamp_seconds("second").cast("timestamp_ntz")).drop("second").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    expected = {r[:3]: r[3:] for r in con.sql(f"SELECT user_id, card_id, review_th, fold, p FROM ({q.ORACLE_SQL['dash_actr_default']})").fetchall()}
+    got = {r[:3]: r[3:] for r in map(tuple, q.QUERIES["dash_actr_default"](spark, str(tmp_path)).select("user_id", "card_id", "review_th", "fold", "p").collect())}
+    assert got.keys() == expected.keys()
+    assert [k for k in got if any(not same(a, b) for a, b in zip(got[k], expected[k], strict=True))] == []
