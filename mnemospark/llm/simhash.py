@@ -26,6 +26,8 @@ HOT_SHARE = 1000
 REACH, REACH_2, BLOCKS, AT_ONCE = 12, 16, 6, 5
 #: Strangers that a bucket of variants may hold in the mean; fingerprints in a bucket of which only the leaders are kept between batches.
 STRANGERS, LONG_RUN = 8, 1 << 16
+#: Blocks that make a bucket's key.
+TOGETHER = 3
 #: Seed of the second fingerprint; pairs of one text that are compared in one task.
 SECOND, MEMBERS = 43, 256
 
@@ -123,7 +125,8 @@ def strangers(texts: int, together: int) -> float:
 
 
 def blocks_for(texts: int) -> int:
-    """How many blocks make a bucket's key: three, or four where three would fill buckets with strangers."""
+    """How many blocks a caller may choose for so many texts: three, or four where three would fill buckets
+    with strangers. Nothing here chooses by the size of an input, as four find fewer pairs."""
     return next((k for k in (3, 4) if strangers(texts, k) <= STRANGERS), 4)
 
 
@@ -181,17 +184,17 @@ def buckets(batches):
         held = [v[last], fp[last], led[last] if last.sum() > 1 else np.zeros(last.sum(), bool)]
 
 
-def far_links(fps: DataFrame) -> DataFrame:
+def far_links(fps: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(a, b): fingerprints of at most REACH differing bits that share a bucket, by leaders of the buckets.
 
-    Every choice of blocks emits its variants of one flipped bit, so fingerprints with at most
-    two differing bits in it meet: all with up to five, most with up to eight. Keys lengthen with
-    the number of fingerprints, so that a bucket holds few strangers, and strangers hide no pair.
-    Sorted variants are read as a stream; a group of near copies has few leaders, so links grow
+    Every choice of so many blocks emits its variants of one flipped bit, so fingerprints with at
+    most two differing bits in it meet: with three blocks all with up to five, most with up to eight.
+    Longer keys have fewer strangers in a bucket and find fewer pairs, so the input's size doesn't
+    choose them; strangers hide no pair. Sorted variants are read as a stream; a group of near copies has few leaders, so links grow
     with the rows. fps has distinct fp.
     """
     spark, n = fps.sparkSession, common.partitions(fps.sparkSession)
-    out, halves = [], block_masks(blocks_for(fps.count()))
+    out, halves = [], block_masks(together)
     for k in range(0, len(halves), AT_ONCE):  # the files of one shuffle go before the next
         flips = [(signed(h), signed(1 << b if b < BITS else 0)) for h in halves[k : k + AT_ONCE] for b in (*(b for b in range(BITS) if h >> b & 1), BITS)]
         each = F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("half"), F.lit(m).cast("long").alias("flip")) for h, m in flips])).alias("x")
