@@ -59,29 +59,43 @@ def dash(f, w):
     return sigmoid(z)
 
 
-def dash_actr_features(x: Learner, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Reviews more than a tenth of a day old, ages, passed ones. An age is a difference of times on the
+@dataclass(frozen=True)
+class Ages:
+    """Reviews that n rows look back on: the row of each, ascending, its age, whether it was passed."""
+
+    n: int
+    row: np.ndarray
+    age: np.ndarray
+    passed: np.ndarray
+
+    def __getitem__(self, rows) -> Ages:
+        count = np.bincount(self.row, minlength=self.n)
+        begin, size = (np.cumsum(count) - count)[rows], count[rows]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return Ages(len(size), np.repeat(np.arange(len(size)), size), self.age[at], self.passed[at])
+
+
+def dash_actr_features(x: Learner, at: np.ndarray) -> tuple[Ages]:
+    """Reviews more than a tenth of a day old. An age is a difference of times on the
     card, as in the query's SQL: a sum of intervals can lie on the other side of the tenth."""
     ratings, _, lengths = x.history(at)
     time = np.cumsum(x.delta, 1)[x.card[at]]
     age = time[np.arange(len(at)), lengths][:, None] - time[:, : ratings.shape[1]]
-    return (np.arange(ratings.shape[1]) < lengths[:, None]) & (age > 0.1), age, ratings > 1
+    row, k = np.nonzero((np.arange(ratings.shape[1]) < lengths[:, None]) & (age > 0.1))
+    return (Ages(len(at), row, age[row, k], ratings[row, k] > 1),)
 
 
 def dash_actr(f, w):
-    used, age, passed = f
-    total = np.zeros(len(used))
-    for k in range(used.shape[1]):
-        n = len(used)
-        t = np.where(used[:, k], age[:, k], 1.0)
-        strength = nm.where(passed[:, k], w[3] + np.zeros(n), w[2] + np.zeros(n))
-        total = total + nm.where(used[:, k], nm.power(t, -w[1]) * strength, np.zeros(n))
+    (a,) = f
+    strength = nm.where(a.passed, nm.spread(w[3], a.row), nm.spread(w[2], a.row))
+    total = nm.summed(nm.power(a.age, nm.spread(-w[1], a.row)) * strength, a.row, a.n)
     return sigmoid(w[0] * nm.log(nm.clip(total, 0.0) + 1.0) + w[4])
 
 
 @dataclass(frozen=True)
 class Activations:
-    """Rows of cards: time (cards, reviews) of each card's reviews, card and length of each row.
+    """Rows of cards: time (cards, reviews) of each card's reviews; by row its card in time, its length
+    and the number of its card, which is another one for each training.
 
     All rows of a card share one triangle of activations, whatever their number.
     """
@@ -89,36 +103,62 @@ class Activations:
     time: np.ndarray
     card: np.ndarray
     length: np.ndarray
+    own: np.ndarray
 
     def __getitem__(self, rows) -> Activations:
-        """The rows given, with their cards up to the longest row."""
-        length = self.length[rows]
-        cards, card = np.unique(self.card[rows], return_inverse=True)
-        return Activations(self.time[cards, : int(length.max(initial=0)) + 1], card, length)
+        return Activations(self.time, self.card[rows], self.length[rows], self.own[rows])
+
+    def apart(self, of: np.ndarray) -> Activations:
+        """The rows with cards of their own for each training of."""
+        return Activations(self.time, self.card, self.length, of * len(self.time) + self.card)
 
 
 def actr_features(x: Learner, at: np.ndarray) -> tuple[Activations]:
     """The times of the cards' reviews up to and with the rows' own."""
-    return (Activations(np.cumsum(x.delta, 1), x.card[at], x.column("pos")[at])[np.arange(len(at))],)
+    return (Activations(np.cumsum(x.delta, 1), x.card[at], x.column("pos")[at], x.card[at]),)
 
 
 def actr(f, w):
     """Activation after each review sums what is left of the earlier ones, whose decay grows
-    with their own activation. One pass a card: review i adds one row of its triangle."""
+    with their own activation. One pass a card, longest cards first: review i adds one row of its triangle."""
     (a,) = f
-    cards, n = a.time.shape
-    exponents = nm.columns(-w[0] + np.zeros(cards), n)
-    logs = nm.columns(w[0] * 0.0 + np.zeros(cards), n)
-    for i in range(1, n):
-        seconds = (a.time[:, i : i + 1] - a.time[:, :i]) * 86400.0
-        held = nm.clip(w[4] * seconds, 1.0)
-        total = nm.total(nm.power(held, nm.part(exponents, slice(None, i))))
-        nm.put(logs, i, nm.log(total))
-        nm.put(exponents, i, -(w[1] * total + w[0]))
-    last = nm.at(logs, a.card, a.length)
+    _, head, card = np.unique(a.own, return_index=True, return_inverse=True)
+    longest = np.zeros(len(head), np.int64)
+    np.maximum.at(longest, card, a.length)
+    order = np.argsort(-longest, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    head, card, longest = head[order], place[card], longest[order]
+    by = np.argsort(a.length, kind="stable")
+    most = int(longest[0]) if len(longest) else 0
+    ends = np.searchsorted(a.length[by], np.arange(most + 2))
+    w = [nm.take(x, head) for x in w]
+    exponents, told = [nm.full(-w[0], head)], [np.zeros(ends[1])]
+    for i in range(1, most + 1):
+        alive = int(np.searchsorted(-longest, -i, "right"))
+        rows, mine = np.repeat(np.arange(alive), i), slice(0, alive)
+        time = a.time[a.card[head[:alive]], : i + 1]
+        held = nm.clip(nm.spread(w[4], rows) * ((time[:, i:] - time[:, :i]) * 86400.0).ravel(), 1.0)
+        total = nm.summed(nm.power(held, nm.beside(exponents, alive)), rows, alive)
+        exponents.append(-(nm.take(w[1], mine) * total + nm.take(w[0], mine)))
+        told.append(nm.take(nm.log(total), card[by[ends[i] : ends[i + 1]]]))
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    last = nm.take(nm.joined(told), back)
+    w = [nm.spread(x, card) for x in w]
     return 1.0 / (nm.exp((w[3] - last) / w[2]) + 1.0)
 
 
+def some(f: tuple, rows: np.ndarray) -> tuple:
+    """The features of the rows given."""
+    return tuple(x[rows] for x in f)
+
+
+def apart(f: tuple, of: np.ndarray) -> tuple:
+    """Features of rows that belong to the trainings of."""
+    return tuple(x.apart(of) if isinstance(x, Activations) else x for x in f)
+
+
 @dataclass(frozen=True)
 class Counted:
     name: str

@@ -15,7 +15,7 @@ import numpy as np
 
 from ..config import Settings
 from . import numeric as nm
-from . import recurrent, training
+from . import counts, recurrent, regression, training
 from .training import BATCH, EPOCHS, LEARNING_RATE, Permutations, cross_entropy
 
 
@@ -26,6 +26,33 @@ def places(groups: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
 
 
+def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, length of them, one range after another."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def blocks(batches, keys: int, most: int):
+    """Columns (each a list of arrays) of about most rows, cut where one of the first keys columns changes."""
+    held, size = None, 0
+    for b in batches:
+        new = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+        if not len(new[0]):
+            continue
+        held = held or [[] for _ in new]
+        if size + len(new[0]) >= most:  # the last key may go on
+            same = np.all([x == x[-1] for x in new[:keys]], 0)
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if size and (cut or any(x[-1][-1] != y[0] for x, y in zip(held[:keys], new[:keys], strict=True))):
+                yield [[*x, y[:cut]] for x, y in zip(held, new, strict=True)]
+                held, size = [[] for _ in new], 0
+                new = [x[cut:] for x in new]
+        for x, y in zip(held, new, strict=True):
+            x.append(y)
+        size += len(new[0])
+    if size:
+        yield held
+
+
 @dataclass
 class Rows:
     """Rows to train on, sorted by training and history length; weights are start (trainings, weights).
@@ -77,7 +104,7 @@ def optimise(x: Rows) -> np.ndarray:
                 drawn = np.array([order[b][k] if b in order else 0 for b in active])
                 begin = first[active] + drawn * BATCH
                 length = np.minimum(n[active] - drawn * BATCH, BATCH)
-                rows = np.repeat(begin - np.append(0, np.cumsum(length))[:-1], length) + np.arange(int(length.sum()))
+                rows = ranges(begin, length)
                 _, gradient = x.slopes(rows, w)
                 share = (length / n[active])[:, None]
             g = gradient[active] + 2 * (w[active] - x.start[active]) * x.l2 * share
@@ -279,3 +306,53 @@ def recurrent_weights(m: recurrent.Recurrence, of, review_th, rating, delta, pos
         h = Histories(of, pos, rating, delta, at[rows])
         out[chosen] = optimise(recurrent_rows(m, h, y[rows], weight[rows], start, s.s_min))[chosen]
     return out
+
+
+def counted_weights(m: counts.Counted, f: tuple, at, of, pos, y, weight, count: int, s: Settings) -> np.ndarray:
+    """Weights (count, weights) of a model on counts: rows at of the features f, in order, train the training of."""
+    start = np.tile(m.weights(s.short), (count, 1))
+    keep = np.ones(len(at), bool) if m.long_rows else pos <= s.max_seq_len + m.slack
+    out, many = start.copy(), np.bincount(of[keep], minlength=count) > BATCH
+    for long in (False, True):
+        chosen = np.flatnonzero(keep & (many[of] == long))
+        if not len(chosen):
+            continue
+        chosen = chosen[np.lexsort((pos[chosen], of[chosen]))]
+        out[many == long] = optimise(counted_rows(m, f, at[chosen], of[chosen], y[chosen], weight[chosen], start))[many == long]
+    return out
+
+
+def counted_rows(m: counts.Counted, f: tuple, at, of, y, weight, start: np.ndarray) -> Rows:
+    mine = counts.apart(counts.some(f, at), of)
+
+    def told(rows, w):
+        return m.probability(counts.some(mine, rows), w[of[rows]].T)
+
+    def slopes(rows, w):
+        tape, by_row = [], w[of[rows]]
+        leaves = [nm.Var(np.ascontiguousarray(by_row[:, k]), tape) for k in range(w.shape[1])]
+        return gradient_of(tape, [m.probability(counts.some(mine, rows), leaves)], leaves, y[rows], weight[rows], of[rows], len(w))
+
+    size = start.shape[1]
+    return Rows(of, y, weight, start, lambda w: np.clip(w, m.low, m.high), told, slopes, np.zeros(size, bool), np.zeros(size))
+
+
+def regression_weights(x: regression.Terms, begin: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """regression.train of each training, whose rows are the n from begin on."""
+    out = np.tile(regression.MEAN, (len(n), 1))
+    for k in np.flatnonzero(n > regression.BATCH):
+        out[k] = regression.train(x.part(begin[k], n[k]), y[begin[k] : begin[k] + n[k]])
+    short = np.flatnonzero((n > 0) & (n <= regression.BATCH))
+    if not len(short):
+        return out
+    n = n[short]
+    of, at, first = np.repeat(np.arange(len(n)), n), ranges(begin[short], n), np.cumsum(n) - n
+    terms, y = x[at], y[at]
+    weight = 0.1 + 0.9 * (places(of) / np.maximum(n - 1.0, 1.0)[of]) ** 4
+    rest, adam = np.zeros((len(n), terms.shape[1])), training.Adam((len(n), terms.shape[1]), regression.BETAS)
+    for k in range(regression.EPOCHS):  # one batch an epoch, whatever its order
+        p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", terms, (rest * regression.STD + regression.MEAN)[of])))
+        g = np.add.reduceat(terms * (weight * (p - y))[:, None], first) * regression.STD
+        rest = rest - regression.rate(k, regression.EPOCHS) * (adam.direction(g) + regression.DECAY * rest)
+    out[short] = rest * regression.STD + regression.MEAN
+    return out

@@ -8,6 +8,7 @@ Duals or Vars, a plan holds it as native expressions.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
@@ -91,6 +92,8 @@ def full(x, like):
     """A scalar for each element of like."""
     if isinstance(x, Var):
         return x
+    if isinstance(x, Dual) and np.ndim(x.v) == 0:
+        return Dual(x.v + np.zeros(len(like)), np.broadcast_to(x.g, (len(like), x.g.shape[-1])))
     return column(x) if is_column(like) else x + np.zeros(len(like))
 
 
@@ -167,50 +170,14 @@ def minimum(a, b):
     return where(np.broadcast_to(value(a) <= value(b), np.broadcast(value(a), value(b)).shape), a, b)
 
 
-# --- matrices: values (rows, columns), derivatives (rows, columns, parameters) ---------------------
-
-
-def columns(first, n: int):
-    """A matrix of n columns of which the first is given, the others zero."""
-    if not isinstance(first, Dual):
-        out = np.zeros((len(first), n))
-        out[:, 0] = first
-        return out
-    g = np.zeros((len(first.v), n, first.g.shape[-1]))
-    g[:, 0] = first.g
-    return Dual(columns(first.v, n), g)
-
-
-def put(m, k: int, x) -> None:
-    """Sets column k."""
-    value(m)[:, k] = value(x)
-    if isinstance(m, Dual):
-        m.g[:, k] = x.g if isinstance(x, Dual) else 0.0
-
-
-def part(m, which: slice):
-    """Some of the columns."""
-    return Dual(m.v[:, which], m.g[:, which]) if isinstance(m, Dual) else m[:, which]
-
-
-def total(m):
-    """Sums of the rows."""
-    return Dual(m.v.sum(1), m.g.sum(1)) if isinstance(m, Dual) else m.sum(1)
-
-
-def at(m, rows: np.ndarray, columns_: np.ndarray):
-    """Single elements."""
-    return Dual(m.v[rows, columns_], m.g[rows, columns_]) if isinstance(m, Dual) else m[rows, columns_]
-
-
 # --- reverse mode: values (rows,) whose operations are noted on a tape ------------------------------
 
 
 class Var:
     """Values v (rows,) noted on a tape, so that one walk back gives the slopes of all weights.
 
-    of: (operand, slope or None for 1, rows of the operand or None for all). For many weights it
-    costs a few times the values alone, where a Dual costs as much as all weights together.
+    of: (operand, slope or None for 1, rows of the operand, None for all or what makes the operand's
+    slopes out of the result's). For many weights it costs a few times the values alone, where a Dual costs as much as all weights together.
     """
 
     __slots__ = ("v", "g", "of", "tape", "own")
@@ -260,8 +227,63 @@ class Var:
 
 
 def take(x, rows):
-    """Some of the rows, none of them twice."""
-    return Var(x.v[rows], x.tape, (x, None, rows)) if isinstance(x, Var) else x[rows]
+    """Some of the rows, none of them twice; a scalar stands for all rows."""
+    if isinstance(x, Dual):
+        return Dual(x.v[rows], x.g[rows]) if np.ndim(x.v) else x
+    if isinstance(x, Var):
+        return Var(x.v[rows], x.tape, (x, None, rows))
+    return x[rows] if np.ndim(x) else x
+
+
+def spread(x, rows: np.ndarray):
+    """The rows given, each as often as it is named; a scalar stands for all rows."""
+    if isinstance(x, Var):
+        n = len(x.v)
+        return Var(x.v[rows], x.tape, (x, None, lambda g: np.bincount(rows, g, n)))
+    return take(x, rows)
+
+
+def summed(x, rows: np.ndarray, n: int):
+    """Sums (n,) of elements by the rows that they belong to."""
+    if isinstance(x, Var):
+        return Var(np.bincount(rows, x.v, n), x.tape, (x, None, lambda g: g[rows]))
+    if isinstance(x, Dual):
+        g = np.broadcast_to(x.g, (len(rows), x.g.shape[-1]))
+        return Dual(np.bincount(rows, x.v, n), np.stack([np.bincount(rows, c, n) for c in g.T], 1))
+    return np.bincount(rows, x, n)
+
+
+def beside(xs: list, n: int):
+    """(n * columns,): the first n rows of each column, row by row."""
+    v, many = np.stack([value(x)[:n] for x in xs], 1).ravel(), len(xs)
+    if isinstance(xs[0], Dual):
+        return Dual(v, np.stack([x.g[:n] for x in xs], 1).reshape(len(v), -1))
+    if not isinstance(xs[0], Var):
+        return v
+
+    def own(k: int, size: int) -> Callable:
+        def back(g):
+            out = np.zeros(size)
+            out[:n] = g[k::many]
+            return out
+
+        return back
+
+    return Var(v, xs[0].tape, *[(x, None, own(k, len(x.v))) for k, x in enumerate(xs)])
+
+
+def joined(xs: list):
+    """Rows one after another."""
+    v = np.concatenate([value(x) for x in xs])
+    for kind in (Dual, Var):
+        some = [x for x in xs if isinstance(x, kind)]
+        if some and kind is Dual:
+            n = some[0].g.shape[-1]
+            return Dual(v, np.concatenate([x.g if isinstance(x, Dual) else np.zeros((len(x), n)) for x in xs]))
+        if some:
+            ends = np.cumsum([len(value(x)) for x in xs]).tolist()
+            return Var(v, some[0].tape, *[(x, None, lambda g, a=e - len(x.v), b=e: g[a:b]) for x, e in zip(xs, ends, strict=True) if isinstance(x, Var)])
+    return v
 
 
 class Taken:
@@ -285,6 +307,8 @@ def walk_back(tape: list[Var], strict: bool = False) -> None:
             g = x.g if slope is None else x.g * slope
             if strict:
                 g = np.where(x.g == 0, 0.0, g)
+            if callable(rows):
+                g, rows = rows(g), None
             if rows is not None:
                 if operand.g is None:
                     operand.g, operand.own = np.zeros(len(operand.v)), True

@@ -52,23 +52,48 @@ def features(x: Learner) -> np.ndarray:
     passes, same, other, t = total(success), total(sd), total(1 - sd), total(pe)
     marks = np.where(first | (r <= 1), t, 0.0)
     clock = t - np.concatenate([np.maximum.accumulate(part) for part in np.split(marks, heads[1:])])
+    out[order] = terms(r, opening, first, ls, sf, nf, sp, np_, passes, same, other, pe, clock, t, dt)
+    return out
+
+
+def terms(r, opening, fr, ls, sf, nf, sp, np_, pn, sn, nn, pe, clock, t, delta_t) -> np.ndarray:
+    """(rows, 34) out of the counters that history.logreg_counters names."""
     o2, o3, o4 = ((r == k).astype(float) for k in (2, 3, 4))
     f2, f3, f4 = ((opening == k).astype(float) for k in (2, 3, 4))
-    f, g, one, l1 = first.astype(float), (opening > 1).astype(float), np.ones(n), np.log1p
+    f, g, one, ls, l1 = np.asarray(fr, float), (opening > 1).astype(float), np.ones(len(r)), np.asarray(ls, float), lambda x: np.log1p(np.asarray(x, float))
     scaled = [one, o2, o3, o4, (r == 2) * f, (r > 2) * f, l1(sf), l1(np_ * (1 - ls)), l1(nf * (1 - ls)), l1(sp)]
     plain = [
-        one, o2, o3, o4, f2, f3, f4, f2 * f, f3 * f, f4 * f, l1(sf), l1(np_ * (1 - ls)), tr(pe), l1(nf), l1(np_), l1(sp * ls), passes > 0, tr(clock), ls, tr(t),
-        g * l1(sf), g * l1(nf), g * l1(same), g * l1(other),
+        one, o2, o3, o4, f2, f3, f4, f2 * f, f3 * f, f4 * f, l1(sf), l1(np_ * (1 - ls)), tr(pe), l1(nf), l1(np_), l1(sp * ls), pn > 0, tr(clock), ls, tr(t),
+        g * l1(sf), g * l1(nf), g * l1(sn), g * l1(nn),
     ]
-    out[order] = np.column_stack([*(c * tr(dt) for c in scaled), *plain])
-    return out
+    return np.column_stack([*(c * tr(delta_t) for c in scaled), *plain])
+
+
+class Terms:
+    """Terms of a log's rows, made out of its counters for the rows that are asked for."""
+
+    def __init__(self, counters: list[np.ndarray]):
+        self.counters = counters
+
+    def __len__(self) -> int:
+        return len(self.counters[0])
+
+    def __getitem__(self, rows) -> np.ndarray:
+        return terms(*(c[rows] for c in self.counters))
+
+    def part(self, begin: int, n: int) -> Terms:
+        return Terms([c[begin : begin + n] for c in self.counters])
 
 
 def probability(x: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(x @ coefficients)))
 
 
-def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def rate(k: int, steps: int) -> float:
+    return RATE * 0.5 * (1 + math.cos(math.pi * k / steps))
+
+
+def train(x: np.ndarray | Terms, y: np.ndarray) -> np.ndarray:
     """AdamW on residual coefficients, later reviews weighing more, a cosine rate."""
     n = len(x)
     if not n:
@@ -83,7 +108,6 @@ def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             b = order[start : start + BATCH]
             p = probability(x[b], rest * STD + MEAN)
             g = ((weight[b] * (p - y[b])) @ x[b]) * STD
-            rate = RATE * 0.5 * (1 + math.cos(math.pi * k / steps))
-            rest = rest - rate * (adam.direction(g) + DECAY * rest)
+            rest = rest - rate(k, steps) * (adam.direction(g) + DECAY * rest)
             k += 1
     return rest * STD + MEAN

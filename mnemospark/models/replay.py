@@ -105,24 +105,7 @@ def parameters(found: DataFrame, s: Settings, most: int = TRAINED) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(x[heads][some]) for x in ids), pa.array(told, pa.list_(pa.float64())), pa.array(texts, pa.string()), pa.array([ms] * len(told), pa.float64())], names)
 
     def fit(batches):
-        held, size = [[] for _ in range(len(keys) + len(columns))], 0
-        for b in batches:
-            new = [x.to_numpy(zero_copy_only=False) for x in b.columns]
-            if not len(new[0]):
-                continue
-            cut = 0
-            if size + len(new[0]) >= most:  # the last training may go on
-                same = np.all([x == x[-1] for x in new[:3]], 0)
-                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-                if size and (cut or any(x[-1][-1] != y[0] for x, y in zip(held[:3], new[:3], strict=True))):
-                    done = [[*x, y[:cut]] for x, y in zip(held, new, strict=True)]
-                    held, size = [[] for _ in held], 0
-                    yield block([np.concatenate(x) for x in done[:3]], done[3:])
-                    new = [x[cut:] for x in new]
-            for x, y in zip(held, new, strict=True):
-                x.append(y)
-            size += len(new[0])
-        if size:
+        for held in lockstep.blocks(batches, len(keys), most):
             yield block([np.concatenate(x) for x in held[:3]], held[3:])
 
     log = training(found, s).select(*keys, "review_th", F.col("rating").cast("byte"), "delta_t", F.col("pos").cast("short"), F.col("i").cast("short"), "evaluable", "card_id")

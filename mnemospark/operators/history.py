@@ -60,8 +60,12 @@ def dash_features(features: DataFrame, decay: bool = False) -> DataFrame:
     return rows.select("*", *[c.alias(n) for c, n in zip(columns, DASH, strict=True)]).drop("time").filter("evaluable")
 
 
-def logreg_features(features: DataFrame) -> DataFrame:
-    """Adds x00 to x33 to the evaluated reviews: ten terms times the interval's transform, 24 plain ones."""
+#: Columns that logreg_counters adds, but for the interval, which is the review's own.
+COUNTERS = ("r", "opening", "fr", "ls", "sf", "nf", "sp", "np", "pn", "sn", "nn", "pe", "clock", "t", "delta_t")
+
+
+def logreg_counters(features: DataFrame) -> DataFrame:
+    """Adds COUNTERS, of which the regression's features are made, to the evaluated reviews."""
     rows = features.withColumn("r", F.coalesce(F.lag("rating").over(card()), F.lit(0))).filter("evaluable")
     rows = rows.withColumn("days", F.greatest("elapsed_days", F.lit(0)))
     rows = rows.select(
@@ -79,7 +83,16 @@ def logreg_features(features: DataFrame) -> DataFrame:
         "np": (1 - F.col("sd")) * later * F.col("good"), "pn": F.col("good"), "sn": F.col("sd"), "nn": 1 - F.col("sd"),
     }
     clock = F.col("t") - F.max(F.when((F.col("fr") == 1) | (F.col("r") <= 1), F.col("t")).otherwise(0.0)).over(up_to())
-    rows = rows.select("*", *[F.sum(c).over(up_to()).alias(n) for n, c in counters.items()], clock.alias("clock"))
+    return rows.select("*", *[F.sum(c).over(up_to()).alias(n) for n, c in counters.items()], clock.alias("clock"))
+
+
+def logreg_features(features: DataFrame) -> DataFrame:
+    """Adds x00 to x33 to the evaluated reviews: ten terms times the interval's transform, 24 plain ones."""
+    rows = logreg_counters(features)
+
+    def flag(c: Column) -> Column:
+        return c.cast("double")
+
     c, l1, one = F.col, F.log1p, F.lit(1.0)
     was = {k: flag(c("r") == k) for k in (2, 3, 4)}
     led = {k: flag(c("opening") == k) for k in (2, 3, 4)}

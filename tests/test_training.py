@@ -1,5 +1,6 @@
 """Training against plain loops: scalar models, slopes by differences, own batches and draws."""
 
+import json
 import math
 
 import numpy as np
@@ -8,7 +9,8 @@ import pytest
 
 from mnemospark.config import Settings
 from mnemospark.models import counts, evaluate, lockstep, onestep, recurrent, regression, replay, training
-from mnemospark.models.learner import Learner
+from mnemospark.models.learner import Learner, folds
+from mnemospark.operators import history
 from tests.test_models import learner
 
 SECS = Settings(algo="FSRS-6", secs=True, short=True, recency=True)
@@ -357,3 +359,51 @@ def test_trainings_cut_into_blocks(spark, monkeypatch):
         x = Learner.of(f)
         with np.errstate(all="ignore"):
             np.testing.assert_allclose(got[f["user_id"].iloc[0]], evaluate.recurrent_weights(recurrent.MODELS["FSRSv3"], x, np.arange(len(x)), s), atol=1e-9)
+
+
+@pytest.mark.parametrize("algo", [*counts.MODELS, "LogisticRegression"])
+@pytest.mark.parametrize("default", [False, True])
+def test_learners_in_blocks_are_learners_apart(spark, monkeypatch, algo, default):
+    """One batch and several, learners cut over Arrow batches, one longer than a block and one with too few rows."""
+    s = Settings(algo=algo, secs=True, short=True, recency=True, default=default)
+    logs = [reviews_of(learner(*shape)).assign(user_id=k) for k, shape in enumerate([(6, 12, 1), (2, 3, 2), (60, 14, 3), (5, 9, 4), (250, 12, 5)])]
+    logs = [f.assign(review_th=f["pos"] * 1000 + f["card_id"]) for f in logs]
+    monkeypatch.setattr(evaluate, "BLOCK", 150)
+    monkeypatch.setattr(evaluate, "PAIRS", 150)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = evaluate.predictions(spark.createDataFrame(pd.concat(logs)), s).toPandas().set_index(["user_id", "review_th"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = 0
+    for f in logs:
+        x = Learner.of(f)
+        for k, (start, end) in enumerate(folds(len(x), 5) if len(x) >= evaluate.LEAST else []):
+            at, test = np.arange(start), np.arange(start, end)
+            with np.errstate(all="ignore"):
+                if algo in counts.MODELS:
+                    m = counts.MODELS[algo]
+                    w = evaluate.counted_weights(m, x, at, s)
+                    p, text = m.probability(m.prepare(x, test), w), {"0": w.tolist()}
+                else:
+                    terms = regression.features(x)
+                    w = regression.MEAN if default else regression.train(terms[at], x.column("y")[at].astype(float))
+                    p, text = regression.probability(terms[test], w), w.tolist()
+            mine = got.loc[[(int(f["user_id"].iloc[0]), r) for r in x.column("review_th")[test]]]
+            assert (mine["fold"] == k).all() and (mine["time_ms"] > 0).all()
+            np.testing.assert_allclose(mine["p"], p, rtol=1e-6, atol=1e-9)
+            told = json.loads(mine["parameters"].iloc[0])
+            np.testing.assert_allclose(np.ravel(told["0"] if algo in counts.MODELS else told), np.ravel(text["0"] if algo in counts.MODELS else text), atol=2e-6)
+            rows += len(test)
+    assert rows == len(got) > 3000
+
+
+def test_a_log_of_regression_rows_is_held_as_counters():
+    """What a task holds of a review for the regression is a fraction of its 34 terms."""
+    x = learner(40, 14)
+    small = dict.fromkeys(("r", "opening"), np.int8) | dict.fromkeys(("fr", "ls"), bool) | dict.fromkeys(("sf", "nf", "sp", "np", "pn", "sn", "nn"), np.int16)
+    rng = np.random.default_rng(1)
+    held = [rng.integers(0, 2, len(x)).astype(small.get(c, float)) for c in history.COUNTERS]
+    terms, y = regression.Terms(held), x.column("y").astype(float)
+    assert sum(c.nbytes for c in held) * 5 < terms[:].nbytes
+    np.testing.assert_array_equal(regression.train(terms, y), regression.train(terms[:], y))
