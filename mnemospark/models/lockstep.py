@@ -135,6 +135,7 @@ def gradient_of(tape: list, told: list, w: list, y: np.ndarray, weight: np.ndarr
         out = np.stack([np.bincount(of, x.g, count) if x.g is not None else np.zeros(count) for x in w], 1)
         if np.isfinite(out).all():
             break
+    tape.clear()  # its Vars hold it: emptied, all go at once
     return p, out
 
 

@@ -9,6 +9,7 @@ import pytest
 
 from mnemospark.config import Settings
 from mnemospark.models import counts, evaluate, lockstep, onestep, recurrent, regression, replay, training
+from mnemospark.models import numeric as nm
 from mnemospark.models.learner import Learner, folds
 from mnemospark.operators import history
 from tests.test_models import learner
@@ -407,3 +408,13 @@ def test_a_log_of_regression_rows_is_held_as_counters():
     terms, y = regression.Terms(held), x.column("y").astype(float)
     assert sum(c.nbytes for c in held) * 5 < terms[:].nbytes
     np.testing.assert_array_equal(regression.train(terms, y), regression.train(terms[:], y))
+
+
+def test_a_step_leaves_no_tape_behind():
+    """Vars and their tape hold each other: a tape that is kept waits for the collector, block after block."""
+    tape = []
+    w = [nm.Var(np.array([x, x]), tape) for x in (0.3, 0.2)]
+    told = nm.exp(-(w[0] * 1.5 + w[1]))
+    p, g = lockstep.gradient_of(tape, [told], w, np.array([1.0, 0.0]), np.ones(2), np.zeros(2, int), 1)
+    assert not tape and g.shape == (1, 2)
+    np.testing.assert_allclose(g[0, 0], 1.5 * g[0, 1])
