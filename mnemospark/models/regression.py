@@ -58,15 +58,20 @@ def features(x: Learner) -> np.ndarray:
 
 def terms(r, opening, fr, ls, sf, nf, sp, np_, pn, sn, nn, pe, clock, t, delta_t) -> np.ndarray:
     """(rows, 34) out of the counters that history.logreg_counters names."""
-    o2, o3, o4 = ((r == k).astype(float) for k in (2, 3, 4))
-    f2, f3, f4 = ((opening == k).astype(float) for k in (2, 3, 4))
-    f, g, one, ls, l1 = np.asarray(fr, float), (opening > 1).astype(float), np.ones(len(r)), np.asarray(ls, float), lambda x: np.log1p(np.asarray(x, float))
-    scaled = [one, o2, o3, o4, (r == 2) * f, (r > 2) * f, l1(sf), l1(np_ * (1 - ls)), l1(nf * (1 - ls)), l1(sp)]
+    o2, o3, o4, f2, f3, f4 = (c == k for c in (r, opening) for k in (2, 3, 4))
+    fr, ls, g, d = np.asarray(fr, bool), np.asarray(ls, float), opening > 1, tr(delta_t)
+    lsf, lnf, lnp, lsp, lsn, lnn = (np.log1p(np.asarray(c, float)) for c in (sf, nf, np_, sp, sn, nn))
+    np_later, nf_later = lnp * (1 - ls), lnf * (1 - ls)
+    out = np.empty((len(r), 34))
+    for k, c in enumerate((1.0, o2, o3, o4, o2 & fr, (r > 2) & fr, lsf, np_later, nf_later, lsp)):
+        np.multiply(c, d, out=out[:, k])
     plain = [
-        one, o2, o3, o4, f2, f3, f4, f2 * f, f3 * f, f4 * f, l1(sf), l1(np_ * (1 - ls)), tr(pe), l1(nf), l1(np_), l1(sp * ls), pn > 0, tr(clock), ls, tr(t),
-        g * l1(sf), g * l1(nf), g * l1(sn), g * l1(nn),
+        1.0, o2, o3, o4, f2, f3, f4, f2 & fr, f3 & fr, f4 & fr, lsf, np_later, tr(pe), lnf, lnp, lsp * ls, pn > 0, tr(clock), ls, tr(t),
+        g * lsf, g * lnf, g * lsn, g * lnn,
     ]
-    return np.column_stack([*(c * tr(delta_t) for c in scaled), *plain])
+    for k, c in enumerate(plain, 10):
+        out[:, k] = c
+    return out
 
 
 class Terms:
