@@ -166,42 +166,87 @@ def leaders(group, fp, led):
     return np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.empty((2, 0), np.int64), led
 
 
-def buckets(batches):
-    """Of (variant, fp) sorted so: (a, b) of leaders and what they reach; a bucket may go on over batches."""
+def parities(hashes) -> tuple[int, ...]:
+    """(n, s0, s1) of a set of hashes: its size, and whether each of 128 parts of it is odd."""
     import numpy as np
 
-    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
-    for b in batches:
-        new = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+    odd = np.bincount((hashes % np.uint64(2 * BITS)).astype(np.int64), minlength=2 * BITS) & 1
+    return len(hashes), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_be_alike(x, y, least: float):
+    """Of parities as arrays (3, pairs): where the sets can have a Jaccard similarity of least.
+
+    Two parts of unlike parity differ in an element, so this many elements are in one set only, at
+    least; a similarity of least leaves (1 - least) / (1 + least) of the sizes' sum. Exact: no pair that
+    reaches least is ruled out.
+    """
+    import numpy as np
+
+    apart = np.bitwise_count((x[1:] ^ y[1:]).view(np.uint64)).sum(0, dtype=np.int64)
+    return np.maximum(apart, np.abs(x[0] - y[0])) <= (x[0] + y[0]) * ((1 - least) / (1 + least)) + 1e-6
+
+
+def buckets(batches, least: float | None = None):
+    """Of (variant, fp) sorted so: (a, b) of leaders and what they reach; a bucket may go on over batches.
+
+    With least, rows have parities too and links like, whether the sets may be so similar; of those that
+    can't be only the one with the smallest a for each b is told.
+    """
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
         if not len(new[0]):
             continue
-        v, fp, led = (np.concatenate(x) for x in zip(held, [*new, np.zeros(len(new[0]), bool)], strict=True))
+        new.append(np.zeros(len(new[0]), bool))
+        v, fp, *sets, led = (np.concatenate(x) for x in zip(held, new, strict=True)) if held else new
         pairs, led = leaders(v, fp, led)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+        if least is None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+        else:
+            known, at = np.unique(fp, return_index=True)
+            a, b = (np.stack(sets)[:, at[np.searchsorted(known, x)]] for x in pairs)
+            like = may_be_alike(a, b, least)
+            told = like.copy()
+            told[np.unique(pairs[1], return_index=True)[1]] = True  # pairs are sorted by a
+            yield pa.RecordBatch.from_arrays([pa.array(x[told]) for x in (*pairs, like)], ["a", "b", "like"])
         last = v == v[-1]
         if last.sum() > LONG_RUN:
             last &= led
-        held = [v[last], fp[last], led[last] if last.sum() > 1 else np.zeros(last.sum(), bool)]
+        held = [v[last], fp[last], *[x[last] for x in sets], led[last] if last.sum() > 1 else np.zeros(last.sum(), bool)]
 
 
-def far_links(fps: DataFrame, together: int = TOGETHER) -> DataFrame:
+def far_links(fps: DataFrame, together: int = TOGETHER, least: float | None = None) -> DataFrame:
     """(a, b): fingerprints of at most REACH differing bits that share a bucket, by leaders of the buckets.
 
     Every choice of so many blocks emits its variants of one flipped bit, so fingerprints with at
     most two differing bits in it meet: with three blocks all with up to five, most with up to eight.
     Longer keys have fewer strangers in a bucket and find fewer pairs, so the input's size doesn't
     choose them; strangers hide no pair. Sorted variants are read as a stream; a group of near copies has few leaders, so links grow
-    with the rows. fps has distinct fp.
+    with the rows. fps has distinct fp. With least, fps has parities (n, s0, s1) of its texts' sets too,
+    and links have like: false if the sets can't be so similar, which for each b is told of its smallest a
+    in a batch only.
     """
+    sets, schema = ([], "a long, b long") if least is None else (["n", "s0", "s1"], "a long, b long, like boolean")
+    run = functools.partial(buckets, least=least)
     spark, n = fps.sparkSession, common.partitions(fps.sparkSession)
     out, halves = [], block_masks(together)
     for k in range(0, len(halves), AT_ONCE):  # the files of one shuffle go before the next
         flips = [(signed(h), signed(1 << b if b < BITS else 0)) for h in halves[k : k + AT_ONCE] for b in (*(b for b in range(BITS) if h >> b & 1), BITS)]
         each = F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("half"), F.lit(m).cast("long").alias("flip")) for h, m in flips])).alias("x")
-        emitted = fps.repartition(n, "fp").select("fp", each).select(F.col("fp").bitwiseAND(F.col("x.half")).bitwiseXOR(F.col("x.flip")).alias("variant"), "fp")
-        met = emitted.repartition(n, "variant").sortWithinPartitions("variant", "fp").mapInArrow(common.frugal(buckets), "a long, b long")
-        out.append(common.stored(met.distinct(), "far-links"))
-    return functools.reduce(DataFrame.unionByName, out).distinct() if out else spark.createDataFrame([], "a long, b long")
+        emitted = fps.repartition(n, "fp").select("fp", *sets, each).select(F.col("fp").bitwiseAND(F.col("x.half")).bitwiseXOR(F.col("x.flip")).alias("variant"), "fp", *sets)
+        met = emitted.repartition(n, "variant").sortWithinPartitions("variant", "fp").mapInArrow(common.frugal(run), schema)
+        out.append(common.stored(once(met), "far-links"))
+    return once(functools.reduce(DataFrame.unionByName, out)) if out else spark.createDataFrame([], schema)
+
+
+def once(met: DataFrame) -> DataFrame:
+    """Links without repeats; of those that are not like the smallest a of each b."""
+    if "like" not in met.columns:
+        return met.distinct()
+    return met.groupBy(F.when(F.col("like"), F.col("a")).alias("of"), "b", "like").agg(F.min("a").alias("a")).select("a", "b", "like")
 
 
 def shingles(text: str, words: int):
@@ -225,8 +270,9 @@ def near_copies(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     """(rid) of numbered rows: the smallest of each group of texts linked by a Jaccard similarity of least.
 
     Candidates are texts whose fingerprints far_links finds and whose second fingerprints differ
-    by REACH_2 bits at most, which strangers of the first hardly ever do; they are verified on
-    their sets of word shingles, of which only hashes travel. A text of many pairs is sent to
+    by REACH_2 bits at most, which strangers of the first hardly ever do, and whose sets of word
+    shingles can be so similar by their parities; they are verified on these sets, of which only
+    hashes travel. A text of many pairs is sent to
     one task for every MEMBERS of them. Repeated rows and equal texts are one group, as are all
     texts without words; an empty table gives an empty table.
     """
@@ -236,7 +282,8 @@ def near_copies(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     def prints(batches):
         for b in batches:
             found = [[signed(fingerprint(t.encode(), seed=seed)) for t in b.column(2).to_pylist()] for seed in (42, SECOND)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in found]], ["key", "rid", "fp", "fp2"])
+            found += zip(*(parities(shingles(t, words)) for t in b.column(2).to_pylist()), strict=True) if len(b) else [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in found]], ["key", "rid", "fp", "fp2", "n", "s0", "s1"])
 
     def hashed(batches):
         for b in batches:
@@ -251,16 +298,16 @@ def near_copies(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
             keep = pa.array([similarity(*(np.frombuffer(v.as_buffer(), np.uint64) for v in p)) >= least for p in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
 
-    found = rows.select("key", "rid", "text").mapInArrow(common.frugal(prints), "key long, rid long, fp long, fp2 long")
-    texts = common.stored(found.groupBy("key", "fp", "fp2").agg(F.min("rid").alias("least")), "texts")
+    found = rows.select("key", "rid", "text").mapInArrow(common.frugal(prints), "key long, rid long, fp long, fp2 long, n long, s0 long, s1 long")
+    texts = common.stored(found.groupBy("key", "fp", "fp2", "n", "s0", "s1").agg(F.min("rid").alias("least")), "texts")
     # The first texts of linked fingerprints meet; so does every text with its fingerprint's first
     # one and with that of the smallest fingerprint linked to its own: pairs grow with the texts.
-    first = common.stored(texts.groupBy("fp").agg(F.min(F.struct("key", "fp2")).alias("x")).select("fp", "x.*"), "fingerprint-texts")
-    met = common.stored(far_links(first.select("fp")), "fingerprint-links")
+    first = common.stored(texts.groupBy("fp").agg(F.min(F.struct("key", "fp2", "n", "s0", "s1")).alias("x")).select("fp", "x.*"), "fingerprint-texts")
+    met = common.stored(far_links(first.select("fp", "n", "s0", "s1"), least=least), "fingerprint-links")
     ka, kb = (first.select(F.col("fp").alias(x), F.col("key").alias(f"k{x}"), F.col("fp2").alias(f"f{x}")) for x in "ab")
     own = texts.select(F.col("fp").alias("b"), F.col("key").alias("kb"), F.col("fp2").alias("fb"))
     nearest = met.groupBy("b").agg(F.min("a").alias("a"))
-    pairs = met.join(ka, "a").join(kb, "b").select("ka", "fa", "kb", "fb")
+    pairs = met.filter("like").join(ka, "a").join(kb, "b").select("ka", "fa", "kb", "fb")
     pairs = pairs.unionByName(own.withColumnRenamed("b", "a").join(ka, "a").select("ka", "fa", "kb", "fb")).unionByName(own.join(nearest.join(ka, "a").select("b", "ka", "fa"), "b").select("ka", "fa", "kb", "fb"))
     near = (F.col("ka") != F.col("kb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= REACH_2)
     pairs = common.stored(pairs.filter(near).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct(), "candidates")

@@ -184,3 +184,29 @@ def test_links_do_not_depend_on_the_size_of_the_input(spark, monkeypatch):
     few = {tuple(r) for r in simhash.far_links(fps).collect()}
     monkeypatch.setattr(simhash, "STRANGERS", 0)
     assert {tuple(r) for r in simhash.far_links(fps).collect()} == few and len(few) > 50
+
+
+def test_parities_rule_out_only_what_is_unlike():
+    """Texts of one hot group: close fingerprints, but few pairs with the similarity that is asked for."""
+    rng, rows, sets = random.Random(6), [], {}
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 12)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        text = " ".join(words)
+        fp = simhash.signed(simhash.fingerprint(text.encode()))
+        sets[fp] = simhash.shingles(text, 5)
+    for fp, hashes in sets.items():
+        rows += [(m & fp, fp, *simhash.parities(hashes)) for m in map(simhash.signed, simhash.block_masks()[:5])]
+    rows.sort()
+    columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+    for size in (len(rows), 97):
+        batches = lambda k, size=size: [pa.RecordBatch.from_arrays(columns[:k], list("vfnst")[:k]).slice(i, size) for i in range(0, len(rows), size)]
+        every = {p for b in simhash.buckets(batches(2)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        told = {tuple(p[:2]): p[2] for b in simhash.buckets(batches(5), 0.8) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        alike = {p for p in every if simhash.similarity(sets[p[0]], sets[p[1]]) >= 0.8}
+        least = {b: min(a for a, x in every if x == b) for _, b in every}
+        assert alike and alike <= {p for p, like in told.items() if like} <= every
+        assert {(a, b) for b, a in least.items()} <= set(told)
+        assert sum(told.values()) < len(alike) + (len(every) - len(alike)) / 2
